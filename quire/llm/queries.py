@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,3 +40,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.langid import held_out, learn, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = learn(docs.where(~held_out(2, 4)))
+    return predict(docs.select("doc_id", held_out(2, 4).alias("held_out"), "text"), profiles).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
