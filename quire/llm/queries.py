@@ -49,3 +49,51 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = learn(docs.where(~held_out(2, 4)))
     return predict(docs.select("doc_id", held_out(2, 4).alias("held_out"), "text"), profiles).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality import BASE, CURRENT, POLICIES, ledger, verdict
+
+    book = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~verdict("fail_bits", BASE)).alias("base_failed"), verdict("fail_bits", POLICIES[CURRENT]).alias("kept"), "n_lines", "fail_bits")
+
+
+ORACLE_SQL["op4_quality"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), tri AS (
+  SELECT k, i, list_value(w[i], w[i + 1], w[i + 2]) AS g
+  FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), rep AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM tri) WHERE c > 1
+), cov AS (
+  SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY k
+), ln AS (
+  SELECT k, count(*) AS n, count(DISTINCT x) AS u
+  FROM (SELECT k, unnest(string_split(t, chr(10))) AS x FROM d)
+  WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY k
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(ln.n - ln.u, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(ln.n, 0) AS BIGINT) AS n_lines
+  FROM d LEFT JOIN ln USING (k) LEFT JOIN cov USING (k)
+), b AS (
+  SELECT *, CAST(
+      (CASE WHEN n_words < 50 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+    + (CASE WHEN n_symbols > n_words THEN 4 ELSE 0 END)
+    + (CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END)
+    + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits
+FROM b
+"""
