@@ -40,7 +40,7 @@ class Rule:
 RULES = (
     Rule("few_words", 0, "n_words < 50"),
     Rule("repeated_windows", 1, "100 * n_repeat_words > 50 * n_words"),
-    Rule("many_symbols", 2, "n_symbols > n_words"),
+    Rule("many_symbols", 2, "4 * n_symbols > n_words"),
     Rule("repeated_lines", 3, "100 * n_dup_lines > 40 * n_lines"),
     Rule("short_words", 4, "word_chars < 2 * n_words"),
     Rule("long_words", 5, "word_chars > 20 * n_words"),

@@ -87,7 +87,7 @@ WITH d AS (
   SELECT *, CAST(
       (CASE WHEN n_words < 50 THEN 1 ELSE 0 END)
     + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
-    + (CASE WHEN n_symbols > n_words THEN 4 ELSE 0 END)
+    + (CASE WHEN 4 * n_symbols > n_words THEN 4 ELSE 0 END)
     + (CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END)
     + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END)
     + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits
@@ -97,3 +97,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits
 FROM b
 """
+
+
+@query
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
