@@ -104,3 +104,34 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.fingerprint import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest_only=True)
+
+
+ORACLE_SQL["op10_substring"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, hash(list_slice(w, i, i + 49)) AS h, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) AS BIGINT) - 48)) AS i FROM d WHERE len(w) >= 50)
+), first AS (
+  SELECT h, g, min(doc_id) AS f FROM win GROUP BY h, g HAVING count(*) > 1
+), hit AS (
+  SELECT DISTINCT doc_id, i FROM win JOIN first USING (h, g) WHERE doc_id > f
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hit)
+), word AS (
+  SELECT doc_id, unnest(w) AS x, unnest(range(1, CAST(len(w) AS BIGINT) + 1)) AS p FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t
+  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
