@@ -166,3 +166,10 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, min(r) = d.doc_id AS kept
 FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
+
+
+@query
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ppm import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
