@@ -55,9 +55,12 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words, and where each text's words begin (length + 1)."""
-    ink = ~SPACE[buf]
+def words(buf: np.ndarray, off: np.ndarray, ink: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words, and where each text's words begin (length + 1).
+
+    ``ink`` says which bytes belong to words: by default all but white space.
+    """
+    ink = ~SPACE[buf] if ink is None else ink
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     last = ink.copy()

@@ -173,3 +173,14 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.ppm import score
 
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.langid import held_out
+    from quire.llm.toxicity import learn, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    scored = predict(docs.select("doc_id", held_out(1, 3).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
