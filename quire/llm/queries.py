@@ -184,3 +184,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, table(spark, sf_dir, "labels"))
     scored = predict(docs.select("doc_id", held_out(1, 3).alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.warc import archive_and_read
+
+    records = archive_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    # A response whose payload does not have its digest has none here.
+    digest = F.when(F.coalesce("intact", F.lit(True)), F.col("payload_digest"))
+    return records.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+ORACLE_SQL["op6_warc"] = r"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
