@@ -26,6 +26,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from quire.llm import byteops as B
 from quire.llm.pretokens import pretokens, ragged
@@ -230,7 +231,7 @@ def two_tier(vocabulary: Vocabulary):
 def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with an array of token ids beside its columns."""
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(ranks_path)))
-    schema = df.select(*[c for c in df.columns if c != ids]).schema.add(ids, "array<int>")
+    schema = T.StructType([*df.drop(ids).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(two_tier(shared.value))
@@ -254,7 +255,7 @@ def decode_bytes(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) ->
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``df`` with the text of its token ids (invalid UTF-8 is replaced); null ids give null."""
     shared = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    schema = df.select(*[c for c in df.columns if c != text]).schema.add(text, "string")
+    schema = T.StructType([*df.drop(text).schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches):
         tokens = shared.value
