@@ -121,12 +121,13 @@ def following(keys: DataFrame, column: str, levels: int = 3) -> DataFrame:
     own = keys.select(column).where(F.col(column).isNotNull()).distinct()
     if levels == 0:
         return own.withColumn("_next", F.lead(column).over(Window.orderBy(column)))
-    own = own.withColumn("_g", F.floor(F.col(column) / SPAN).cast("long"))
-    inside = own.withColumn("_next", F.lead(column).over(Window.partitionBy("_g").orderBy(column)))
-    firsts = own.groupBy("_g").agg(F.min(column).alias("_first"))
-    groups = following(firsts, "_g", levels - 1).withColumnRenamed("_next", "_ng")
-    ahead = groups.join(firsts.select(F.col("_g").alias("_ng"), "_first"), "_ng", "left").select("_g", "_first")
-    return inside.join(ahead, "_g", "left").select(column, F.coalesce("_next", "_first").alias("_next"))
+    group, ahead = f"_group{levels}", f"_ahead{levels}"
+    own = own.withColumn(group, F.floor(F.col(column) / SPAN).cast("long"))
+    inside = own.withColumn("_inside", F.lead(column).over(Window.partitionBy(group).orderBy(column)))
+    firsts = own.groupBy(group).agg(F.min(column).alias("_first"))
+    groups = following(firsts, group, levels - 1).withColumnRenamed("_next", ahead)
+    beyond = groups.join(firsts.withColumnRenamed(group, ahead), ahead).select(group, "_first")
+    return inside.join(beyond, group, "left").select(column, F.coalesce("_inside", "_first").alias("_next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
