@@ -205,14 +205,14 @@ def _cut(text: bytes, spans: list[tuple[int, int]], starts: np.ndarray, ends: np
 def remove_repeats(docs: DataFrame, text: str = "text", digest_only: bool = False) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (or kept_sha256 with ``digest_only``)."""
     added = ["n_words", "n_removed", "kept_sha256" if digest_only else "kept_text"]
-    docs = docs.select(*[c for c in docs.columns if c not in (*added, "_h", "_runs")])
+    docs = docs.select(*[c for c in docs.columns if c not in (*added, "_h", "_doc", "_dh", "_runs")])
     docs = docs.withColumn("_h", F.xxhash64(F.col(text)))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").cast("long"), "_h", F.col(text).alias("text")).mapInArrow(_emit, _PATH)
     runs = sent.repartition(parts, "m").sortWithinPartitions("m", "doc").mapInArrow(_match, "doc long, h long, s int, e int")
     # A text's runs number at most one for each of its words.
-    runs = runs.groupBy("doc", "h").agg(F.collect_set(F.struct("s", "e")).alias("_runs"))
-    joined = docs.join(runs, (docs["doc_id"] == runs["doc"]) & (docs["_h"] == runs["h"]), "left").drop("doc", "h", "_h")
+    runs = runs.groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_dh")).agg(F.collect_set(F.struct("s", "e")).alias("_runs"))
+    joined = docs.join(runs, (docs["doc_id"] == runs["_doc"]) & (docs["_h"] == runs["_dh"]), "left").drop("_doc", "_dh", "_h")
     kept_columns = [c for c in joined.columns if c != "_runs" and not (digest_only and c == text)]
     joined = joined.select(*kept_columns, *([F.col(text)] if digest_only else []), "_runs")
     schema = T.StructType([*joined.select(*kept_columns).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(added[2], T.StringType())])
