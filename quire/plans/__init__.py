@@ -5,4 +5,4 @@ from quire.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from quire.plans import documents, expressions  # noqa: F401
+    from quire.plans import cases, documents, expressions  # noqa: F401
