@@ -369,3 +369,15 @@ def font_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simple_width_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = interpret.glyph_widths(files(spark, sf_dir))
     return rows.select("doc_id", "page_index", "cid_start", "cid_end", F.aggregate("widths", F.lit(0.0).cast("double"), lambda a, w: a + w).alias("total"))
+
+
+@register("s01_file_read", f"SELECT doc_id, p AS pages FROM ({_SIZES})")
+def file_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written to shared storage and read back through ``binaryFile``."""
+    from quire.session import scratch_path
+    from quire.sources.pdf import read_files, write_files
+
+    folder = scratch_path(spark, "pdf")
+    manifest = write_files(files(spark, sf_dir), folder)
+    pages = read_table(read_files(spark, folder), "pages").groupBy(F.element_at(F.split("doc_id", "/"), -1).alias("name")).agg(F.count("*").alias("pages"))
+    return manifest.select("doc_id", F.element_at(F.split("path", "/"), -1).alias("name")).join(pages, "name").select("doc_id", "pages")

@@ -317,3 +317,33 @@ class _PdfReader(DataSourceReader):
         except PdfError as e:
             rows.append({"doc_id": partition.path, "_error": error_struct(e)})
         yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(self.schema))
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes each document (doc_id, content) to ``folder``; returns (doc_id, path, bytes).
+
+    Names carry the task's attempt, so only files in the returned table count;
+    it is written before it is returned, and lost tasks leave nothing in it.
+    """
+    from quire.session import materialize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(folder if ":" in folder.split("/", 1)[0] else f"file://{folder}")
+        system.create_dir(base, recursive=True)
+        attempt, n = TaskContext.get().taskAttemptId(), 0
+        for batch in batches:
+            paths, sizes = [], []
+            for data in batch.column(1).to_pylist():
+                name = f"{attempt:08d}-{n:08d}.pdf"
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(data or b"")
+                paths.append(f"{folder}/{name}")
+                sizes.append(len(data or b""))
+                n += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["doc_id", "path", "bytes"])
+
+    out = T.StructType([files.schema["doc_id"], T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType())])
+    return materialize(files.select("doc_id", "content").mapInArrow(run, out), "pdf-manifest")
