@@ -10,15 +10,18 @@ together as arrays.
 
 Groups. Documents with equal shingle sets (equal size and 128-bit sum of
 hashes) are one class and go on as their smallest member. Signatures are cut
-into ``BANDS`` bands; classes that share a band are a bucket. Round one checks
-every bucket member against the bucket's smallest member only, so pairs grow
-with members and not with their square. Components of the confirmed links
-close most buckets. In a bucket that still holds several components, pairs
-across components whose signatures agree on enough slots are checked as well.
-Checks intersect the full shingle sets of both texts.
+into ``BANDS`` bands. Classes that share a band with each other are joined to
+the band's smallest class, and what hangs together that way is a family: every
+pair that shares any band is inside one family. Families are small, and many
+are handled in one group; a family of more than ``BLOCK`` classes is split into
+blocks. In each group, links are decided on the full shingle sets, through an
+inverted index, and only the links that join two components are reported, so
+rows grow with members and not with their square. In a split family, the
+classes that its largest component has not taken in are then compared with all
+blocks.
 
 A pair at the threshold shares no band with probability
-(1 - t ** ROWS) ** BANDS: 5e-11 at t = 0.85 and 5e-8 at 0.8.
+(1 - t ** ROWS) ** BANDS: 8e-7 at t = 0.85 and 7e-5 at 0.8.
 
 Defined cases: null and wordless texts have no shingles and are linked with
 nothing. Texts of fewer words than a shingle are one shingle. Rows of null
@@ -37,14 +40,13 @@ from pyspark.sql import functions as F
 
 from quire.llm import byteops as B
 from quire.llm.components import components
+from quire.llm.pretokens import ragged
 from quire.session import materialize
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
-#: Standard errors below the threshold at which a pair of signatures is still checked.
-SLACK = 4.2
-#: Members of an open bucket that one task compares with as many others.
-BLOCK = 2000
+#: Classes that one group compares at most with each other, and about how many small families' classes share a group.
+BLOCK, BIN = 1000, 500
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +95,8 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), n, d1, d2 (the set's size and sums), bands, sig (a byte per slot)."""
-    schema = "doc_id long, h long, n long, d1 long, d2 long, bands array<long>, sig binary"
+    """doc_id, h (hash of the text), n, d1, d2 (the set's size and sums), bands."""
+    schema = "doc_id long, h long, n long, d1 long, d2 long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +110,6 @@ def sketch(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
                     total = np.zeros(len(h) + 1, np.uint64)
                     np.cumsum(B.mix(h + np.uint64(salt)), out=total[1:])
                     sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-                sig = (B.mix(values.reshape(-1).view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
@@ -117,118 +118,130 @@ def sketch(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
                         pa.array(sums[0]),
                         pa.array(sums[1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1))),
-                        B.binaries(np.full(len(values), SLOTS), sig),
                     ],
-                    names=["doc_id", "h", "n", "d1", "d2", "bands", "sig"],
+                    names=["doc_id", "h", "n", "d1", "d2", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose full shingle sets have 100 * intersection >= percent * union.
+class _Index:
+    """An inverted index over the shingle sets of a group's texts."""
+
+    def __init__(self, texts: pa.Array, k: int):
+        parts, sizes = [], []
+        for _, _, buf, off in B.slices(texts):
+            h, bounds = shingle_sets(buf, off, k)
+            parts.append(h)
+            sizes.append(np.diff(bounds))
+        h = np.concatenate(parts)
+        self.size = np.concatenate(sizes)
+        self.bounds = np.concatenate(([0], np.cumsum(self.size)))
+        owner = np.repeat(np.arange(len(self.size)), self.size)
+        order = np.argsort(h, kind="stable")
+        run = np.cumsum(np.append(True, h[order][1:] != h[order][:-1])) - 1 if len(h) else np.zeros(0, np.int64)
+        self.term = np.empty(len(h), np.int64)
+        self.term[order] = run
+        self.posting = owner[order]
+        self.start = np.searchsorted(run, np.arange(run[-1] + 2 if len(run) else 1))
+
+    def linked(self, i: int, percent: int) -> np.ndarray:
+        """Texts whose set has the wanted similarity with that of text ``i``."""
+        terms = self.term[self.bounds[i] : self.bounds[i + 1]]
+        at = self.start[terms]
+        common = np.bincount(self.posting[ragged(at, self.start[terms + 1] - at)], minlength=len(self.size))
+        return np.flatnonzero((common > 0) & (100 * common >= percent * (self.size + self.size[i] - common)))
+
+
+def _joined(index: _Index, comp: np.ndarray, rows: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links of ``rows`` with any text that join two components; ``comp`` follows."""
+    out = []
+    for i in rows:
+        if (comp == comp[i]).all():
+            break
+        for j in index.linked(i, percent).tolist():
+            if comp[j] != comp[i]:
+                out.append((i, j))
+                comp[comp == comp[j]] = comp[i]
+    return out
 
-    ``pairs`` has a, ha, b, hb; ``texts`` has doc_id, h, text, one row per (doc_id, h).
-    """
-    left = texts.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), F.col("text").alias("tb"))
-    both = pairs.join(left, ["a", "ha"]).join(right, ["b", "hb"]).select("a", "b", "ta", "tb")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = B.column(batch, "a"), B.column(batch, "b")
-            linked = np.zeros(len(a), dtype=bool)
-            tb = B.column(batch, "tb")
-            prior = None
-            for lo, hi, buf, off in B.slices(B.column(batch, "ta")):
-                ha, bounds = shingle_sets(buf, off, k)
-                for i in range(hi - lo):
-                    t = tb[lo + i].as_py()
-                    if prior is None or prior[0] != t:
-                        raw = np.frombuffer(t.encode(), np.uint8)
-                        prior = (t, shingle_sets(raw, np.array([0, len(raw)]), k)[0])
-                    x, y = ha[bounds[i] : bounds[i + 1]], prior[1]
-                    if not len(x) or not len(y):
-                        continue
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    common = int((y[at] == x).sum())
-                    linked[lo + i] = 100 * common >= percent * (len(x) + len(y) - common)
-            pick = pa.array(linked)
-            yield pa.RecordBatch.from_arrays([a.filter(pick), b.filter(pick)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _across(percent: int):
-    """Pairs across components of one block of an open bucket, by signature and size."""
-    least = max(0.0, percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / SLOTS) ** 0.5) * SLOTS
+def _within(k: int, percent: int):
+    """The joining links among a group's texts."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        doc, h, comp, n = (B.longs(group.column(c).combine_chunks()) for c in ("doc_id", "h", "comp", "n"))
-        side = B.longs(group.column("side").combine_chunks())
-        sig = np.array([np.frombuffer(x, np.uint8) for x in group.column("sig").to_pylist()])
-        # The most common component need not be compared with itself.
-        names, size = np.unique(comp, return_counts=True)
-        out = []
-        inside = bool((side == 0).all())
-        rows = np.flatnonzero(comp != names[size.argmax()]) if inside else np.flatnonzero(side == 1)
-        others = np.arange(len(doc)) if inside else np.flatnonzero(side == 2)
-        for i in rows.tolist():
-            agree = (sig[others] == sig[i]).sum(axis=1)
-            fit = (agree >= least) & (comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
-            out += [(i, j) for j in others[fit].tolist()]
-        a = np.array([x for x, _ in out], np.int64)
-        b = np.array([y for _, y in out], np.int64)
-        swap = doc[a] < doc[b] if len(a) else np.zeros(0, bool)
-        a, b = np.where(swap, b, a), np.where(swap, a, b)  # a is the larger, as in round one
-        return pa.table({"a": pa.array(doc[a]), "ha": pa.array(h[a]), "b": pa.array(doc[b]), "hb": pa.array(h[b])})
+        doc = B.longs(group.column("doc_id").combine_chunks())
+        index = _Index(group.column("text").combine_chunks(), k)
+        comp = np.arange(len(doc))
+        links = _joined(index, comp, [0], percent)
+        # All pairs but those inside the first text's component are still open.
+        links += _joined(index, comp, np.flatnonzero(comp != comp[0]).tolist(), percent)
+        return _pairs(doc, links)
 
     return run
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles, component_id (the smallest doc_id of the group).
+def _beside(k: int, percent: int):
+    """The joining links between strays (side 1) and a block of their family (side 2)."""
 
-    One row per distinct (doc_id, text).
-    """
+    def run(group: pa.Table) -> pa.Table:
+        doc, comp, side = (B.longs(group.column(c).combine_chunks()) for c in ("doc_id", "comp", "side"))
+        index = _Index(group.column("text").combine_chunks(), k)
+        return _pairs(doc, _joined(index, comp.copy(), np.flatnonzero(side == 1).tolist(), percent))
+
+    return run
+
+
+def _pairs(doc: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(doc[at[:, 0]]), "b": pa.array(doc[at[:, 1]])})
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, component_id (the smallest doc_id of the group), a row per row of ``docs``."""
     sketched = materialize(sketch(docs, k, text), "sketch")
     sound = sketched.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = sound.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "h", "bands", "sig")).alias("x"))
-    classes = materialize(classes.select("n", "d1", "d2", "x.doc_id", "x.h", "x.bands", "x.sig"), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("h").isNotNull())
-
-    banded = classes.select("doc_id", "h", "n", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min(F.struct("doc_id", "h", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    small, large = F.least("n", "l.n"), F.greatest("n", "l.n")
-    first = banded.join(leaders, "key").where((F.col("doc_id") != F.col("l.doc_id")) & (100 * small >= percent * large))
-    first = materialize(first.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), F.col("l.doc_id").alias("b"), F.col("l.h").alias("hb")).distinct(), "pairs")
-    links = materialize(verify(first, texts, k, percent), "links")
+    classes = sound.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "h", "bands")).alias("x"))
+    classes = materialize(classes.select("n", "d1", "d2", "x.doc_id", "x.h", "x.bands"), "classes")
+
+    # Families: classes joined to the smallest class of each band they share.
+    banded = classes.select("doc_id", F.explode("bands").alias("key"))
+    leaders = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("key", "leader")
+    near = banded.join(leaders, "key").where("doc_id <> leader").select("doc_id", "leader").distinct()
+    families = components(near, "doc_id", "leader").withColumnsRenamed({"node": "doc_id", "component": "family"})
+    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
+    placed = materialize(families.join(sizes, "family").join(classes.select("doc_id", "h"), "doc_id"), "families")
+
+    # Their texts, once: dealt to groups by family, or by block of a large family.
+    bins = max(1, -(-placed.count() // BIN))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    group = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family", block))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    members = placed.withColumns({"g": group, "block": block, "blocks": blocks}).join(texts, ["doc_id", "h"])
+    members = materialize(members.select("doc_id", "family", "g", "block", "blocks", "text"), "members")
+    links = materialize(members.select("g", "doc_id", "text").groupBy("g").applyInArrow(_within(k, percent), "a long, b long"), "links")
     labels = components(links)
 
-    # Buckets that still hold several components.
-    comp = labels.select(F.col("node").alias("doc_id"), F.col("component"))
-    labelled = classes.join(comp, "doc_id", "left").select("doc_id", "h", "n", "sig", "bands", F.coalesce("component", "doc_id").alias("comp"))
-    shared = labelled.select("doc_id", "comp", F.explode("bands").alias("key"))
-    open_keys = shared.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    open_keys = materialize(open_keys, "open")
-    members = labelled.select("doc_id", "h", "n", "comp", "sig", F.explode("bands").alias("key")).join(open_keys, "key")
-    # A bucket of several blocks is compared block by block: each pair of blocks, and each block with itself, is a group.
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    spread = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2))
-    spread = spread.select("key", F.least("own", "other").alias("g1"), F.greatest("own", "other").alias("g2"), "doc_id", "h", "n", "comp", "sig", "side")
-    more = spread.groupBy("key", "g1", "g2").applyInArrow(_across(percent), "a long, ha long, b long, hb long").distinct()
-    more = materialize(more.join(first, ["a", "ha", "b", "hb"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        links = links.union(verify(more, texts, k, percent))
+    # Split families: whatever is outside the largest component is compared with every block.
+    split = members.where("blocks > 1").select("family", "doc_id", "block", "blocks")
+    if split.limit(1).count():
+        own = split.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        largest = own.groupBy("family", "comp").agg(F.count("*").alias("c")).groupBy("family").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("all"))
+        largest = largest.select("family", F.col("x.comp").alias("main"), F.ceil((F.col("all") - F.col("x.c")) / BLOCK).cast("int").alias("stray_blocks")).where("stray_blocks > 0")
+        own = materialize(own.join(largest, "family"), "split").join(members.select("doc_id", "text"), "doc_id")
+        strays = own.where("comp <> main").withColumns({"i": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("stray_blocks")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)})
+        others = own.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)), "j": F.col("block"), "side": F.lit(2)})
+        columns = ["family", "i", "j", "doc_id", "comp", "side", "text"]
+        beside = strays.select(*columns).union(others.select(*columns)).groupBy("family", "i", "j").applyInArrow(_beside(k, percent), "a long, b long")
+        links = links.union(materialize(beside, "links"))
         labels = components(links)
 
     final = labels.select(F.col("node").alias("rep"), F.col("component").alias("root"))
     named = classes.select("n", "d1", "d2", F.col("doc_id").alias("rep")).join(final, "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
-    placed = sketched.join(named, ["n", "d1", "d2"], "left")
+    result = sketched.join(named, ["n", "d1", "d2"], "left")
     # Without a shingle, a document is alone.
-    return placed.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return result.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
