@@ -448,7 +448,9 @@ def read_font(document, value: object) -> Font:
     if "FontDescriptor" in entries:
         found = font_file(document, document.dictionary(entries["FontDescriptor"]))
         if found is not None:
-            font.program = compact_font(found.data) if kind == "Type1" else found.data
+            from quire.functions.truetype import true_type
+
+            font.program = compact_font(found.data) if kind == "Type1" else true_type(found.data)
     elif kind == "Type1":
         raise FontError("MissingRequiredKey", "FontDescriptor")
     return font

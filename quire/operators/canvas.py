@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from quire.functions import fonts
+from quire.functions.truetype import TrueTypeFont
 from quire.operators import pdf_document as D
 from quire.sources import content
 from quire.sources.pdf_syntax import Name, PdfError, Stream
@@ -398,6 +399,11 @@ class Canvas:
                 if found and found[0]:
                     m = multiply((0.001, 0.0, 0.0, 0.001, 0.0, 0.0), place)
                     self._draw("fill", "nonzero", move_path(found[0], m))
+            elif isinstance(font.program, TrueTypeFont):
+                gid = font.program.characters.get(ord(font.cmap[code])) if code in font.cmap else None
+                found = font.program.outline(code if gid is None else gid)
+                if found:
+                    self._draw("fill", "nonzero", move_path(found, multiply((1 / font.program.units, 0.0, 0.0, 1 / font.program.units, 0.0, 0.0), place)))
             at = multiply((1.0, 0.0, 0.0, 1.0, advance, 0.0), at)
         if not self.compat:
             self.text = at

@@ -17,7 +17,7 @@ from quire.operators import canvas
 from quire.operators import pdf_document as D
 from quire.plans.registry import register, table
 from quire.sources import content
-from quire.sources.pdf_fixture import Writer, document
+from quire.sources.pdf_fixture import Writer, document, tiny_font
 from quire.sources.pdf_syntax import Hex, Name, PdfError, Ref, Scanner, Text, parse_value
 
 K = "CAST(n_nationkey AS VARCHAR)"
@@ -236,6 +236,11 @@ def _type1(w: Writer, k: int) -> dict:
     return {"Subtype": Name("Type1"), "BaseFont": Name("C"), "FirstChar": 32, "LastChar": 32, "Widths": [600], "FontDescriptor": {"FontFile3": file}}
 
 
+def _outlined(w: Writer, k: int) -> dict:
+    file, codes = w.stream({}, tiny_font()), w.stream({}, b"beginbfchar\n<42> <0041>\nendbfchar")
+    return {"Subtype": Name("TrueType"), "FirstChar": 66, "LastChar": 66, "Widths": [500], "ToUnicode": codes, "FontDescriptor": {"FontFile2": file}}
+
+
 def _glyphs(c: canvas.Canvas) -> list:
     return [(g.info["code"], _num(round(g.info["advance"], 3))) for g in c.commands if g.kind == "glyph"]
 
@@ -253,6 +258,7 @@ case("t13_differences", lambda k: fonts.differences([k, Name("a"), Name("b")]) i
 case("t15_cmap_get", lambda k: fonts.character_map(b"beginbfchar\n<02> <0048>\nendbfchar").get(2 if k % 2 else 10), "CASE WHEN n_nationkey % 2 = 1 THEN 'H' ELSE 'None' END")
 case("t16_show_text_dispatch", lambda k: [len(_glyphs(_fonted(f)(k))) for f in (_simple, _type0, _type3)], "'[1, 0, 1]'")
 case("t17_type0_layout", lambda k: _glyphs(_fonted(_type0, b"BT /F1 1000 Tf <00020009> Tj ET")(k)), f"'[(2, ''' || {K} || '''), (9, ''900'')]'")
+case("t18_outline_capture", lambda k: _path([c for c in _fonted(_outlined, b"BT /F1 100 Tf %d 0 Td (B) Tj ET" % k)(k).commands if c.kind == "fill"][0].path), f"'move ' || {K} || ' 792;line ' || CAST(n_nationkey + 100 AS VARCHAR) || ' 792;line ' || CAST(n_nationkey + 50 AS VARCHAR) || ' 692;line ' || {K} || ' 792;close'")
 case("t19_type1_layout", lambda k: _path([c for c in _fonted(_type1, b"BT /F1 1000 Tf ( ) Tj ET")(k).commands if c.kind == "fill"][0].path), f"'move ' || {K} || ' 792;line ' || CAST(n_nationkey + 10 AS VARCHAR) || ' 792;close'")
 case("t20_type3_layout", lambda k: _glyphs(_fonted(_type3, b"BT /F1 10 Tf (A) Tj ET")(k)), "'[(65, ''' || CASE WHEN n_nationkey = 0 THEN '0.01' ELSE CAST(n_nationkey AS VARCHAR) END || ''')]'")
 

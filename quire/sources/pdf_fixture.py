@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable, Mapping
 
@@ -91,3 +92,22 @@ def text_page(lines: Iterable[str], font: str = "F1", size: int = 12) -> bytes:
         out += [b"10 %d 500 12 re" % (y - 2), b"S", b"BT", b"/%s %d Tf" % (font.encode(), size), b"1 0 0 1 12 %d Tm" % y, b"(" + shown + b") Tj", b"ET"]
     out.append(b"Q")
     return b"\n".join(out)
+
+
+def tiny_font() -> bytes:
+    """Glyph 1: a triangle; glyph 2: a circle of control points; glyph 3: glyph 1 moved by (10, 20). A is glyph 1."""
+    triangle = struct.pack(">hhhhh", 1, 0, 0, 100, 100) + struct.pack(">H", 2) + b"\0\0" + bytes([1, 1, 1]) + struct.pack(">hhh", 0, 100, -50) + struct.pack(">hhh", 0, 0, 100)
+    circle = struct.pack(">hhhhh", 1, 0, 0, 100, 100) + struct.pack(">H", 3) + b"\0\0" + bytes([0] * 4) + struct.pack(">hhhh", 0, 100, 0, -100) + struct.pack(">hhhh", 0, 0, 100, 0)
+    moved = struct.pack(">hhhhh", -1, 0, 0, 0, 0) + struct.pack(">HHbb", 2, 1, 10, 20)
+    glyphs = [b"", triangle, circle, moved]
+    glyphs = [g + b"\0" * (len(g) % 2) for g in glyphs]
+    offsets = [sum(map(len, glyphs[:i])) // 2 for i in range(5)]
+    cmap = struct.pack(">HH", 0, 1) + struct.pack(">HHI", 3, 1, 12) + struct.pack(">HHHHH", 6, 12, 0, 65, 1) + struct.pack(">H", 1)
+    head = bytearray(54)
+    head[18:20] = struct.pack(">H", 100)
+    tables = {"cmap": cmap, "glyf": b"".join(glyphs), "head": bytes(head), "loca": struct.pack(">5H", *offsets), "maxp": struct.pack(">IH", 0x10000, 4)}
+    at, directory, body = 12 + 16 * len(tables), b"", b""
+    for tag, data in tables.items():
+        directory += struct.pack(">4sIII", tag.encode(), 0, at + len(body), len(data))
+        body += data + b"\0" * (-len(data) % 4)
+    return struct.pack(">IHHHH", 0x10000, len(tables), 0, 0, 0) + directory + body

@@ -8,7 +8,7 @@ from quire.functions import calculator, fonts
 from quire.operators import canvas
 from quire.operators import pdf_document as D
 from quire.sources import content
-from quire.sources.pdf_fixture import Writer, document
+from quire.sources.pdf_fixture import Writer, document, tiny_font
 from quire.sources.pdf_syntax import Hex, Indirect, Name, PdfError, Ref, Scanner, Stream, Text, Trailer, Xref, parse_value
 
 GOOD = [
@@ -160,3 +160,22 @@ def test_images_and_luminosity():
     assert canvas.expand_image(bytes([9, 8]), 1, 2) == bytes([9, 9, 9, 255, 8, 8, 8, 255])
     assert canvas.expand_image(bytes([1, 2, 3]), 1, 1, bytes([7])) == bytes([1, 2, 3, 7])
     assert canvas.expand_image(bytes([1, 2, 3, 200]), 1, 1, bytes([128])) == bytes([1, 2, 3, 100])
+
+
+def test_true_type_outlines():
+    from quire.functions.truetype import true_type
+
+    font = true_type(tiny_font())
+    assert (font.units, font.glyphs, font.characters) == (100, 4, {65: 1})
+    assert font.outline(0) == [] and font.outline(1) == [("move", [0, 0]), ("line", [100, 0]), ("line", [50, 100]), ("line", [0, 0]), ("close", [])]
+    assert font.outline(2)[0] == ("move", [0, 50]) and [v for v, _ in font.outline(2)] == ["move", "quad", "quad", "quad", "quad", "close"]
+    assert font.outline(3)[1] == ("line", [110, 20])
+    with pytest.raises(PdfError):
+        font.outline(9)
+
+    def extend(w: Writer):
+        file, codes = w.stream({}, tiny_font()), w.stream({}, b"beginbfchar\n<42> <0041>\nendbfchar")
+        return {"Font": {"F1": w.add({"Subtype": Name("TrueType"), "FirstChar": 66, "LastChar": 66, "Widths": [500], "ToUnicode": codes, "FontDescriptor": {"FontFile2": file}})}}
+
+    c = commands(b"BT /F1 10 Tf (B) Tj ET", extend=extend)
+    assert [x.kind for x in c.commands] == ["glyph", "fill"] and c.commands[1].path[1] == ("line", [10.0, 792.0])
