@@ -212,13 +212,14 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -
     sizes = families.groupBy("family").agg(F.count("*").alias("members"))
     placed = materialize(families.join(sizes, "family").join(classes.select("doc_id", "h"), "doc_id"), "families")
 
-    # Their texts, once: dealt to groups by family, or by block of a large family.
+    # Their texts, once: dealt to groups by family, or by block of a large family. Merging at every size
+    # keeps the plan, and with it the growth, the same when few families would fit a broadcast.
     bins = max(1, -(-placed.count() // BIN))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     group = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family", block))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    members = placed.withColumns({"g": group, "block": block, "blocks": blocks}).join(texts, ["doc_id", "h"])
+    members = placed.withColumns({"g": group, "block": block, "blocks": blocks}).join(texts.hint("merge"), ["doc_id", "h"])
     members = materialize(members.select("doc_id", "family", "g", "block", "blocks", "text"), "members")
     links = materialize(members.select("g", "doc_id", "text").groupBy("g").applyInArrow(_within(k, percent), "a long, b long"), "links")
     labels = components(links)
