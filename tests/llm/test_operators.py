@@ -487,3 +487,18 @@ def test_substring_removal_by_brute_force(spark):
 def test_substring_keeps_other_columns(spark, edges):
     found = substring.remove_repeats(edges.withColumn("n_words", F.lit("clash")))
     assert found.columns == [*edges.columns, "n_words", "n_removed", "kept_text"] and found.count() == len(EDGES)
+
+
+@pytest.mark.parametrize("small", [0, 3, 1000])
+def test_components(spark, monkeypatch, small):
+    from quire.llm import components
+
+    monkeypatch.setattr(components, "SMALL", small)
+    edges = [(i + 1, i) for i in range(0, 30)] + [(100, 90), (90, 95), (95, 100), (200, 200), (7, 3), (7, 3)] + [(500, 300 + i) for i in range(20)]
+    up = {x: x for e in edges for x in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    del up[200]
+    found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == up and len(found) == len(up)
