@@ -288,7 +288,7 @@ def score(docs: DataFrame, fold: int = 2, of: int = 7) -> DataFrame:
     grams = dealt.groupBy("block").applyInArrow(_collect(ranges), "block long, kind int, r int, keys binary, data binary")
     priced = grams.groupBy("kind", "r").applyInArrow(_price_range(pairs), "block long, kind int, keys binary, data binary, tokens long, types long")
     priced = materialize(priced, "priced")
-    totals = priced.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("_types"))
+    tokens, types = priced.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     scored = dealt.groupBy("block").cogroup(priced.select("block", "kind", "keys", "data").groupBy("block")).applyInArrow(_score, _SCORED)
-    base = F.col("count_log") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("_types") + 1)
-    return scored.crossJoin(F.broadcast(totals)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
+    base = F.col("count_log") - F.col("n_tokens") * F.log10(F.lit(tokens + types + 1))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
