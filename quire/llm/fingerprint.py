@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import materialize
+
 ID_LANES = 8  # two to a 64-bit hash
 SIM_WORDS = 32  # sums of 64-bit words that hold two 32-bit lanes each
 LANE = 1 << 32
@@ -141,10 +143,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("_id", F.xxhash64("text").alias("_t"), "text")
-    lengths = rows.groupBy("_id").agg(F.max(F.length("text")).alias("_most"))
+    lengths = materialize(rows.groupBy("_id").agg(F.max(F.length("text")).alias("_most")), "lengths")
     pairs = following(lengths, "_id")
-    first = lengths.agg(F.min("_id").alias("_first"))
-    pairs = pairs.crossJoin(F.broadcast(first)).select("_id", F.coalesce("_next", "_first").alias("_next"))
+    first = lengths.agg(F.min("_id")).first()[0]  # follows the last
+    pairs = pairs.select("_id", F.coalesce("_next", F.lit(first)).alias("_next"))
     before = pairs.join(lengths, "_id").select(F.col("_id").alias("_prev"), F.col("_next").alias("_id"), F.floor(F.col("_most") / 2).cast("int").alias("_need"))
 
     order = Window.partitionBy("_id").orderBy("_t")
