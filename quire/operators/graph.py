@@ -1,20 +1,33 @@
-"""Object-graph lookups as joins and recursive queries over the node table."""
+"""Object-graph lookups as joins over the node table, level by level."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.session import materialize, scratch_path
+
 MAX_HOPS = 16
 
 
-def _view(df: DataFrame) -> str:
-    name = f"quire_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
+def _levels(first: DataFrame, follow: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """``first``, what ``follow`` makes of it, what it makes of that, and so on until a level is empty.
+
+    Each level is written to shared storage before the next one reads it, so
+    neither the rows nor the levels are bounded, as they are in recursive SQL.
+    """
+    spark, folder = first.sparkSession, scratch_path(first.sparkSession, label)
+    read, paths, level = spark.read.schema(first.schema), [], first
+    while True:
+        paths.append(f"{folder}/level-{len(paths)}")
+        level.write.parquet(paths[-1])
+        level = read.parquet(paths[-1])
+        if level.isEmpty():
+            return read.parquet(*paths)
+        level = follow(level).select(*first.columns)
 
 
 def resolve(starts: DataFrame, objects: DataFrame) -> DataFrame:
@@ -24,16 +37,16 @@ def resolve(starts: DataFrame, objects: DataFrame) -> DataFrame:
     it is nothing but one, else null. The result is the first object that is no
     reference, or null where an object is missing or ``MAX_HOPS`` are used up.
     """
-    s, o = _view(starts.select("doc_id", "ref").distinct()), _view(objects.select("doc_id", "obj_num", "next_ref"))
-    chased = objects.sparkSession.sql(f"""
-        WITH RECURSIVE chase(doc_id, ref, at, hops) AS (
-          SELECT doc_id, ref, CAST(ref AS BIGINT), 0 FROM {s}
-          UNION ALL
-          SELECT c.doc_id, c.ref, CAST(x.next_ref AS BIGINT), c.hops + 1 FROM chase c JOIN {o} x ON x.doc_id = c.doc_id AND x.obj_num = c.at
-          WHERE x.next_ref IS NOT NULL AND c.hops < {MAX_HOPS}
-        ) SELECT * FROM chase""")
-    last = chased.join(objects.where("next_ref IS NULL").select("doc_id", F.col("obj_num").cast("long").alias("at")), ["doc_id", "at"])
-    return starts.select("doc_id", "ref").distinct().join(last.select("doc_id", "ref", F.col("at").alias("obj_num"), "hops"), ["doc_id", "ref"], "left")
+    objects = materialize(objects.select("doc_id", F.col("obj_num").cast("long").alias("at"), F.col("next_ref").cast("long").alias("next")), "objects")
+    links = objects.where("next IS NOT NULL")
+    starts = starts.select("doc_id", "ref").distinct()
+
+    def follow(level: DataFrame) -> DataFrame:
+        return level.where(F.col("hops") < MAX_HOPS).join(links, ["doc_id", "at"]).select("doc_id", "ref", F.col("next").alias("at"), (F.col("hops") + 1).alias("hops"))
+
+    chased = _levels(starts.select("doc_id", "ref", F.col("ref").cast("long").alias("at"), F.lit(0).alias("hops")), follow, "chase")
+    last = chased.join(objects.where("next IS NULL").select("doc_id", "at"), ["doc_id", "at"])
+    return starts.join(last.select("doc_id", "ref", F.col("at").alias("obj_num"), "hops"), ["doc_id", "ref"], "left")
 
 
 def page_tree(roots: DataFrame, kids: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -42,16 +55,16 @@ def page_tree(roots: DataFrame, kids: DataFrame, kinds: DataFrame) -> DataFrame:
     ``roots`` (doc_id, obj_num), ``kids`` (doc_id, obj_num, idx, kid), ``kinds``
     (doc_id, obj_num, kind). A kid that is above itself is not followed.
     """
-    r, k = _view(roots), _view(kids)
-    walked = roots.sparkSession.sql(f"""
-        WITH RECURSIVE walk(doc_id, obj_num, place, above) AS (
-          SELECT doc_id, CAST(obj_num AS BIGINT), CAST(array() AS ARRAY<INT>), array(CAST(obj_num AS BIGINT)) FROM {r}
-          UNION ALL
-          SELECT w.doc_id, CAST(k.kid AS BIGINT), concat(w.place, array(CAST(k.idx AS INT))), concat(w.above, array(CAST(k.kid AS BIGINT)))
-          FROM walk w JOIN {k} k ON k.doc_id = w.doc_id AND k.obj_num = w.obj_num
-          WHERE NOT array_contains(w.above, CAST(k.kid AS BIGINT))
-        ) SELECT doc_id, obj_num, place FROM walk""")
-    pages = walked.join(kinds.where("kind = 'Page'").select("doc_id", F.col("obj_num").cast("long").alias("obj_num")), ["doc_id", "obj_num"])
+    number = F.col("obj_num").cast("long")
+    kids = materialize(kids.select("doc_id", number.alias("obj_num"), F.col("idx").cast("int").alias("idx"), F.col("kid").cast("long").alias("kid")), "kids")
+
+    def follow(level: DataFrame) -> DataFrame:
+        below = level.join(kids, ["doc_id", "obj_num"]).where(~F.array_contains("above", F.col("kid")))
+        return below.select("doc_id", F.col("kid").alias("obj_num"), F.concat("place", F.array("idx")).alias("place"), F.concat("above", F.array("kid")).alias("above"))
+
+    first = roots.select("doc_id", number.alias("obj_num"), F.array().cast("array<int>").alias("place"), F.array(number).alias("above"))
+    walked = _levels(first, follow, "walk").select("doc_id", "obj_num", "place")
+    pages = walked.join(kinds.where("kind = 'Page'").select("doc_id", number.alias("obj_num")), ["doc_id", "obj_num"])
     order = Window.partitionBy("doc_id").orderBy("place")
     return pages.select("doc_id", (F.row_number().over(order) - 1).alias("page_index"), "obj_num")
 

@@ -115,7 +115,7 @@ def show_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("g07_page_tree", f"SELECT doc_id, CAST(i AS INTEGER) AS page_index, CAST(4 + 2 * i AS BIGINT) AS obj_num FROM (SELECT doc_id, unnest(range(p)) AS i FROM ({_SIZES}))")
 def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages in order by a recursive query over the node table."""
+    """Pages in order by a walk over the node table."""
     nodes = read_table(files(spark, sf_dir), "nodes")
     kinds = graph.entries(nodes, "Type").select("doc_id", "obj_num", F.col("s").alias("kind"))
     roots = graph.entries(nodes, "Pages").select("doc_id", F.col("ref").alias("obj_num"))
