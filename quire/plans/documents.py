@@ -313,10 +313,10 @@ def width_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("t14_character_map", "SELECT p_partkey, chr(CAST(65 + p_partkey % 26 AS INTEGER)) AS ch FROM part WHERE p_partkey < 65536")
 def to_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A character map with a pair per part, read back by code."""
-    pair = F.format_string("<%04X> <%04X>", "p_partkey", F.lit(65) + F.col("p_partkey") % 26)
+    """A character map with a pair per part, read back by code: the key's low two bytes."""
+    pair = F.format_string("<%04X> <%04X>", F.col("p_partkey") % 65536, F.lit(65) + F.col("p_partkey") % 26)
     text = F.concat(F.lit("1 beginbfchar\n"), pair, F.lit("\nendbfchar"))
-    rows = table(spark, sf_dir, "part").where("p_partkey < 65536").select(F.col("p_partkey").alias("doc_id"), text.cast("binary").alias("content"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.cast("binary").alias("content"))
 
     def reader(data: bytes, options: dict) -> Iterator[dict]:
         from quire.functions.fonts import character_map
@@ -324,7 +324,7 @@ def to_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
         for code, ch in character_map(data).items():
             yield {"code": code, "ch": ch}
 
-    return per_document(rows, "code long, ch string", reader).where("code = doc_id").select(F.col("doc_id").alias("p_partkey"), "ch")
+    return per_document(rows, "code long, ch string", reader).where("code = doc_id % 65536").select(F.col("doc_id").alias("p_partkey"), "ch")
 
 
 @register("cf03_encoded_int", "SELECT c_custkey, CAST(c_custkey % 2000 - 1000 AS BIGINT) AS value FROM customer")
