@@ -9,14 +9,16 @@
   too. A voter fires or not.
 * Label model. Two latent classes, each voter with a firing rate per class
   (its accuracy and coverage), estimated by expectation maximization over the
-  votes. Voters that fire together more than the classes explain share one
+  counts of vote patterns of all training texts. On a text without a label the
+  annotators abstain. Voters that fire together more than the classes explain share one
   weight: correlations of the residuals, estimated each round, divide the
   evidence of correlated voters.
 * Classifier. Logistic regression on lexicon counts and patterns, trained on
   the label model's posteriors, by Newton steps with an L2 penalty.
 
-The fit sees at most ``FIT_ROWS`` labelled training texts, chosen by a hash of
-doc_id; scoring is one pass over all texts without a shuffle, with the lexicon
+Forms are counted over all labelled training texts and votes over all training
+texts. The logistic regression alone is bounded: it sees at most ``FIT_ROWS``
+labelled training texts, chosen by a hash of doc_id. Scoring is one pass over all texts without a shuffle, with the lexicon
 and weights broadcast (bounded by LEXICON).
 
 Defined cases: a null, empty or letterless text has no forms and gets the
@@ -40,7 +42,7 @@ from quire.llm import byteops as B
 from quire.llm.langid import held_out
 from quire.session import materialize
 
-#: Labelled texts that the fit sees at most.
+#: Labelled texts that the logistic regression sees at most.
 FIT_ROWS = 12_000
 #: Forms in the lexicon at most.
 LEXICON = 512
@@ -136,23 +138,43 @@ def votes(x: np.ndarray, size: int, labels: np.ndarray) -> np.ndarray:
     return np.concatenate((lexical, x[:, size:] > 0, labels[:, None] > 0), axis=1).astype(np.float64)
 
 
-def label_model(v: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the toxic class for each row of votes, and the voters' rates (2 x voters)."""
+def _bits(v: np.ndarray) -> np.ndarray:
+    """A number for each row of votes, without the annotators' vote."""
+    return v[:, :-1].astype(np.int64) @ (1 << np.arange(v.shape[1] - 1))
+
+
+def _unbits(bits: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The rows of votes of such numbers and labels (-1: none)."""
+    lexical = bits[:, None] >> np.arange(GROUPS + len(PATTERNS)) & 1
+    return np.concatenate((lexical, label[:, None] > 0), axis=1).astype(np.float64)
+
+
+def label_model(v: np.ndarray, count: np.ndarray | None = None, known: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of the toxic class for each row of votes, and the voters' rates (2 x voters).
+
+    A row stands for ``count`` texts. Where ``known`` is false, the last voter abstains.
+    """
     n, m = v.shape
-    start = np.clip(v.mean(axis=1) * 3, 0.02, 0.98)
-    start = np.where(v[:, -1] > 0, np.maximum(start, 0.8), np.minimum(start, 0.3))
+    count = np.ones(n) if count is None else count.astype(np.float64)
+    cast = np.ones((n, m))
+    if known is not None:
+        cast[:, -1] = known
+    v = v * cast
+    start = np.clip(v.sum(axis=1) / cast.sum(axis=1) * 3, 0.02, 0.98)
+    start = np.where(cast[:, -1] == 0, start, np.where(v[:, -1] > 0, np.maximum(start, 0.8), np.minimum(start, 0.3)))
     q, weight, rates = start, np.ones(m), np.zeros((2, m))
     for _ in range(rounds):
-        prior = np.clip(q.mean(), 1e-3, 0.5)
+        prior = np.clip(np.average(q, weights=count), 1e-3, 0.5)
         for c, p in ((1, q), (0, 1 - q)):
-            rates[c] = np.clip((p @ v + 0.5) / (p.sum() + 1.0), 1e-3, 1 - 1e-3)
+            rates[c] = np.clip(((p * count) @ v + 0.5) / ((p * count) @ cast + 1.0), 1e-3, 1 - 1e-3)
         # What votes share beyond the classes: correlations of the residuals.
-        rest = v - (q[:, None] * rates[1] + (1 - q)[:, None] * rates[0])
-        scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        shared = np.abs((rest / scale).T @ (rest / scale) / n)
+        rest = (v - (q[:, None] * rates[1] + (1 - q)[:, None] * rates[0])) * cast
+        both = np.maximum((cast * count[:, None]).T @ cast, 1.0)
+        scale = np.sqrt((count @ rest**2) / np.diag(both)) + 1e-9
+        shared = np.abs(((rest * count[:, None]).T @ rest) / both / np.outer(scale, scale))
         np.fill_diagonal(shared, 0)
         weight = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(axis=1))
-        odds = v @ (weight * np.log(rates[1] / rates[0])) + (1 - v) @ (weight * np.log((1 - rates[1]) / (1 - rates[0])))
+        odds = v @ (weight * np.log(rates[1] / rates[0])) + (cast - v) @ (weight * np.log((1 - rates[1]) / (1 - rates[0])))
         new = 1 / (1 + np.exp(-np.clip(odds + np.log(prior / (1 - prior)), -40, 40)))
         if np.abs(new - q).max() < 1e-6:
             break
@@ -201,9 +223,11 @@ def _form_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             pos = np.add.reduceat(label, edge)
             sums.append((h[edge], np.stack((np.diff(np.append(edge, len(h))) - pos, pos), axis=1)))
-        if sum(len(k) for k, _ in sums) > 2_000_000:
-            yield flush()
-            sums.clear()
+        if sum(len(k) for k, _ in sums) > 4_000_000:
+            sums[:] = merged()
+            if len(sums[0][0]) > 2_000_000:
+                yield flush()
+                sums.clear()
     if sums:
         yield flush()
 
@@ -211,15 +235,15 @@ def _form_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None:
     """The model: sorted lexicon hashes and classifier weights, or None without both classes."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(1, 3)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    own = docs.where(F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"))
-    # Ids only; only ids that have a text count against the bound.
-    picked = own.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    sample = materialize(own.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), "labelled")
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = materialize(known, "known")
+    own = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull() & ~held_out(1, 3)).select("doc_id", F.col(text).alias("text"))
+    # Only labels of ids that have a text count.
+    labelled = own.select("doc_id").join(known, "doc_id")
+    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return None
-    counts = sample.mapInArrow(_form_counts, "form long, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = own.join(known, "doc_id").select("text", "toxic").mapInArrow(_form_counts, "form long, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     least = max(3, pos // 400)
     rate = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     best = counts.where(F.col("pos") >= least).withColumn("rate", rate).where("rate > 2.5").orderBy(F.desc(F.col("rate") * F.sqrt(F.col("pos"))), "form").limit(LEXICON)
@@ -227,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
     ranked = np.array([r["form"] for r in rows], np.int64).view(np.uint64)
     if not len(ranked):
         return None
-    shared = sample.sparkSession.sparkContext.broadcast(ranked)
+    shared = docs.sparkSession.sparkContext.broadcast(ranked)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value)
@@ -241,13 +265,30 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
                     names=["toxic", "form", "n", *PLAIN],
                 )
 
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, size = Lexicon(shared.value), len(shared.value)
+        for batch in batches:
+            ids = B.column(batch, "doc_id")
+            for lo, hi, buf, off in B.slices(B.column(batch, "text")):
+                bits = _bits(votes(design(*lexicon(buf, off), size), size, np.zeros(hi - lo)))
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(bits)], names=["doc_id", "bits"])
+
+    cast = own.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(vote, "doc_id long, bits long")
+    # At most a row per pattern reaches the driver.
+    patterns = cast.join(known, "doc_id", "left").groupBy("bits", F.coalesce("toxic", F.lit(-1)).alias("label")).agg(F.count("*").alias("n")).orderBy("bits", "label").toArrow()
+    bits, label, n = (patterns.column(c).to_numpy() for c in ("bits", "label", "n"))
+    posterior, _ = label_model(_unbits(bits, label), n, label >= 0)
+
+    picked = labelled.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    sample = materialize(own.join(F.broadcast(picked), "doc_id").select("text", "toxic"), "labelled")
     seen = sample.mapInArrow(look, "toxic long, form array<long>, n array<long>, " + ", ".join(f"{c} long" for c in PLAIN)).orderBy("toxic", *PLAIN, "form", "n").toArrow()
     form = seen.column("form").combine_chunks()
     owner = np.repeat(np.arange(len(seen)), np.diff(form.offsets.to_numpy()))
     plain = np.stack([seen.column(c).to_numpy() for c in PLAIN], axis=1)
     x = design(owner, form.flatten().to_numpy(), seen.column("n").combine_chunks().flatten().to_numpy(), plain, len(ranked))
-    q, _ = label_model(votes(x, len(ranked), seen.column("toxic").to_numpy()))
-    return {"forms": np.sort(ranked), "weights": logistic(x, q)}
+    toxic = seen.column("toxic").to_numpy()
+    at = np.searchsorted(3 * bits + label, 3 * _bits(votes(x, len(ranked), np.zeros(len(x)))) + toxic)
+    return {"forms": np.sort(ranked), "weights": logistic(x, posterior[at])}
 
 
 def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
