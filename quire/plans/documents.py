@@ -184,6 +184,19 @@ def paint_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", F.round(F.get(corner, 0).cast("double"), 3).alias("x"), F.round(F.get(corner, 1).cast("double"), 3).alias("y"))
 
 
+@register(
+    "v03_paint_paths",
+    f"""SELECT doc_id, CAST(i // {LINES} AS INTEGER) AS page_index, CAST(i % {LINES} AS INTEGER) AS line, CAST(10.0 AS DOUBLE) AS x, CAST(34 + 14 * (i % {LINES}) AS DOUBLE) AS y
+       FROM (SELECT doc_id, unnest(range(n)) AS i FROM ({_SIZES}))""",
+)
+def paint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every painted rectangle's corner in device space, by page and line."""
+    strokes = interpret.draw_commands(files(spark, sf_dir)).where("kind = 'stroke'")
+    order = Window.partitionBy("doc_id", "page_index").orderBy("cmd_ord")
+    corner = F.get(F.col("path"), 0)["pts"]
+    return strokes.select("doc_id", "page_index", (F.row_number().over(order) - 1).alias("line"), F.round(F.get(corner, 0).cast("double"), 3).alias("x"), F.round(F.get(corner, 1).cast("double"), 3).alias("y"))
+
+
 # -- One file that has every operator ----------------------------------------------------------
 
 # An example of every operator that can be read.
