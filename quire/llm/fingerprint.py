@@ -2,27 +2,27 @@
 
 A document is the multiset of its paragraphs (lines). Each paragraph hashes to
 a wide vector, and the fingerprint is the sum of those vectors, each lane
-modulo a power of two, so the order of paragraphs does not matter and a
-paragraph is inserted or deleted by adding or subtracting its own vector.
+modulo 2**32, so the order of paragraphs does not matter and a paragraph is
+inserted or deleted by adding or subtracting its own vector (``combine``).
 
 Two kinds of lanes make up the vector:
 
-* identity lanes: ``ID_LANES`` lanes modulo 2**32, cut from 64-bit hashes of
-  the whole paragraph under different seeds; they decide equality;
-* likeness lanes: ``SIM_WORDS`` x 2 lanes modulo 2**32, the sums over the
-  paragraph's two-word shingles of random bits. A difference of two
-  fingerprints there estimates how many shingles differ, so fingerprints
-  alone tell how alike two texts are.
+* ``ids``: ``ID_LANES`` lanes, halves of 64-bit hashes of the whole paragraph
+  under different seeds; they decide equality;
+* ``lanes``: ``SIM_LANES`` lanes. Each two-word shingle of the paragraph hashes
+  to one lane, which it raises by one. The difference of two fingerprints
+  there estimates how many shingles differ, so fingerprints alone tell how
+  alike two texts are.
 
-Aggregation sums partial vectors on the map side; what is shuffled is one
-vector per document and task, never a text.
+A vector is one expression over its own row: texts are never exploded into
+words, and no aggregate carries lanes through a shuffle.
 
 Defined cases: a null text counts as empty; the empty text is one empty
-paragraph. The likeness of two texts without words is 1, of one with and one
-without is 0. Repeated rows keep a row each. Rows of null doc_id come last in
-order. Documents of equal doc_id have the same next document: the one of the
-next larger doc_id or, if several rows have that, the one whose text has the
-smallest hash.
+paragraph, whose only word is empty. Repeated rows keep a row each. Rows of null
+doc_id come last in order, with those of the largest long. Documents of equal
+doc_id have the same next document: the one of the next larger doc_id or, if
+several rows have that, the one whose text has the smallest hash. A table of
+one doc_id is its own next document. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,148 +33,156 @@ from pyspark.sql import functions as F
 from quire.session import materialize
 
 ID_LANES = 8  # two to a 64-bit hash
-SIM_WORDS = 32  # sums of 64-bit words that hold two 32-bit lanes each
-LANE = 1 << 32
-_LOW = 0x0000000100000001
+SIM_LANES = 128
+_LANE = 0xFFFFFFFF
 #: Stands for a null doc_id, which comes last in order.
 LAST_ID = (1 << 63) - 1
-SPACES = r"[\x20\x09-\x0D]+"
-#: Consecutive ids of a group when the next id is sought.
-SPAN = 4096
+#: Rows of one doc_id above this number are dealt to several keys.
+HOT = 4096
+#: At most so many ids are dealt so; their table is broadcast (24 bytes an id).
+HOT_IDS = 100_000
 
-VECTOR = [f"i{k}" for k in range(ID_LANES)] + [f"s{k}" for k in range(SIM_WORDS)] + ["n_units"]
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def vectors(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """One fingerprint vector per distinct ``key``: columns i0.., s0.., n_units, and copies.
 
-    Rows of equal key must have equal text. Their sums are so many times the
-    vector of one, and are divided by ``copies``, the number of such rows,
-    before lanes wrap.
-    """
-    step = texts.select(*key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_line", "_p"))
-    step = step.withColumn("_w", F.filter(F.split("_p", SPACES, -1), lambda w: w != ""))
-    units = F.transform("_w", lambda w, i: F.xxhash64(w, F.get("_w", i - 1)))
-    step = step.select(*key, "_line", *[F.xxhash64(F.lit(k), F.col("_p")).alias(f"_h{k}") for k in range(ID_LANES // 2)], F.posexplode_outer(units).alias("_at", "_u"))
-    # Identity lanes count once per paragraph: on its first unit, or on the row of a paragraph without any.
-    once = F.coalesce(F.col("_at"), F.lit(0)) == 0
-    sums = []
-    for k in range(ID_LANES):
-        half = F.shiftrightunsigned(F.col(f"_h{k // 2}"), 32 * (k % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-        sums.append(F.sum(F.when(once, half).otherwise(F.lit(0).cast("long"))).alias(f"i{k}"))
-    unit = F.coalesce(F.col("_u"), F.lit(0).cast("long"))
-    for k in range(SIM_WORDS):
-        sums.append(F.sum(F.shiftrightunsigned(unit, k).bitwiseAND(F.lit(_LOW))).alias(f"s{k}"))
-    sums.append(F.sum(F.when(F.col("_u").isNull(), 0).otherwise(1)).cast("long").alias("n_units"))
-    sums.append(F.sum(F.when(once & (F.col("_line") == 0), 1).otherwise(0)).cast("long").alias("copies"))
-    summed = step.groupBy(*key).agg(*sums)
-    one = {c: F.expr(f"{c} div copies") for c in VECTOR}
-    for k in range(ID_LANES):
-        one[f"i{k}"] = one[f"i{k}"].bitwiseAND(F.lit(0xFFFFFFFF))
-    return summed.select(*key, "copies", *[e.alias(c) for c, e in one.items()])
+def _ids(lines: Column) -> Column:
+    def lane(hashes: Column, k: int) -> Column:
+        def half(h: Column) -> Column:
+            return F.shiftrightunsigned(F.get(h, F.lit(k // 2)), 32 * (k % 2)).bitwiseAND(F.lit(_LANE))
+
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: (acc + half(h)).bitwiseAND(F.lit(_LANE)))
+
+    every = F.transform(lines, lambda p: F.array(*[F.xxhash64(F.lit(k), p) for k in range(ID_LANES // 2)]))
+    return _bound(every, lambda hashes: F.array(*[lane(hashes, k) for k in range(ID_LANES)]))
+
+
+def _lanes(lines: Column) -> Column:
+    # One character a shingle names its lane; a lane's count is how often the character occurs.
+    def codes(words: Column) -> Column:
+        return F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda x, y: F.when(x.isNotNull(), F.char(F.xxhash64(x, y).bitwiseAND(F.lit(SIM_LANES - 1)))))
+
+    spelled = F.array_join(F.flatten(F.transform(lines, lambda p: codes(F.split(p, " ", -1)))), "")
+    names = [chr(k) if chr(k).isalnum() else "\\" + chr(k) for k in range(SIM_LANES)]
+    every = F.array(*[F.lit(n) for n in names])
+    return _bound(spelled, lambda s: F.transform(every, lambda n: (F.size(F.split(s, n, -1)) - 1).cast("long")))
+
+
+def vector(text: Column) -> Column:
+    """The fingerprint vector of a text: struct of arrays ``ids`` and ``lanes``."""
+    return _bound(F.split(text, "\n", -1), lambda lines: F.struct(_ids(lines).alias("ids"), _lanes(lines).alias("lanes")))
 
 
 def combine(left: Column, right: Column, sign: int = 1) -> Column:
-    """The fingerprint struct of inserted (sign 1) or deleted (sign -1) paragraphs."""
-    lanes = [(left[c] + F.lit(sign) * right[c]).bitwiseAND(F.lit(0xFFFFFFFF)).alias(c) for c in VECTOR if c[0] == "i"]
-    sums = [(left[c] + F.lit(sign) * right[c]).alias(c) for c in VECTOR if c[0] != "i"]
-    return F.struct(*lanes, *sums)
+    """The vector after inserting (sign 1) or deleting (sign -1) the paragraphs of ``right``."""
+
+    def added(name: str) -> Column:
+        return F.zip_with(left[name], right[name], lambda x, y: (x + F.lit(sign) * y).bitwiseAND(F.lit(_LANE))).alias(name)
+
+    return F.struct(added("ids"), added("lanes"))
 
 
-def as_text(prefix: str = "") -> Column:
-    """The fingerprint as a hexadecimal string: identity lanes, then likeness lanes."""
-    ids = [F.lpad(F.lower(F.hex(F.col(prefix + f"i{k}"))), 8, "0") for k in range(ID_LANES)]
-    sims = [F.lpad(F.lower(F.hex(F.col(prefix + f"s{k}"))), 16, "0") for k in range(SIM_WORDS)]
-    return F.concat(*ids, *sims)
+def as_text(v: Column) -> Column:
+    """The vector as a string: identity lanes at eight hexadecimal digits, a colon, the other lanes with points between."""
+    ids = F.array_join(F.transform(v["ids"], lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.concat(ids, F.lit(":"), F.array_join(F.transform(v["lanes"], lambda x: F.lower(F.hex(x))), "."))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Estimated share of common shingles (Dice) of the fingerprints with these column prefixes.
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated share of common shingles (Dice) of two vectors, 0 to 1.
 
-    Each lane counts, of n units, those whose random bit is set. The centred
-    lanes x = 2 * lane - n have the number of units as expected square, and a
-    difference's expected square is the number of units by which two texts
-    differ (squared multiplicities); 1 - difference / total is the share in
-    common. Equal identity lanes mean 1 exactly.
+    The lanes of a text of n shingles, less their mean n / SIM_LANES, have the
+    number of shingles (squared multiplicities) as expected sum of squares, and
+    so has the difference of two texts for the shingles by which they differ:
+    1 - difference / total is the share in common. Equal identity lanes mean 1
+    exactly. The standard error at 0 is sqrt(2 / SIM_LANES), an eighth.
     """
-    na, nb = F.col(a + "n_units").cast("double"), F.col(b + "n_units").cast("double")
-    apart, total = F.lit(0.0), F.lit(0.0)
-    for k in range(SIM_WORDS):
-        for lane in range(2):
-            xa, xb = (2.0 * F.shiftrightunsigned(F.col(p + f"s{k}"), 32 * lane).bitwiseAND(F.lit(LANE - 1)) - n for p, n in ((a, na), (b, nb)))
-            apart, total = apart + (xa - xb) * (xa - xb), total + xa * xa + xb * xb
-    same = F.lit(True)
-    for k in range(ID_LANES):
-        same = same & (F.col(a + f"i{k}") == F.col(b + f"i{k}"))
-    empty = (na == 0) | (nb == 0)
-    raw = F.when(total > 0, 1.0 - apart / F.when(total > 0, total).otherwise(1.0)).otherwise(0.0)
-    return F.when(same, 1.0).when(empty, F.when(na == nb, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-
-
-def following(keys: DataFrame, column: str, levels: int = 3) -> DataFrame:
-    """Each distinct value of ``column`` (a long) and the next larger one, null for the last.
-
-    Values are grouped by ``value div SPAN``; inside a group the next value is
-    the window's lead, and the first value of the next group that exists
-    follows a group's last. Groups are found the same way one level up, so no
-    task sees all values; after ``levels`` levels what is left is ordered
-    as a whole (one row per SPAN ** levels consecutive values).
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+    def spread(values: Column) -> Column:
+        n = total(values)
+        return total(F.transform(values, lambda x: x * x)) - n * n / F.lit(float(SIM_LANES))
+
+    def doubles(v: Column) -> Column:
+        return F.transform(v["lanes"], lambda x: x.cast("double"))
+
+    apart = spread(F.zip_with(doubles(a), doubles(b), lambda x, y: x - y))
+    both = spread(doubles(a)) + spread(doubles(b))
+    raw = F.when(both > 0, 1.0 - apart / F.when(both > 0, both).otherwise(1.0)).otherwise(0.0)
+    return F.when(a["ids"] == b["ids"], 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+
+
+def neighbours(ids: DataFrame) -> DataFrame:
+    """``ids`` (one row per ``_id``, with ``_most``) with the id before, ``_prev``, and its ``_most`` as ``_need``.
+
+    The first row's is the last. Ids are dealt by range, so that a partition
+    looks at its own; only its first and last row reach the driver, two numbers
+    for each partition.
     """
-    own = keys.select(column).where(F.col(column).isNotNull()).distinct()
-    if levels == 0:
-        return own.withColumn("_next", F.lead(column).over(Window.orderBy(column)))
-    group, ahead = f"_group{levels}", f"_ahead{levels}"
-    own = own.withColumn(group, F.floor(F.col(column) / SPAN).cast("long"))
-    inside = own.withColumn("_inside", F.lead(column).over(Window.partitionBy(group).orderBy(column)))
-    firsts = own.groupBy(group).agg(F.min(column).alias("_first"))
-    groups = following(firsts, group, levels - 1).withColumnRenamed("_next", ahead)
-    beyond = groups.join(firsts.withColumnRenamed(group, ahead), ahead).select(group, "_first")
-    return inside.join(beyond, group, "left").select(column, F.coalesce("_inside", "_first").alias("_next"))
+    spark = ids.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(ids.repartitionByRange(parts, "_id").withColumn("_part", F.spark_partition_id()), "ids")
+    ends = dealt.groupBy("_part").agg(F.min("_id").alias("first"), F.max(F.struct("_id", "_most")).alias("last")).orderBy("first").collect()
+    order = Window.partitionBy("_part").orderBy("_id")
+    seen = dealt.withColumns({"_prev": F.lag("_id").over(order), "_need": F.lag("_most").over(order)})
+    if not ends:
+        return seen.drop("_part")
+    before = [ends[i - 1].last for i in range(len(ends))]
+
+    def outside(values: list) -> Column:
+        table = F.map_from_arrays(F.lit([e["_part"] for e in ends]), F.lit(values))
+        return F.element_at(table, F.col("_part"))
+
+    return seen.select(*ids.columns, F.coalesce("_prev", outside([b["_id"] for b in before])).alias("_prev"), F.coalesce("_need", outside([b["_most"] for b in before])).alias("_need"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """The fingerprint of every text, of its edited text, and how alike they are.
 
     The edited text's last floor(n / 2) code points are replaced by the first
-    as many of the next document's text. Texts are shuffled once by doc_id and
-    half of them once more, to the document before; all else moves vectors.
+    as many of the next document's text. Texts are shuffled once by doc_id, with
+    their vectors, and half of them once more, to the document before; the
+    order of ids is found from ids alone. Rows of a doc_id that more than
+    ``HOT`` rows have are dealt to several keys.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, next_doc_id.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("_id", F.xxhash64("text").alias("_t"), "text")
-    lengths = materialize(rows.groupBy("_id").agg(F.max(F.length("text")).alias("_most")), "lengths")
-    pairs = following(lengths, "_id")
-    first = lengths.agg(F.min("_id")).first()[0]  # follows the last
-    pairs = pairs.select("_id", F.coalesce("_next", F.lit(first)).alias("_next"))
-    before = pairs.join(lengths, "_id").select(F.col("_id").alias("_prev"), F.col("_next").alias("_id"), F.floor(F.col("_most") / 2).cast("int").alias("_need"))
-
-    order = Window.partitionBy("_id").orderBy("_t")
-    kept = rows.withColumns({"_k": F.row_number().over(order), "_before": F.lag("_t").over(order)})
-    distinct = kept.where(F.col("_before").isNull() | (F.col("_before") != F.col("_t"))).select("_id", "_t", "_k", "text")
-    ahead = distinct.where(F.col("_k") == 1).join(before, "_id").select(F.col("_prev").alias("_id"), F.col("_id").alias("_next"), F.col("_t").alias("_next_t"), F.expr("substring(text, 1, _need)").alias("_head"))
-    joined = distinct.join(ahead, "_id")
+    ids = rows.groupBy("_id").agg(F.max(F.length("text")).cast("long").alias("_most"), F.min(F.xxhash64("text")).alias("_least"), F.count("*").alias("_rows"))
+    ids = materialize(ids, "lengths")
+    total = ids.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    hot = F.broadcast(ids.where(F.col("_rows") > max(HOT, total // HOT_IDS)).select("_id", F.ceil(F.col("_rows") / HOT).alias("_salts")))
+
+    salt = F.pmod(F.xxhash64("text"), F.coalesce("_salts", F.lit(1).cast("long")))
+    dealt = rows.join(hot, "_id", "left").select("_id", F.when(F.col("_salts").isNull(), F.lit(0).cast("long")).otherwise(salt).alias("_salt"), "text", vector(F.col("text")).alias("own"))
+
+    def everywhere(df: DataFrame) -> DataFrame:
+        """A row for each key of its ``_id``."""
+        return df.join(hot, "_id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1))).drop("_salts")
+
+    pairs = everywhere(neighbours(ids).select("_id", "_least", "_prev", F.floor(F.col("_need") / 2).cast("int").alias("_need")))
+    # Merge joins at every size: both sides of the last one read the one shuffle of the texts.
+    # (No hash is below the least; an equality here would become a join key and cost a shuffle of its own.)
+    ahead = dealt.join(pairs.hint("merge"), ["_id", "_salt"]).where(F.xxhash64("text") <= F.col("_least"))
+    ahead = ahead.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_salt").orderBy("_least"))).where("_copy = 1")
+    ahead = everywhere(ahead.select(F.col("_prev").alias("_id"), F.col("_id").alias("_next"), F.expr("substring(text, 1, _need)").alias("_head"), F.col("own").alias("theirs")))
+
+    joined = dealt.join(ahead.hint("merge"), ["_id", "_salt"])
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = joined.withColumn("_half", half).select("_id", "_t", "_next", "_next_t", F.length("text").cast("long").alias("n_chars"), F.expr("concat(substring(text, 1, length(text) - _half), substring(_head, 1, _half))").alias("_edited"))
-    edited = edited.withColumn("edited_sha256", F.sha2(F.encode("_edited", "UTF-8"), 256))
-    theirs = vectors(edited, ["_id", "_t", "_next", "_next_t", "n_chars", "edited_sha256"], "_edited").drop("copies")
-    own = vectors(rows, ["_id", "_t"])
-
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(prefix + c if c in VECTOR else c) for c in df.columns])
-
-    ours = named(own, "a_")
-    nexts = named(own.drop("copies"), "c_").withColumnsRenamed({"_id": "_next", "_t": "_next_t"})
-    result = ours.join(named(theirs, "b_"), ["_id", "_t"]).join(nexts, ["_next", "_next_t"])
-    result = result.select(
+    edited = joined.withColumn("_half", half).select("_id", "_next", F.length("text").cast("long").alias("n_chars"), "own", "theirs", F.expr("concat(substring(text, 1, length(text) - _half), substring(_head, 1, _half))").alias("_edited"))
+    edited = edited.select("*", F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"), vector(F.col("_edited")).alias("new"))
+    own, new, theirs = F.col("own"), F.col("new"), F.col("theirs")
+    return edited.select(
         F.when(F.col("_id") != LAST_ID, F.col("_id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        as_text("a_").alias("fingerprint"),
-        as_text("b_").alias("edited_fingerprint"),
-        likeness("a_", "b_").alias("near_edited"),
-        likeness("a_", "c_").alias("near_next"),
+        as_text(own).alias("fingerprint"),
+        as_text(new).alias("edited_fingerprint"),
+        likeness(own, new).alias("near_edited"),
+        likeness(own, theirs).alias("near_next"),
         F.when(F.col("_next") != LAST_ID, F.col("_next")).alias("next_doc_id"),
-        "copies",
     )
-    return result.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy", "copies")

@@ -217,45 +217,88 @@ def test_label_model_trusts_better_voters():
 # -- 2 -----------------------------------------------------------------------------------
 
 
-def test_fingerprints(spark, edges):
+def naive_vector(text):
+    """Lanes as the module defines them, hashes taken from Spark's xxhash64 through ``hashes``."""
+    return [(p, [(w, prev) for w, prev in zip(p.split(" "), ["", *p.split(" ")])]) for p in text.split("\n")]
+
+
+def test_fingerprints(spark, edges, monkeypatch):
+    monkeypatch.setattr(fingerprint, "HOT", 1)  # rows of a repeated id go to several keys
+    docs = [(i, t or "") for i, t in EDGES]
     found = fingerprint.fingerprints(edges).collect()
     assert len(found) == len(EDGES)
-    order = sorted({i for i, _ in EDGES if i is not None})
-    first = {i: [t or "" for j, t in EDGES if j == i] for i in order}
-    by_text = {}
-    for r in found:
-        if r.doc_id is None or len(set(first[r.doc_id])) > 1:
-            continue
-        own = first[r.doc_id][0]
-        nxt = order[order.index(r.doc_id) + 1] if r.doc_id != order[-1] else None
-        if nxt is None:
-            continue  # a row of null id follows
-        half = len(own) // 2
-        edited = own[: len(own) - half] + first[nxt][0][:half]
-        assert r.n_chars == len(own) and r.next_doc_id == nxt
-        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert by_text.setdefault(own, r.fingerprint) == r.fingerprint
-    assert len(set(by_text.values())) == len(by_text)
-    assert len({r.fingerprint for r in found if r.doc_id in (7, 8)}) == 1
+    order = sorted({fingerprint.LAST_ID if i is None else i for i, _ in docs})
+    texts = {i: [t for j, t in docs if (fingerprint.LAST_ID if j is None else j) == i] for i in order}
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in docs}], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    head = {i: min(texts[i], key=hashes.get) for i in order}
+    want = []
+    for i, t in docs:
+        own = fingerprint.LAST_ID if i is None else i
+        nxt = order[(order.index(own) + 1) % len(order)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + head[nxt][:half]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), None if nxt == fingerprint.LAST_ID else nxt, edited, head[nxt]))
+    assert rows_of(spark.createDataFrame(found), "doc_id", "n_chars", "edited_sha256", "next_doc_id") == sorted((w[:4] for w in want), key=repr)
+    # Equal texts have equal fingerprints wherever they stand, and no others have.
+    by_sha = {}
+    for (i, t), w in zip(docs, want):
+        for r in found:
+            if (r.doc_id, r.n_chars, r.edited_sha256) == (w[0], w[1], w[2]):
+                by_sha.setdefault(hashlib.sha256(t.encode()).hexdigest(), set()).add(r.fingerprint)
+                by_sha.setdefault(w[2], set()).add(r.edited_fingerprint)
+    assert all(len(v) == 1 for v in by_sha.values()) and len({next(iter(v)) for v in by_sha.values()}) == len(by_sha)
+
+
+def test_fingerprint_likeness_by_brute_force(spark):
+    """near_edited and near_next against lanes counted one shingle at a time."""
+    docs = [(i, "\n".join(prose(700 + 10 * i + k, 30 + 7 * i) for k in range(3))) for i in range(12)] + [(30, ""), (31, "a"), (32, "a  b\n\nc")]
+    docs += [(40, docs[3][1] + " tail"), (41, docs[3][1])]
+    found = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    pairs = set()
+    order, text = [i for i, _ in docs], dict(docs)
+    edited = {}
+    for k, i in enumerate(order):
+        half = len(text[i]) // 2
+        edited[i] = text[i][: len(text[i]) - half] + text[order[(k + 1) % len(order)]][:half]
+    for t in [*text.values(), *edited.values()]:
+        pairs |= {u for _, units in naive_vector(t) for u in units}
+    table = {(r.x, r.y): r.h for r in spark.createDataFrame(sorted(pairs), "x string, y string").select("x", "y", F.xxhash64("x", "y").alias("h")).collect()}
+
+    def lanes(t):
+        counts = Counter(table[u] & 127 for _, units in naive_vector(t) for u in units)
+        return np.array([counts[k] for k in range(128)], float)
+
+    def like(s, t):
+        a, b = lanes(s), lanes(t)
+        if sorted(s.split("\n")) == sorted(t.split("\n")):
+            return 1.0
+        square = lambda v: (v * v).sum() - v.sum() ** 2 / 128
+        total = square(a) + square(b)
+        return min(1.0, max(0.0, 1 - square(a - b) / total)) if total > 0 else 0.0
+
+    for k, i in enumerate(order):
+        assert found[i].near_edited == pytest.approx(like(text[i], edited[i])), i
+        assert found[i].near_next == pytest.approx(like(text[i], text[order[(k + 1) % len(order)]])), i
+    assert found[40].near_next > 0.9 and found[0].near_next < 0.5 < found[40].near_edited + 0.3
 
 
 def test_fingerprints_are_homomorphic(spark):
     texts = spark.createDataFrame([(1, "a b c\nd e\nf"), (2, "f\na b c\nd e"), (3, "a b c\nf"), (4, "d e")], "k int, text string")
-    v = {r.k: r for r in fingerprint.vectors(texts, ["k"]).withColumn("fp", fingerprint.as_text()).collect()}
-    assert v[1].fp == v[2].fp != v[3].fp
-    both = fingerprint.vectors(texts.where("k IN (3, 4)"), ["k"]).select("k", F.struct(*fingerprint.VECTOR).alias("v"))
-    pair = both.where("k = 3").select(F.col("v").alias("a")).crossJoin(both.where("k = 4").select(F.col("v").alias("b")))
-    added = pair.select(fingerprint.combine(F.col("a"), F.col("b")).alias("c"), "b").select("c", fingerprint.combine(F.col("c"), F.col("b"), -1).alias("d")).first()
-    assert all(added.c[n] == v[1][n] for n in fingerprint.VECTOR)
-    assert all(added.d[n] == v[3][n] for n in fingerprint.VECTOR)
+    v = texts.select("k", fingerprint.vector(F.col("text")).alias("v"))
+    shown = {r.k: r.t for r in v.select("k", fingerprint.as_text(F.col("v")).alias("t")).collect()}
+    assert shown[1] == shown[2] != shown[3]
+    one = v.groupBy().pivot("k", [1, 3, 4]).agg(F.first("v"))
+    added = fingerprint.combine(F.col("3"), F.col("4"))
+    r = one.select(fingerprint.as_text(added).alias("a"), fingerprint.as_text(fingerprint.combine(added, F.col("4"), -1)).alias("d")).first()
+    assert r.a == shown[1] and r.d == shown[3]
 
 
-def test_following(spark):
+def test_neighbours(spark):
     values = [0, 1, 5, 4095, 4096, 20_000_000, 10**13, -7]
-    found = {r.x: r._next for r in fingerprint.following(spark.createDataFrame([(v,) for v in values + [None, 5]], "x long"), "x").collect()}
-    order = sorted(values)
-    assert found == dict(zip(order, [*order[1:], None]))
+    table = spark.createDataFrame([(v, 2 * i) for i, v in enumerate(values)], "_id long, _most long")
+    found = {r._id: (r._prev, r._need) for r in fingerprint.neighbours(table).collect()}
+    order, most = sorted(values), {v: 2 * i for i, v in enumerate(values)}
+    assert found == {v: (order[k - 1], most[order[k - 1]]) for k, v in enumerate(order)}
 
 
 # -- 3 -----------------------------------------------------------------------------------
