@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from quire.session import materialize
 
 ID_LANES = 8  # two to a 64-bit hash
-SIM_LANES = 128
+SIM_LANES = 64
 _LANE = 0xFFFFFFFF
+#: Code point of the character that stands for the first lane.
+_FIRST = 64
 #: Stands for a null doc_id, which comes last in order.
 LAST_ID = (1 << 63) - 1
 #: Rows of one doc_id above this number are dealt to several keys.
@@ -62,10 +64,10 @@ def _ids(lines: Column) -> Column:
 def _lanes(lines: Column) -> Column:
     # One character a shingle names its lane; a lane's count is how often the character occurs.
     def codes(words: Column) -> Column:
-        return F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda x, y: F.when(x.isNotNull(), F.char(F.xxhash64(x, y).bitwiseAND(F.lit(SIM_LANES - 1)))))
+        return F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda x, y: F.when(x.isNotNull(), F.char(F.xxhash64(x, y).bitwiseAND(F.lit(SIM_LANES - 1)).bitwiseOR(F.lit(_FIRST)))))
 
     spelled = F.array_join(F.flatten(F.transform(lines, lambda p: codes(F.split(p, " ", -1)))), "")
-    names = [chr(k) if chr(k).isalnum() else "\\" + chr(k) for k in range(SIM_LANES)]
+    names = [c if c.isalnum() else "\\" + c for c in map(chr, range(_FIRST, _FIRST + SIM_LANES))]
     every = F.array(*[F.lit(n) for n in names])
     return _bound(spelled, lambda s: F.transform(every, lambda n: (F.size(F.split(s, n, -1)) - 1).cast("long")))
 
@@ -95,24 +97,20 @@ def likeness(a: Column, b: Column) -> Column:
 
     The lanes of a text of n shingles, less their mean n / SIM_LANES, have the
     number of shingles (squared multiplicities) as expected sum of squares, and
-    so has the difference of two texts for the shingles by which they differ:
-    1 - difference / total is the share in common. Equal identity lanes mean 1
-    exactly. The standard error at 0 is sqrt(2 / SIM_LANES), an eighth.
+    the product of two texts' has the number of common ones. Equal identity lanes
+    mean 1 exactly. The standard error at 0 is sqrt(2 / SIM_LANES) at most.
     """
 
     def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+        return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x).cast("double")
 
-    def spread(values: Column) -> Column:
-        n = total(values)
-        return total(F.transform(values, lambda x: x * x)) - n * n / F.lit(float(SIM_LANES))
+    def product(x: Column, y: Column) -> Column:
+        return total(F.zip_with(x["lanes"], y["lanes"], lambda p, q: p * q))
 
-    def doubles(v: Column) -> Column:
-        return F.transform(v["lanes"], lambda x: x.cast("double"))
-
-    apart = spread(F.zip_with(doubles(a), doubles(b), lambda x, y: x - y))
-    both = spread(doubles(a)) + spread(doubles(b))
-    raw = F.when(both > 0, 1.0 - apart / F.when(both > 0, both).otherwise(1.0)).otherwise(0.0)
+    mean = F.lit(1.0 / SIM_LANES)
+    na, nb = total(a["lanes"]), total(b["lanes"])
+    both = product(a, a) + product(b, b) - (na * na + nb * nb) * mean
+    raw = F.when(both > 0, 2.0 * (product(a, b) - na * nb * mean) / both).otherwise(0.0)
     return F.when(a["ids"] == b["ids"], 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
