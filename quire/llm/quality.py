@@ -9,8 +9,8 @@ Everything is built-in expressions over the row's own text: no Python on the
 executors and no shuffle but that of ``ablation``'s sums.
 
 Defined cases: a null text counts as empty; it has no words, so it fails
-``few_words``. Repeated rows are measured each by itself. Columns of the input
-whose names the ledger uses are replaced.
+``few_words``. Repeated rows are measured each by itself. Of the input's
+columns, only those named like a measurement or ``fail_bits`` are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.columns import fresh, named, own
+
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"#*$%&|<>"
 
@@ -69,33 +71,35 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     their places, neighbours of equal hash are repeats, and the words that
     those windows cover are counted once.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in MEASURES])
-    whole = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(whole, SPACES, -1), lambda w: w != "")
-    lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = docs.withColumns({"_words": words, "_lines": lines})
-    windows = F.transform("_words", lambda w, i: F.struct(F.when(i < F.size("_words") - 2, F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))).alias("h"), i.alias("i")))
-    step = step.withColumn("_windows", F.sort_array(windows))
+    kept = own(docs, *MEASURES)
+    words, lines, windows, repeats = fresh(docs.columns, "_words", "_lines", "_windows", "_repeats")
+    whole = F.coalesce(named(text), F.lit(""))
+    step = docs.withColumns({
+        words: F.filter(F.split(whole, SPACES, -1), lambda w: w != ""),
+        lines: F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+    })
+    every = F.transform(words, lambda w, i: F.struct(F.when(i < F.size(words) - 2, F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))).alias("h"), i.alias("i")))
+    step = step.withColumn(windows, F.sort_array(every))
 
     def repeated(x: Column, i: Column) -> Column:
-        return (F.get("_windows", i + 1)["h"] == x["h"]) | (F.get("_windows", i - 1)["h"] == x["h"])
+        return (F.get(windows, i + 1)["h"] == x["h"]) | (F.get(windows, i - 1)["h"] == x["h"])
 
-    step = step.withColumn("_repeats", F.transform(F.filter("_windows", repeated), lambda x: x["i"]))
-    covered = F.array_distinct(F.concat("_repeats", F.transform("_repeats", lambda i: i + 1), F.transform("_repeats", lambda i: i + 2)))
+    step = step.withColumn(repeats, F.transform(F.filter(windows, repeated), lambda x: x["i"]))
+    covered = F.array_distinct(F.concat(repeats, F.transform(repeats, lambda i: i + 1), F.transform(repeats, lambda i: i + 2)))
     return step.select(
-        *docs.columns,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        *[named(c) for c in kept],
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(whole, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.size(covered).cast("long").alias("n_repeat_words"),
     )
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Measurements and ``fail_bits``: bit r.bit is set where rule r fails."""
-    step = measured(docs.drop("fail_bits"), text)
+    step = measured(docs.select(*[named(c) for c in own(docs, "fail_bits")]), text)
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
