@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import byteops as B
+from quire.llm.columns import named, own
 
 #: Ranked n-grams of a language profile and of a document.
 PROFILE = 400
@@ -121,8 +122,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             n = np.bincount(where, np.concatenate([c for _, c in sums])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([known[i] for i in (key >> 24).tolist()], pa.string()), pa.array((key & 0xFFFFFF).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    own = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang))
-    counts = own.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    taught = docs.where(named(text).isNotNull() & named(lang).isNotNull()).select(named(text), named(lang))
+    counts = taught.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # The gap alone says nothing about a language.
     counts = counts.where(~F.col("gram").isin(_GAP, _GAP << 8 | _GAP, _GAP << 16 | _GAP << 8 | _GAP))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)
@@ -154,7 +155,7 @@ class Ranker:
         keep = ~np.isin(gram, (_GAP, _GAP << 8 | _GAP, _GAP << 16 | _GAP << 8 | _GAP))
         owner, gram, count = owner[keep], gram[keep], count[keep]
         # by text, then falling count, then n-gram
-        order = np.argsort((owner.astype(np.uint64) << np.uint64(46)) | (((1 << 22) - 1 - np.minimum(count, (1 << 22) - 1)).astype(np.uint64) << np.uint64(24)) | gram.astype(np.uint64))
+        order = np.lexsort((gram, -count, owner))
         owner, gram = owner[order], gram[order]
         start = np.searchsorted(owner, np.arange(n))
         rank = np.arange(len(owner)) - start[owner]
@@ -174,7 +175,7 @@ class Ranker:
 def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and lang_score; they replace columns of those names."""
     added = ("lang_pred", "lang_score")
-    docs = docs.select(*[c for c in docs.columns if c not in added])
+    docs = docs.select(*[named(c) for c in own(docs, *added)])
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x PROFILE integers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
