@@ -7,12 +7,14 @@
   neighbours in rank to different voters; pattern voters look at shouting,
   exclamation and the share of words in the lexicon; annotators' labels are a voter
   too. A voter fires or not.
-* Label model. Two latent classes, each voter with a firing rate per class
-  (its accuracy and coverage), estimated by expectation maximization over the
-  counts of vote patterns of all training texts. On a text without a label the
-  annotators abstain. Voters that fire together more than the classes explain share one
-  weight: correlations of the residuals, estimated each round, divide the
-  evidence of correlated voters.
+* Label model. A generative model of two latent classes. Each voter fires with
+  a rate per class (its accuracy and coverage); where voters fire together
+  more than the classes explain, they are joined in a tree, and a voter's rate
+  depends on its parent's vote too: those rates are the correlations. The tree
+  is the forest of greatest mutual information given the class (Chow and
+  Liu), with the edges that pay for their parameters (BIC). All of it is
+  estimated by expectation maximization over the counts of vote patterns of
+  all training texts. On a text without a label the annotators abstain.
 * Classifier. Logistic regression on lexicon counts and patterns, trained on
   the label model's posteriors, by Newton steps with an L2 penalty.
 
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import byteops as B
+from quire.llm.columns import named, own
 from quire.llm.langid import held_out
 from quire.session import materialize
 
@@ -149,10 +152,56 @@ def _unbits(bits: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.concatenate((lexical, label[:, None] > 0), axis=1).astype(np.float64)
 
 
-def label_model(v: np.ndarray, count: np.ndarray | None = None, known: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the toxic class for each row of votes, and the voters' rates (2 x voters).
-
-    A row stands for ``count`` texts. Where ``known`` is false, the last voter abstains.
+def _forest(gain: np.ndarray, least: float) -> np.ndarray:
+    """Each voter's parent (-1: none) in the heaviest forest of edges above ``least``; ties go to smaller numbers."""
+    m = len(gain)
+    tree = np.arange(m)
+    edges: list[list[int]] = [[] for _ in range(m)]
+    a, b = np.triu_indices(m, 1)
+    for i in np.lexsort((b, a, -gain[a, b])):
+        x, y = int(a[i]), int(b[i])
+        if gain[x, y] <= least:
+            break
+        if tree[x] != tree[y]:
+            tree[tree == tree[y]] = tree[x]
+            edges[x].append(y)
+            edges[y].append(x)
+    parent, done = np.full(m, -1), np.zeros(m, dtype=bool)
+    for root in range(m):
+        stack = [] if done[root] else [root]
+        while stack:
+            x = stack.pop()
+            done[x] = True
+            for y in edges[x]:
+                if not done[y]:
+                    parent[y] = x
+                    stack.append(y)
+    return parent
+
+
+def _mutual(v: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Mutual information of each two voters given the class, times the number of texts."""
+    out = np.zeros((v.shape[1], v.shape[1]))
+    for w in weights:
+        total = w.sum() + 1e-9
+        one = w @ v
+        both = (v * w[:, None]).T @ v
+        for x, y, joint in ((one, one, both), (one, total - one, one[:, None] - both), (total - one, one, one[None, :] - both), (total - one, total - one, total - one[:, None] - one[None, :] + both)):
+            free = np.outer(x, y) / total
+            out += np.where(joint > 1e-9, joint * np.log(np.maximum(joint, 1e-9) / np.maximum(free, 1e-12)), 0.0)
+    return out
+
+
+#: Rounds in which the forest may still change.
+SHAPING = 8
+
+
+def generative(v: np.ndarray, count: np.ndarray | None = None, known: np.ndarray | None = None, rounds: int = 60) -> dict:
+    """The label model of votes (texts x voters): posterior, prior, rates, parent, given.
+
+    A row stands for ``count`` texts. Where ``known`` is false, the last voter,
+    who has no parent and no child, abstains. ``rates`` (2 x voters) are firing rates by class,
+    ``given`` (2 x 2 x voters) those by class and the parent's vote.
     """
     n, m = v.shape
     count = np.ones(n) if count is None else count.astype(np.float64)
@@ -161,25 +210,38 @@ def label_model(v: np.ndarray, count: np.ndarray | None = None, known: np.ndarra
         cast[:, -1] = known
     v = v * cast
     start = np.clip(v.sum(axis=1) / cast.sum(axis=1) * 3, 0.02, 0.98)
-    start = np.where(cast[:, -1] == 0, start, np.where(v[:, -1] > 0, np.maximum(start, 0.8), np.minimum(start, 0.3)))
-    q, weight, rates = start, np.ones(m), np.zeros((2, m))
-    for _ in range(rounds):
-        prior = np.clip(np.average(q, weights=count), 1e-3, 0.5)
-        for c, p in ((1, q), (0, 1 - q)):
-            rates[c] = np.clip(((p * count) @ v + 0.5) / ((p * count) @ cast + 1.0), 1e-3, 1 - 1e-3)
-        # What votes share beyond the classes: correlations of the residuals.
-        rest = (v - (q[:, None] * rates[1] + (1 - q)[:, None] * rates[0])) * cast
-        both = np.maximum((cast * count[:, None]).T @ cast, 1.0)
-        scale = np.sqrt((count @ rest**2) / np.diag(both)) + 1e-9
-        shared = np.abs(((rest * count[:, None]).T @ rest) / both / np.outer(scale, scale))
-        np.fill_diagonal(shared, 0)
-        weight = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(axis=1))
-        odds = v @ (weight * np.log(rates[1] / rates[0])) + (cast - v) @ (weight * np.log((1 - rates[1]) / (1 - rates[0])))
-        new = 1 / (1 + np.exp(-np.clip(odds + np.log(prior / (1 - prior)), -40, 40)))
-        if np.abs(new - q).max() < 1e-6:
+    q = np.where(cast[:, -1] == 0, start, np.where(v[:, -1] > 0, np.maximum(start, 0.8), np.minimum(start, 0.3)))
+    parent, rates, given, prior = np.full(m, -1), np.zeros((2, m)), np.zeros((2, 2, m)), 0.0
+    for turn in range(rounds):
+        prior = float(np.clip(np.average(q, weights=count), 1e-3, 0.5))
+        weights = ((1 - q) * count, q * count)
+        if turn < SHAPING:
+            gain = _mutual(v[:, :-1], weights)
+            # An edge has one rate more in each class.
+            parent = np.append(_forest(gain, np.log(max(count.sum(), 2.0))), -1)
+        above = np.where(parent >= 0, v[:, parent], 0.0)
+        for c, w in enumerate(weights):
+            rates[c] = np.clip((w @ v + 0.5) / (w @ cast + 1.0), 1e-3, 1 - 1e-3)
+            for value, side in ((0, 1 - above), (1, above)):
+                # Beside the counts, one text at the voter's own rate.
+                seen = (w[:, None] * side * cast).sum(axis=0)
+                given[c, value] = np.clip(((w[:, None] * side * v).sum(axis=0) + rates[c]) / (seen + 1.0), 1e-3, 1 - 1e-3)
+            given[c] = np.where(parent >= 0, given[c], rates[c])
+        odds = np.full(n, np.log(prior / (1 - prior)))
+        for c, sign in ((1, 1.0), (0, -1.0)):
+            p = np.where(above > 0, given[c, 1], given[c, 0])
+            odds += sign * (cast * np.where(v > 0, np.log(p), np.log(1 - p))).sum(axis=1)
+        new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        moved, q = np.abs(new - q).max(), new
+        if turn >= SHAPING and moved < 1e-6:
             break
-        q = new
-    return q, rates
+    return {"posterior": q, "prior": prior, "rates": rates, "parent": parent, "given": given}
+
+
+def label_model(v: np.ndarray, count: np.ndarray | None = None, known: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of the toxic class for each row of votes, and the voters' rates (2 x voters)."""
+    model = generative(v, count, known, rounds)
+    return model["posterior"], model["rates"]
 
 
 def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.3, rounds: int = 25) -> np.ndarray:
@@ -236,14 +298,14 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
     """The model: sorted lexicon hashes and classifier weights, or None without both classes."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(1, 3)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = materialize(known, "known")
-    own = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull() & ~held_out(1, 3)).select("doc_id", F.col(text).alias("text"))
+    texts = docs.where(F.col("doc_id").isNotNull() & named(text).isNotNull() & ~held_out(1, 3)).select("doc_id", named(text).alias("text"))
     # Only labels of ids that have a text count.
-    labelled = own.select("doc_id").join(known, "doc_id")
+    labelled = texts.select("doc_id").join(known, "doc_id")
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return None
-    counts = own.join(known, "doc_id").select("text", "toxic").mapInArrow(_form_counts, "form long, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = texts.join(known, "doc_id").select("text", "toxic").mapInArrow(_form_counts, "form long, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     least = max(3, pos // 400)
     rate = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     best = counts.where(F.col("pos") >= least).withColumn("rate", rate).where("rate > 2.5").orderBy(F.desc(F.col("rate") * F.sqrt(F.col("pos"))), "form").limit(LEXICON)
@@ -256,13 +318,13 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value)
         for batch in batches:
-            toxic = B.longs(B.column(batch, "toxic"))
+            toxic, ids = B.longs(B.column(batch, "toxic")), B.column(batch, "doc_id")
             for lo, hi, buf, off in B.slices(B.column(batch, "text")):
                 owner, form, count, plain = lexicon(buf, off)
                 at = np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(toxic[lo:hi]), pa.ListArray.from_arrays(pa.array(at), pa.array(form)), pa.ListArray.from_arrays(pa.array(at), pa.array(count.astype(np.int64))), *(pa.array(plain[:, i].astype(np.int64)) for i in range(5))],
-                    names=["toxic", "form", "n", *PLAIN],
+                    [ids.slice(lo, hi - lo), pa.array(toxic[lo:hi]), pa.ListArray.from_arrays(pa.array(at), pa.array(form)), pa.ListArray.from_arrays(pa.array(at), pa.array(count.astype(np.int64))), *(pa.array(plain[:, i].astype(np.int64)) for i in range(5))],
+                    names=["doc_id", "toxic", "form", "n", *PLAIN],
                 )
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,15 +335,17 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
                 bits = _bits(votes(design(*lexicon(buf, off), size), size, np.zeros(hi - lo)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(bits)], names=["doc_id", "bits"])
 
-    cast = own.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(vote, "doc_id long, bits long")
+    cast = texts.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(vote, "doc_id long, bits long")
     # At most a row per pattern reaches the driver.
     patterns = cast.join(known, "doc_id", "left").groupBy("bits", F.coalesce("toxic", F.lit(-1)).alias("label")).agg(F.count("*").alias("n")).orderBy("bits", "label").toArrow()
     bits, label, n = (patterns.column(c).to_numpy() for c in ("bits", "label", "n"))
     posterior, _ = label_model(_unbits(bits, label), n, label >= 0)
 
     picked = labelled.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    sample = materialize(own.join(F.broadcast(picked), "doc_id").select("text", "toxic"), "labelled")
-    seen = sample.mapInArrow(look, "toxic long, form array<long>, n array<long>, " + ", ".join(f"{c} long" for c in PLAIN)).orderBy("toxic", *PLAIN, "form", "n").toArrow()
+    sample = materialize(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    # A bounded number of rows; put in one order here, so that sums come out alike whatever order tasks end in.
+    seen = sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(look, "doc_id long, toxic long, form array<long>, n array<long>, " + ", ".join(f"{c} long" for c in PLAIN)).toArrow()
+    seen = seen.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), *((c, "ascending") for c in PLAIN)])
     form = seen.column("form").combine_chunks()
     owner = np.repeat(np.arange(len(seen)), np.diff(form.offsets.to_numpy()))
     plain = np.stack([seen.column(c).to_numpy() for c in PLAIN], axis=1)
@@ -294,7 +358,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
 def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """``docs`` with toxic_score and toxic_predicted."""
     added = ("toxic_score", "toxic_predicted")
-    docs = docs.select(*[c for c in docs.columns if c not in added])
+    docs = docs.select(*[named(c) for c in own(docs, *added)])
     if model is None:
         return docs.withColumn(added[0], F.lit(0.0)).withColumn(added[1], F.lit(0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
