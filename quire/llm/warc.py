@@ -10,7 +10,12 @@ that failed are never read.
 Reading. A file is cut into byte ranges. A task scans its range for the gzip
 magic, and a candidate counts only if it decompresses to a WARC header; the
 task owns the records that start inside its range and reads the last one past
-the range's end. Memory is a buffer and one record.
+the range's end. A stored member may hold an archive of its own, so what looks
+like a record is one only by its place: each range first reports where its
+chain of members begins and ends, the chains of a file are tied together from
+its first byte, and a range whose chain begins inside an earlier range's member
+is entered at that member's end instead. Memory is a buffer and one record,
+and for each file two numbers a range.
 
 Files are opened by ``pyarrow.fs`` from their URI.
 
@@ -36,6 +41,8 @@ from quire.llm import byteops as B
 from quire.session import materialize, scratch_path
 
 REVISIT_BYTES = 100
+#: Pages of one payload above this number are dealt to several keys; at most so many payloads are (their table is broadcast).
+HOT, HOT_KEYS = 4096, 100_000
 #: A task begins a new file after so many bytes.
 FILE_BYTES = 64 << 20
 #: Bytes of a reader's range.
@@ -81,10 +88,19 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) below ``folder``; returns the manifest."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
-    first = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"))
-    placed = rows.join(first, "digest", "left")
+    # Only payloads that occur again take part in the join; those of very many pages are dealt to several keys.
+    large = F.octet_length("html") >= REVISIT_BYTES
+    again = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = materialize(again, "payloads")
+    total = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(again.where(F.col("n") > max(HOT, total // HOT_KEYS)).select("digest", F.ceil(F.col("n") / HOT).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    keyed = rows.where(large).join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.spark_partition_id()), salts)).drop("salts")
+    firsts = again.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).select("digest", "salt", "first")
+    placed = keyed.join(firsts, ["digest", "salt"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     placed = placed.select("page_id", "url", "digest", refers.alias("refers_to"), "html")
+    placed = placed.unionByName(rows.where(~large).withColumn("refers_to", F.lit(None).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -154,8 +170,8 @@ class _Window:
         self.__init__(self.file, at)
 
 
-def _member(window: _Window) -> tuple[bytes, int] | None:
-    """The member at the window's start and its compressed size; None if there is none or its header is no WARC header."""
+def _member(window: _Window, keep: bool = True) -> tuple[bytes, int] | None:
+    """The member at the window's start (empty without ``keep``) and its compressed size; None if there is none or its header is no WARC header."""
     unzip, out, used, checked = zlib.decompressobj(31), [], 0, False
     head = b""
     try:
@@ -163,10 +179,12 @@ def _member(window: _Window) -> tuple[bytes, int] | None:
             if used >= len(window.data) and not window.more():
                 return None
             chunk = window.data[used:]
-            out.append(unzip.decompress(chunk))
+            part = unzip.decompress(chunk)
             used += len(chunk) - len(unzip.unused_data)
+            if keep:
+                out.append(part)
             if not checked:
-                head += out[-1]
+                head += part
                 if len(head) >= 7 and not head.startswith(b"WARC/1."):
                     return None
                 checked = b"\r\n\r\n" in head
@@ -178,8 +196,8 @@ def _member(window: _Window) -> tuple[bytes, int] | None:
         return None
 
 
-def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, decompressed record) of the records that start in [start, end)."""
+def chain(file, start: int, end: int, keep: bool = True) -> Iterator[tuple[int, bytes, int]]:
+    """(offset, decompressed record, its end) of the members that start in [start, end), if one before does not reach past ``start``."""
     window = _Window(file, start)
     while True:
         at = window.data.find(_MAGIC)
@@ -192,14 +210,40 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         if window.at >= end:
             return
         here = window.at
-        found = _member(window)
+        found = _member(window, keep)
         if found is None:
             window.skip(1)
         else:
-            yield here, found[0]
+            yield here, found[0], here + found[1]
             window.skip(found[1])
 
 
+def extent(file, start: int, end: int) -> tuple[int, int] | None:
+    """Where the chain of [start, end) begins, and where its last member ends."""
+    first = last = None
+    for offset, _, last in chain(file, start, end, keep=False):
+        first = offset if first is None else first
+    return None if first is None else (first, last)
+
+
+def entered(file, extents: list[tuple[int, int, tuple[int, int] | None]]) -> Iterator[tuple[int, int]]:
+    """(from, end) of a file's ranges that own records, given (start, end, extent) of all of them in order."""
+    reached = 0
+    for start, end, found in extents:
+        if found is not None and found[0] < reached:  # inside a member of an earlier range
+            start = reached
+            found = extent(file, start, end) if start < end else None
+        if found is not None:
+            yield start, end
+            reached = max(reached, found[1])
+
+
+def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, decompressed record) of the records in [start, end) of a chain entered at ``start``."""
+    for offset, data, _ in chain(file, start, end):
+        yield offset, data
+
+
 def _page(name: str | None) -> int | None:
     m = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
     return int(m[1]) if m else None
@@ -210,9 +254,32 @@ def read(spark: SparkSession, files: DataFrame, payloads: bool = True, range_byt
 
     ``intact`` says whether a response's payload has the digest of its header.
     """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + range_bytes).alias("end"))
-    ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+    ranges = ranges.select("path", "start", F.least("bytes", F.col("start") + range_bytes).alias("end")).repartition(parts, "path", "start")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, local = open_uri(path)
+                with system.open_input_file(local) as file:
+                    found.append(extent(file, start, end) or (None, None))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["path", "start", "end", "first", "last"])
+
+    def tie(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("start", "end", "first", "last")), strict=True))
+        path = group.column("path")[0].as_py()
+        system, local = open_uri(path)
+        with system.open_input_file(local) as file:
+            owned = list(entered(file, [(s, e, None if f is None else (f, x)) for s, e, f, x in rows]))
+        return pa.table({"path": pa.array([path] * len(owned), pa.string()), "start": pa.array([o[0] for o in owned], pa.int64()), "end": pa.array([o[1] for o in owned], pa.int64())})
+
+    # A file of one range is entered at its first byte and needs no looking ahead.
+    single = (F.col("start") == 0) & (F.col("end") - F.col("start") < range_bytes)
+    several = ranges.where(~single).mapInArrow(look, "path string, start long, end long, first long, last long")
+    several = several.groupBy("path").applyInArrow(tie, "path string, start long, end long").repartition(parts, "path", "start")
+    ranges = ranges.where(single).unionByName(several)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in RECORDS.split(", ")]
