@@ -12,16 +12,22 @@ context one longer alone, and the cost of a symbol is a function of its
 
 So the trie is priced gram by gram, and no machine holds all of it:
 
-1. Documents are dealt to blocks. A block reports each distinct gram (and word)
-   with its training count, split into ranges by the last two context bytes.
+1. Documents are dealt to blocks of about ``BLOCK_BYTES``, copies of a row by
+   the partition they come from. A block reports each distinct gram (and word)
+   with its training count, split into ranges by the last three context bytes,
+   and its counts of byte triples.
 2. A range has all grams with its contexts, sums their counts over all blocks,
-   builds its part of the trie and prices each gram. Only the 256 x 256 counts
-   of byte pairs, for the two shortest orders, are needed everywhere.
+   builds its part of the trie and prices each gram. Ranges grow in number
+   with the shuffle partitions. Only the counts of byte triples, for the
+   three shortest orders, are needed everywhere: 2 ** 24 at most, and far fewer in text.
 3. Prices return to the blocks that asked, and each block adds up the code
    length of its documents from its own grams.
 
-Counts cover every training text. What is shuffled is the texts, once a pass,
-and the distinct grams of each block.
+Counts cover every training text. What is shuffled is the texts, once for each of the
+two passes, and the distinct grams of each block.
+
+The documents must come in the same partitions in both passes, as a table's
+files do; rows that come otherwise raise an error, never a wrong score.
 
 Defined cases: a null, empty or wordless text is the end symbol alone. Rows of
 null doc_id are training rows. Without any training text every symbol costs
@@ -45,10 +51,13 @@ from quire.session import materialize
 
 #: Bytes of context.
 ORDER = 5
-#: Documents of a block, on average.
-BLOCK_DOCS = 4096
+#: Bytes of text in a block, on average.
+BLOCK_BYTES = 12 << 20
 #: Ends a text and stands before it; white space never occurs inside a word.
 END = 0x0A
+#: The kind of rows that hold a block's byte triples; 0 and 1 are grams and words.
+TRIPLES = 2
+_TRIPLE = np.uint64(0xFFFFFF)
 #: The key of the end token among word hashes.
 END_KEY = 0x0A0A0A0A0A0A0A0B
 
@@ -130,7 +139,10 @@ def _collect(ranges: int):
         rows = []
         for kind, parts in found.items():
             keys, count = _tally(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-            r = (B.mix((keys >> np.uint64(8)) & np.uint64(0xFFFF) if kind == 0 else keys) % np.uint64(ranges)).astype(np.int64)
+            if kind == 0:
+                triples, seen = _tally(keys & _TRIPLE, count)
+                rows.append((TRIPLES, 0, _zip_sorted(triples[seen > 0]), _zip(seen[seen > 0].astype(np.int64))))
+            r = (B.mix((keys >> np.uint64(8)) & _TRIPLE if kind == 0 else keys) % np.uint64(ranges)).astype(np.int64)
             order = np.argsort(r, kind="stable")
             edges = np.searchsorted(r[order], np.arange(ranges + 1))
             for i in range(ranges):
@@ -167,22 +179,21 @@ def _contexts(level: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndar
     return ctx, total, distinct
 
 
-def price(grams: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def price(grams: np.ndarray, count: np.ndarray, triples: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """log10 probability of each gram's symbol after its context.
 
-    ``grams`` are sorted and hold every gram of their last two context bytes;
-    ``pairs`` has the counts of all byte pairs (256 x 256).
+    ``grams`` are sorted and hold every gram of their last three context bytes;
+    ``triples`` are the sorted byte triples of all training texts and their counts.
     """
     known = count > 0
     levels = {ORDER: (grams[known], count[known].astype(np.float64))}
-    for o in range(ORDER - 1, 1, -1):
+    for o in range(ORDER - 1, 2, -1):
+        keys, c = levels[o + 1]
+        levels[o] = _tally(keys & np.uint64((1 << 8 * (o + 1)) - 1), c)
+    levels[2] = (triples[0], triples[1].astype(np.float64))
+    for o in (1, 0):
         keys, c = levels[o + 1]
         levels[o] = _tally(keys & np.uint64((1 << 8 * (o + 1)) - 1), c)
-    seen = np.flatnonzero(pairs.reshape(-1))
-    levels[1] = (seen.astype(np.uint64), pairs.reshape(-1)[seen].astype(np.float64))
-    single = pairs.sum(axis=0)
-    seen = np.flatnonzero(single)
-    levels[0] = (seen.astype(np.uint64), single[seen].astype(np.float64))
     out, done = np.zeros(len(grams)), np.zeros(len(grams), dtype=bool)
     for o in range(ORDER, -1, -1):
         mask = np.uint64((1 << 8 * (o + 1)) - 1)
@@ -206,13 +217,15 @@ def price(grams: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> np.ndarray
     return out
 
 
-def _price_range(pairs: np.ndarray):
+def _price_range(triples):
+    """``triples`` is a broadcast of what ``price`` takes."""
+
     def run(group: pa.Table) -> pa.Table:
         kind = group.column("kind")[0].as_py()
         keys = [_unzip_sorted(x) for x in group.column("keys").to_pylist()]
         counts = [_unzip(x, np.int64) for x in group.column("data").to_pylist()]
         every, total = _tally(np.concatenate(keys), np.concatenate(counts))
-        value = price(every, total, pairs) if kind == 0 else total.astype(np.float64)
+        value = price(every, total, triples.value) if kind == 0 else total.astype(np.float64)
         back = [_zip(value[np.searchsorted(every, k)]) for k in keys]
         new = [int(total.sum()) if kind else 0, int((total > 0).sum()) if kind else 0]
         once = np.arange(len(keys)) == 0  # one row of the range carries its sums
@@ -247,7 +260,10 @@ def _score(docs: pa.Table, priced: pa.Table) -> pa.Table:
     parts = []
     for _, _, buf, off in B.slices(column):
         grams, at, words, bounds = stream(buf, off)
-        score = np.add.reduceat(cost[gram_index.get_indexer(grams.view(np.int64))], at[:-1])
+        where = gram_index.get_indexer(grams.view(np.int64))
+        if (where < 0).any():
+            raise ValueError("a block's rows differ between the two passes: write the documents before scoring them")
+        score = np.add.reduceat(cost[where], at[:-1])
         c = np.append(count[word_index.get_indexer(words.view(np.int64))], 0.0)
         logs, known = np.concatenate(([0.0], np.cumsum(np.log10(c + 1)))), np.concatenate(([0], np.cumsum(c > 0)))
         parts.append((np.diff(bounds) + 1, known[bounds[1:]] - known[bounds[:-1]] + (ends > 0), logs[bounds[1:]] - logs[bounds[:-1]] + np.log10(ends + 1), score))
@@ -255,21 +271,19 @@ def _score(docs: pa.Table, priced: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "count_log": pa.array(count_log), "score": pa.array(score)})
 
 
-def byte_pairs(docs: DataFrame) -> np.ndarray:
-    """Counts of all byte pairs of training streams: 65,536 numbers at most."""
+def byte_triples(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The byte triples of all training texts and their counts, from the blocks' own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for _, _, buf, off in B.slices(B.column(batch, "text")):
-                total += np.bincount((stream(buf, off)[0] & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
-        code = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
+        parts = [(_unzip_sorted(k), _unzip(d, np.int64)) for batch in batches for k, d in zip(B.column(batch, "keys").to_pylist(), B.column(batch, "data").to_pylist(), strict=True)]
+        if parts:
+            keys, n = _tally(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["code", "n"])
 
-    out = np.zeros(1 << 16, np.int64)
-    for row in docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
-        out[row["code"]] = row["n"]
-    return out.reshape(256, 256)
+    found = grams.where(F.col("kind") == TRIPLES).select("keys", "data").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = (found.column(c).to_numpy() for c in ("code", "n"))
+    order = np.argsort(code)
+    return code[order].astype(np.uint64), n[order]
 
 
 def score(docs: DataFrame, fold: int = 2, of: int = 7) -> DataFrame:
@@ -278,15 +292,15 @@ def score(docs: DataFrame, fold: int = 2, of: int = 7) -> DataFrame:
     Rows whose crc32(doc_id as text) mod ``of`` is ``fold`` are held out of training.
     """
     spark = docs.sparkSession
-    rows = docs.count()
-    blocks = max(1, -(-rows // BLOCK_DOCS))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), held_out(fold, of).alias("held_out"))
-    pairs = byte_pairs(own.where(~F.col("held_out")).select("text"))
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(max(parts, 1), "block")
-    ranges = min(256, max(16, 2 * parts))
-    grams = dealt.groupBy("block").applyInArrow(_collect(ranges), "block long, kind int, r int, keys binary, data binary")
-    priced = grams.groupBy("kind", "r").applyInArrow(_price_range(pairs), "block long, kind int, keys binary, data binary, tokens long, types long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), held_out(fold, of).alias("held_out"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))).repartition(max(parts, 1), "block")
+    ranges = max(16, 2 * parts)
+    grams = materialize(dealt.groupBy("block").applyInArrow(_collect(ranges), "block long, kind int, r int, keys binary, data binary"), "grams")
+    triples = spark.sparkContext.broadcast(byte_triples(grams))
+    priced = grams.where(F.col("kind") != TRIPLES).groupBy("kind", "r").applyInArrow(_price_range(triples), "block long, kind int, keys binary, data binary, tokens long, types long")
     priced = materialize(priced, "priced")
     tokens, types = priced.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     scored = dealt.groupBy("block").cogroup(priced.select("block", "kind", "keys", "data").groupBy("block")).applyInArrow(_score, _SCORED)
