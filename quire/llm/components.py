@@ -1,76 +1,51 @@
 """Connected components of an edge table.
 
-While there are more than ``SMALL`` edges, the graph is contracted by joins:
-every node takes its smallest neighbour as parent, parents are followed to
-their ends, and edges are rewritten to the parents; the nodes that still have
-an edge at least halve per round. Once ``SMALL`` edges or fewer are left, a size
-that is counted and not assumed, one task finishes them by union-find. Tables
-between rounds are written to shared storage; only counts reach the driver.
+The graph is contracted by joins until no edge is left, at every size in the
+same way: each node takes its smallest neighbour as parent, parents are followed
+to their ends, and edges are rewritten to the parents; the nodes that still have an
+edge at least halve per round. Tables between steps are written to shared
+storage, joins merge whatever the sizes, and only counts reach the driver.
+A node of very many edges is one key of a join with one row on the other side,
+which adaptive execution splits.
+
+Defined cases: loops and repeated edges change nothing; an edge with a null end is
+left out; no edges give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm import byteops as B
 from quire.session import materialize
 
-#: Edges that one task may hold: 16 bytes each.
-SMALL = 500_000
-
-
-def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and the smallest node of each one's component, by smallest label and pointer jumping."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        before = label.copy()
-        np.minimum.at(label, label[x], low)
-        np.minimum.at(label, label[y], low)
-        while (label[label] != label).any():
-            label = label[label]
-        if (label == before).all():
-            return nodes, nodes[label]
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(B.longs(batch.column(0)), B.longs(batch.column(1))) for batch in batches]
-    if parts:
-        nodes, roots = union_find(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "component"])
-
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node of each edge's component, for nodes that have an edge."""
     edges = materialize(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "edges")
     labels = None
-    while edges.count() > SMALL:
+    while labels is None or edges.limit(1).count():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # A node's parent is its smallest neighbour, or itself if it is smaller than all.
         parent = materialize(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("p")), "parents")
         while True:
-            up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            jumped = materialize(parent.join(up, "p").select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "parents")
+            # Only parents that have another parent themselves lead on.
+            up = parent.where("p <> v").select(F.col("v").alias("p"), F.col("p").alias("q"))
+            jumped = parent.join(up.hint("merge"), "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
+            jumped = materialize(jumped, "parents")
             parent = jumped.select("v", "p")
             if not jumped.where("moved").limit(1).count():
                 break
         at = parent.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         to = parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        edges = materialize(edges.join(at, "a").join(to, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct(), "edges")
+        moved = edges.join(at.hint("merge"), "a").join(to.hint("merge"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        edges = materialize(moved.where("a <> b").distinct(), "edges")
         step = parent.select(F.col("v").alias("node"), F.col("p").alias("component"))
         labels = step if labels is None else _follow(labels, step)
-    last = materialize(edges.repartition(1).mapInArrow(_finish, "node long, component long"), "components")
-    return last if labels is None else _follow(labels, last)
+    return labels
 
 
 def _follow(labels: DataFrame, step: DataFrame) -> DataFrame:
     """``labels`` with the components of ``step`` in place of their own, where it has any."""
     step = step.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-    return materialize(labels.join(step, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")
+    return materialize(labels.join(step.hint("merge"), "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")

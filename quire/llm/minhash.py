@@ -12,13 +12,17 @@ Groups. Documents with equal shingle sets (equal size and 128-bit sum of
 hashes) are one class and go on as their smallest member. Signatures are cut
 into ``BANDS`` bands. Classes that share a band with each other are joined to
 the band's smallest class, and what hangs together that way is a family: every
-pair that shares any band is inside one family. Families are small, and many
-are handled in one group; a family of more than ``BLOCK`` classes is split into
-blocks. In each group, links are decided on the full shingle sets, through an
-inverted index, and only the links that join two components are reported, so
-rows grow with members and not with their square. In a split family, the
-classes that its largest component has not taken in are then compared with all
-blocks.
+pair that shares any band is inside one family. Links are decided on the full
+shingle sets, through an inverted index, and only the links that join two
+components are reported, so rows grow with members and not with their square.
+
+* Families of at most ``BLOCK`` classes are compared whole, many in one group.
+* In larger ones, first every class is compared with the smallest class of
+  each band that it shares, in blocks of the band's members. Bands whose
+  classes are in one component then are done. In the others, the classes
+  outside the band's largest component are compared with all classes of the
+  band, block by block. So texts travel for the bands that are still open, and every pair
+  that shares a band is decided.
 
 A pair at the threshold shares no band with probability
 (1 - t ** ROWS) ** BANDS: 8e-7 at t = 0.85 and 7e-5 at 0.8.
@@ -26,7 +30,7 @@ A pair at the threshold shares no band with probability
 Defined cases: null and wordless texts have no shingles and are linked with
 nothing. Texts of fewer words than a shingle are one shingle. Rows of null
 doc_id are linked with nothing, have a null component and are kept. Rows that
-share a doc_id are one node. Columns that the operator adds are replaced.
+share a doc_id are one node. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,12 +43,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import byteops as B
+from quire.llm.columns import fresh, named
 from quire.llm.components import components
 from quire.llm.pretokens import ragged
 from quire.session import materialize
 
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
+#: Shingles whose permutations are drawn at a time: ``SLOTS`` bytes each.
+CHUNK = 1 << 18
 #: Classes that one group compares at most with each other, and about how many small families' classes share a group.
 BLOCK, BIN = 1000, 500
 
@@ -69,6 +76,13 @@ def signatures(h: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -> np.ndar
     texts = len(bounds) - 1
     out = np.full(texts * slots, np.inf)
     owner = np.repeat(np.arange(texts), np.diff(bounds))
+    for lo in range(0, len(h), CHUNK):
+        _lower(out, h[lo : lo + CHUNK], owner[lo : lo + CHUNK], texts, slots)
+    return out.reshape(texts, slots)
+
+
+def _lower(out: np.ndarray, h: np.ndarray, owner: np.ndarray, texts: int, slots: int) -> None:
+    """Lower the slots ``out`` of all texts by these shingles; a slot's value is the least over all of them."""
     order = np.tile(np.arange(slots, dtype=np.uint8), (len(h), 1))
     live = np.arange(len(h))
     for j in range(slots):
@@ -81,7 +95,6 @@ def signatures(h: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -> np.ndar
         live = live[again[owner[live]]]
         if not len(live):
             break
-    return out.reshape(texts, slots)
 
 
 def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -122,21 +135,22 @@ def sketch(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
                     names=["doc_id", "h", "n", "d1", "d2", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(named(text)).alias("h"), named(text).alias("text")).mapInArrow(run, schema)
+
+
+def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of a whole group's texts."""
+    parts = [shingle_sets(buf, off, k) for _, _, buf, off in B.slices(texts)]
+    sizes = np.concatenate([np.diff(bounds) for _, bounds in parts])
+    return np.concatenate([h for h, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
 
 
 class _Index:
     """An inverted index over the shingle sets of a group's texts."""
 
     def __init__(self, texts: pa.Array, k: int):
-        parts, sizes = [], []
-        for _, _, buf, off in B.slices(texts):
-            h, bounds = shingle_sets(buf, off, k)
-            parts.append(h)
-            sizes.append(np.diff(bounds))
-        h = np.concatenate(parts)
-        self.size = np.concatenate(sizes)
-        self.bounds = np.concatenate(([0], np.cumsum(self.size)))
+        h, self.bounds = _sets(texts, k)
+        self.size = np.diff(self.bounds)
         owner = np.repeat(np.arange(len(self.size)), self.size)
         order = np.argsort(h, kind="stable")
         run = np.cumsum(np.append(True, h[order][1:] != h[order][:-1])) - 1 if len(h) else np.zeros(0, np.int64)
@@ -181,8 +195,28 @@ def _within(k: int, percent: int):
     return run
 
 
+def _star(k: int, percent: int):
+    """The links between leaders (side 1) and their members in a group of stars, by full sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        star, doc, side = (B.longs(group.column(c).combine_chunks()) for c in ("leader", "doc_id", "side"))
+        h, bounds = _sets(group.column("text").combine_chunks(), k)
+        sets = [h[bounds[i] : bounds[i + 1]] for i in range(len(doc))]
+        leaders = {star[i]: sets[i] for i in np.flatnonzero(side == 1).tolist()}
+        links = []
+        for i in np.flatnonzero(side == 2).tolist():
+            other = leaders[star[i]]
+            common = len(np.intersect1d(sets[i], other, assume_unique=True))
+            if 100 * common >= percent * (len(sets[i]) + len(other) - common):
+                links.append((star[i], doc[i]))
+        at = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(at[:, 0]), "b": pa.array(at[:, 1])})
+
+    return run
+
+
 def _beside(k: int, percent: int):
-    """The joining links between strays (side 1) and a block of their family (side 2)."""
+    """The joining links between strays (side 1) and a block of their band (side 2)."""
 
     def run(group: pa.Table) -> pa.Table:
         doc, comp, side = (B.longs(group.column(c).combine_chunks()) for c in ("doc_id", "comp", "side"))
@@ -197,6 +231,33 @@ def _pairs(doc: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(doc[at[:, 0]]), "b": pa.array(doc[at[:, 1]])})
 
 
+def _open_bands(shared: DataFrame, near: DataFrame, large: DataFrame, links: DataFrame, bins: int, k: int, percent: int) -> DataFrame:
+    """``links`` and those inside the families of the classes in ``large`` (doc_id, text), by the bands they share."""
+    # Each class with the leaders of its bands.
+    spokes = near.join(large.select("doc_id").hint("merge"), "doc_id")
+    width = spokes.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    spokes = spokes.join(width.hint("merge"), "leader")
+    group = F.when(F.col("blocks") > 1, F.xxhash64("leader", "block")).otherwise(F.pmod(F.xxhash64("leader"), F.lit(bins)))
+    rim = spokes.select("leader", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), "blocks", F.lit(2).alias("side"))
+    hub = width.select("leader", F.col("leader").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "blocks", F.lit(1).alias("side"))
+    stars = rim.unionByName(hub).withColumn("g", group).join(large.hint("merge"), "doc_id").select("g", "leader", "doc_id", "side", "text")
+    spoken = materialize(stars.groupBy("g").applyInArrow(_star(k, percent), "a long, b long"), "links")
+    links = links.union(spoken)
+    labels = components(links)
+
+    # Bands of large families that are not in one component yet: what is outside the band's largest one, with all of it.
+    open_ = shared.join(large.select("doc_id").hint("merge"), "doc_id").join(labels.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    per = open_.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("all"))
+    per = per.select("key", F.col("x.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("x.c")) / BLOCK).cast("int").alias("stray_blocks")).where("stray_blocks > 0")
+    rest = materialize(open_.join(per.hint("merge"), "key"), "open")
+    strays = rest.where("comp <> main").withColumns({"i": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("stray_blocks")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)})
+    others = rest.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)), "j": F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), "side": F.lit(2)})
+    group = F.when((F.col("blocks") == 1) & (F.col("stray_blocks") == 1), F.xxhash64("key")).otherwise(F.xxhash64("key", "i", "j"))
+    columns = [group.alias("g"), "doc_id", "comp", "side"]
+    beside = strays.select(*columns).union(others.select(*columns)).join(large.hint("merge"), "doc_id").groupBy("g").applyInArrow(_beside(k, percent), "a long, b long")
+    return links.union(materialize(beside, "links"))
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, h (hash of the text), n_shingles, component_id (the smallest doc_id of the group), a row per row of ``docs``."""
     sketched = materialize(sketch(docs, k, text), "sketch")
@@ -207,40 +268,28 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -
     # Families: classes joined to the smallest class of each band they share.
     banded = classes.select("doc_id", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("key", "leader")
-    near = banded.join(leaders, "key").where("doc_id <> leader").select("doc_id", "leader").distinct()
+    shared = materialize(banded.join(leaders, "key").select("key", "doc_id", "leader"), "bands")
+    near = shared.where("doc_id <> leader").select("doc_id", "leader").distinct()
     families = components(near, "doc_id", "leader").withColumnsRenamed({"node": "doc_id", "component": "family"})
     sizes = families.groupBy("family").agg(F.count("*").alias("members"))
     placed = materialize(families.join(sizes, "family").join(classes.select("doc_id", "h"), "doc_id"), "families")
 
-    # Their texts, once: dealt to groups by family, or by block of a large family. Merging at every size
-    # keeps the plan, and with it the growth, the same when few families would fit a broadcast.
+    # Texts of the small ones, once: many families to a group. Joins merge at every size, so that
+    # the plan, and with it the growth, is the same when few families would fit a broadcast.
     bins = max(1, -(-placed.count() // BIN))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    group = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family", block))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    members = placed.withColumns({"g": group, "block": block, "blocks": blocks}).join(texts.hint("merge"), ["doc_id", "h"])
-    members = materialize(members.select("doc_id", "family", "g", "block", "blocks", "text"), "members")
-    links = materialize(members.select("g", "doc_id", "text").groupBy("g").applyInArrow(_within(k, percent), "a long, b long"), "links")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(named(text)).alias("h"), named(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    members = materialize(placed.join(texts.hint("merge"), ["doc_id", "h"]).select("doc_id", "h", "family", "members", "text").dropDuplicates(["doc_id", "h"]).drop("h"), "members")
+    small = members.where(F.col("members") <= BLOCK).select(F.pmod(F.xxhash64("family"), F.lit(bins)).alias("g"), "doc_id", "text")
+    links = materialize(small.groupBy("g").applyInArrow(_within(k, percent), "a long, b long"), "links")
+
+    large = members.where(F.col("members") > BLOCK).select("doc_id", "text")
+    if large.limit(1).count():
+        links = _open_bands(shared, near, large, links, bins, k, percent)
     labels = components(links)
 
-    # Split families: whatever is outside the largest component is compared with every block.
-    split = members.where("blocks > 1").select("family", "doc_id", "block", "blocks")
-    if split.limit(1).count():
-        own = split.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        largest = own.groupBy("family", "comp").agg(F.count("*").alias("c")).groupBy("family").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("all"))
-        largest = largest.select("family", F.col("x.comp").alias("main"), F.ceil((F.col("all") - F.col("x.c")) / BLOCK).cast("int").alias("stray_blocks")).where("stray_blocks > 0")
-        own = materialize(own.join(largest, "family"), "split").join(members.select("doc_id", "text"), "doc_id")
-        strays = own.where("comp <> main").withColumns({"i": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("stray_blocks")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(1)})
-        others = own.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("stray_blocks") - 1)), "j": F.col("block"), "side": F.lit(2)})
-        columns = ["family", "i", "j", "doc_id", "comp", "side", "text"]
-        beside = strays.select(*columns).union(others.select(*columns)).groupBy("family", "i", "j").applyInArrow(_beside(k, percent), "a long, b long")
-        links = links.union(materialize(beside, "links"))
-        labels = components(links)
-
     final = labels.select(F.col("node").alias("rep"), F.col("component").alias("root"))
-    named = classes.select("n", "d1", "d2", F.col("doc_id").alias("rep")).join(final, "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
-    result = sketched.join(named, ["n", "d1", "d2"], "left")
+    labelled = classes.select("n", "d1", "d2", F.col("doc_id").alias("rep")).join(final, "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
+    result = sketched.join(labelled, ["n", "d1", "d2"], "left")
     # Without a shingle, a document is alone.
     return result.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -250,8 +299,9 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
 
     Of repeated rows of one doc_id, one stays. Rows of null doc_id all stay.
     """
-    found = groups(docs.select("doc_id", text), k, percent, text)
+    found = groups(docs.select("doc_id", named(text).alias("text")), k, percent)
     keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    once = named.join(keep, "doc_id", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col(text))))).where("_r = 1").drop("_r")
-    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    place = fresh(docs.columns, "_place")[0]
+    with_id = docs.where(F.col("doc_id").isNotNull())
+    once = with_id.join(keep, "doc_id", "left_semi").withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(named(text))))).where(named(place) == 1)
+    return once.select(*[named(c) for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
