@@ -1,29 +1,33 @@
 """Exact removal of repeated token spans over a compacted de Bruijn graph.
 
-The nodes of the graph are windows of ``WINDOW`` consecutive words, its edges
-the words that lead from one to the next. The graph is never built window by
-window: consecutive windows that share their minimizer (the smallest hash of
-the ``SEED``-word sequences in them) are one nonbranching path of the document
-and travel as one compacted row, keyed by the minimizer. Equal windows have
-equal minimizers, so all occurrences of a window meet under one key.
-
-1. Each task turns its texts into compacted paths. A path that the task has
-   already sent for a smaller document is a repeat at once and is not sent
-   again, so a passage that a third of all documents share reaches its key
-   once per task and variant.
-2. Paths are dealt by minimizer and sorted by minimizer and document. A task
-   streams through them and remembers the windows of the current minimizer
-   only; a window seen for a smaller document marks its source coordinates.
-3. Marked coordinates, merged into runs, join their documents, and the words
-   outside the runs are what is kept.
-
-Windows are compared by the 64-bit minimizer, the minimizer's place in the
-window and 48 bits of the window's own hash.
+The edges of the graph are the windows of ``WINDOW`` consecutive words, its nodes
+the ``WINDOW - 1`` words that an edge shares with the next. The graph is
+compacted twice, and only its repeated part is ever built edge by edge:
+
+1. Consecutive windows of a text that share their minimizer (the smallest hash
+   of the ``SEED``-word sequences in them) are one path of it and travel as one
+   row, a run. Equal windows have equal minimizers; a minimizer that only one
+   document has is dropped at once. Runs of equal words are one class.
+2. Where a minimizer has several classes, paths part or meet inside it. The
+   windows of each such class become edges, once a class, and an edge's
+   least document is found by a join on its hash.
+3. Classes that follow each other in every text that has them, with one
+   successor and one predecessor and side by side in their first text, do not
+   branch. They compact into paths by joins that double the pointers to the
+   path's head until none moves.
+4. A repeated span is a stretch of a text along a path, or along the edges
+   inside a run, with the coordinates of its source: the first document with
+   it. The words there are digested, and a text gives up a span only if its own
+   words have that digest.
+
+So texts travel three times, whole ones once: for the edges and for the
+sources, Bloom filters of a fixed size pick the few that are wanted first.
 
 Defined cases: a null text has no words. Rows of null doc_id are left whole
 and remove nothing from others. Rows of equal doc_id do not remove from each
-other. Texts under ``WINDOW`` words are left whole. Other columns are kept;
-columns that the operator adds are replaced.
+other. Texts under ``WINDOW`` words are left whole. Of several documents with
+a span, the one of the smallest doc_id keeps it. Other columns are kept,
+whatever their names; columns that the operator adds are replaced.
 """
 
 from __future__ import annotations
@@ -33,22 +37,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import byteops as B
-from quire.llm.pretokens import ragged
+from quire.llm.columns import fresh, named, own
+from quire.session import materialize
 
 WINDOW = 50
 #: Words of a minimizer.
 SEED = 10
-_BYTES = 6
-#: Path variants that a task remembers before it starts anew.
-KNOWN = 400_000
+#: Bits of a Bloom filter. It is broadcast, 8 MB whatever the input; where it is full it lets all pass, and joins decide.
+BITS = 1 << 26
 
-_PATH = "m long, doc long, h long, start int, n int, at binary, w binary"
-_PATH_NAMES = ["m", "doc", "h", "start", "n", "at", "w"]
+_RUNS = "doc long, h long, m long, x long, before long, after long, start int, n int"
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -61,176 +64,257 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def paths(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, seed: int = SEED):
-    """Compacted paths of all texts: text, first window, windows, minimizer, its places, window hashes."""
+def runs(buf: np.ndarray, off: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """Runs of all texts: text, first window, windows, minimizer, hash of the run's words."""
     starts, ends, bounds = B.words(buf, off)
     n = np.diff(bounds)
-    total = len(starts)
     none = np.zeros(0, np.int64)
-    if total < window:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint8), none.astype(np.uint64)
+    if len(starts) < window:
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     h = B.word_hashes(buf, starts, ends)
-    spot = np.arange(total - seed + 1)
-    seeds = B.span_hash(h, spot, spot + seed)
-    # The low bits hold the place, so that the leftmost of equal seeds is taken.
-    width = window - seed + 1
-    low = _sliding_min(seeds, width)
+    spot = np.arange(len(starts) - seed + 1)
+    low = _sliding_min(B.span_hash(h, spot, spot + seed), window - seed + 1)
     spot = np.arange(len(low))
-    whole = B.span_hash(h, spot, spot + window)
     owner = np.repeat(np.arange(len(n)), n)[: len(low)]
     real = spot + window <= bounds[1:][owner]
-    spot, low, whole, owner = spot[real], low[real], whole[real], owner[real]
+    spot, low, owner = spot[real], low[real], owner[real]
     if not len(spot):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint8), none.astype(np.uint64)
-    new = np.append(True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]))
-    first = np.flatnonzero(new)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])))
     count = np.diff(np.append(first, len(spot)))
-    # Place of the leftmost minimizer within each window.
-    place = np.zeros(len(spot), np.uint8)
-    pending = np.arange(len(spot))
-    for k in range(width):
-        found = seeds[spot[pending] + k] == low[pending]
-        place[pending[found]] = k
-        pending = pending[~found]
-        if not len(pending):
-            break
-    return owner[first], spot[first] - bounds[owner[first]], count, low[first], place, whole
-
-
-def _row_keys(low, count, place, whole, first):
-    """A hash of each path's whole contents."""
-    mixed = B.mix(whole + place.astype(np.uint64))
-    return B.span_hash(mixed, first, first + count) ^ low
-
-
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[int, int] = {}
+    at, owner = spot[first], owner[first]
+    return owner, at - bounds[owner], count, low[first], B.span_hash(h, at, at + count + window - 1)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, hashes = B.longs(B.column(batch, "doc_id")), B.longs(B.column(batch, "_h"))
+        docs, hashes = B.longs(B.column(batch, "doc")), B.longs(B.column(batch, "h"))
         for lo, hi, buf, off in B.slices(B.column(batch, "text")):
-            owner, start, count, low, place, whole = paths(buf, off)
+            owner, start, count, low, x = runs(buf, off)
             if not len(owner):
                 continue
-            first = np.cumsum(count) - count
-            doc = docs[lo:hi][owner]
-            keys = _row_keys(low, count, place, whole, first).tolist()
-            if len(known) > KNOWN:
-                known.clear()
-            repeat = np.zeros(len(owner), dtype=bool)
-            order = np.argsort(doc, kind="stable").tolist()
-            listed = doc.tolist()
-            for i in order:
-                d, k = listed[i], keys[i]
-                least = known.get(k)
-                if least is None or d < least:
-                    known[k] = d
-                elif d > least:
-                    repeat[i] = True
-            sent = ~repeat
-            bytes_ = whole.view(np.uint8).reshape(-1, 8)[:, :_BYTES]
-            pick = ragged(first[sent], count[sent])
-            sizes = np.where(sent, count, 0)
-            # A repeat goes along with an empty path under a key of its own.
-            m = np.where(sent, low, B.mix(np.arange(lo, lo + len(owner), dtype=np.uint64))).view(np.int64)
+            x = x.view(np.int64)
+            same = owner[1:] == owner[:-1]
+            before, after = pa.array(np.append(0, x[:-1]), mask=np.append(True, ~same)), pa.array(np.append(x[1:], 0), mask=np.append(~same, True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(m), pa.array(doc), pa.array(hashes[lo:hi][owner]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), B.binaries(sizes, place[pick]), B.binaries(sizes * _BYTES, bytes_[pick])],
-                names=_PATH_NAMES,
+                [pa.array(docs[lo:hi][owner]), pa.array(hashes[lo:hi][owner]), pa.array(low.view(np.int64)), pa.array(x), before, after, pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                names=["doc", "h", "m", "x", "before", "after", "start", "n"],
             )
 
 
-def _bytes_of(array: pa.Array) -> np.ndarray:
-    """All bytes of a binary column, end to end."""
-    if isinstance(array, pa.ChunkedArray):
-        array = array.combine_chunks()
-    off = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
-    data = array.buffers()[2]
-    return np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+# -- Bloom filters -----------------------------------------------------------------------
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks windows seen for a smaller document; rows come sorted by m and doc."""
-    open_m, seen_key, seen_doc = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
-        m, doc, h, start, n = (B.longs(B.column(batch, c)) for c in ("m", "doc", "h", "start", "n"))
-        place, raw = _bytes_of(B.column(batch, "at")), _bytes_of(B.column(batch, "w"))
-        at_off = np.frombuffer(B.column(batch, "at").buffers()[1], np.int32)[B.column(batch, "at").offset :][: len(m) + 1]
-        size = np.diff(at_off).astype(np.int64)
-        wide = np.zeros((len(place), 8), np.uint8)
-        wide[:, :_BYTES] = raw.reshape(-1, _BYTES)
-        wide[:, 6] = place
-        value = wide.reshape(-1).view(np.uint64)
-        row = np.repeat(np.arange(len(m)), size)
-        # One key for minimizer, place and window; documents ascend within a minimizer.
-        key = B.mix(value) ^ B.mix(m.view(np.uint64))[row]
-        own = doc[row]
-        old_key, old_doc = (seen_key, seen_doc) if len(m) and open_m == m[0] else (seen_key[:0], seen_doc[:0])
-        all_key, all_doc = np.concatenate((old_key, key)), np.concatenate((old_doc, own))
-        unique, first, where = np.unique(all_key, return_index=True, return_inverse=True)
-        least = all_doc[first]  # rows ascend by doc, so the first is the smallest
-        marked = own > least[where[len(old_key) :]]
-        begin = np.cumsum(size) - size
-        # Windows of the last minimizer stay for the next batch.
-        if len(m):
-            last = m == m[-1]
-            stay = np.isin(unique, all_key[np.concatenate((np.full(len(old_key), bool(m[0] == m[-1])), last[row]))])
-            open_m, seen_key, seen_doc = m[-1], unique[stay], least[stay]
-        # Runs of marked windows.
-        hit = np.flatnonzero(marked)
-        local = np.flatnonzero(size == 0)
-        rows, s, e = doc[:0], doc[:0], doc[:0]
-        if len(hit):
-            r = row[hit]
-            new = np.append(True, (hit[1:] != hit[:-1] + 1) | (r[1:] != r[:-1]))
-            edge = np.flatnonzero(new)
-            length = np.diff(np.append(edge, len(hit)))
-            rows, s = r[edge], start[r[edge]] + hit[edge] - begin[r[edge]]
-            e = s + length - 1 + WINDOW
-        rows, s, e = np.concatenate((rows, local)), np.concatenate((s, start[local])), np.concatenate((e, start[local] + n[local] - 1 + WINDOW))
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(h[rows]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc", "h", "s", "e"])
-
-
-def _cut(text: bytes, spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> tuple[int, bytes]:
-    """Words removed, and the rest joined by single spaces."""
+def _spots(keys: np.ndarray, size: int) -> np.ndarray:
+    """Two of ``size`` bits for each key."""
+    x = B.mix(keys.view(np.uint64))
+    return np.concatenate((x & np.uint64(size - 1), (x >> np.uint64(32)) & np.uint64(size - 1))).astype(np.int64)
+
+
+def bloom(keys: DataFrame):
+    """A broadcast Bloom filter of a table of one or two long columns; two count as one key."""
+    size = BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unique(_spots(_key(batch), size))
+            word = bits >> 6
+            edge = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else word
+            ones = np.left_shift(np.uint64(1), (bits & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word[edge]), pa.array((np.bitwise_or.reduceat(ones, edge) if len(edge) else ones).view(np.int64))], names=["word", "bits"])
+
+    found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def _key(batch: pa.RecordBatch) -> np.ndarray:
+    first = B.longs(batch.column(0))
+    return first if batch.num_columns == 1 else (B.mix(first.view(np.uint64)) ^ B.longs(batch.column(1)).view(np.uint64)).view(np.int64)
+
+
+def sift(df: DataFrame, columns: list[str], sieve) -> DataFrame:
+    """Rows of ``df`` whose key of these columns may be in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sieve.value
+        for batch in batches:
+            spots = _spots(_key(batch.select(columns)), 64 * len(table))
+            hit = (table[spots >> 6] >> (spots & 63).astype(np.uint64)) & np.uint64(1)
+            both = (hit[: batch.num_rows] & hit[batch.num_rows :]).astype(bool)
+            if both.any():
+                yield batch.filter(pa.array(both))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc, h and more, a row a text) with the text."""
+    return sift(texts, ["doc", "h"], bloom(wanted.select("doc", "h"))).dropDuplicates(["doc", "h"]).join(wanted, ["doc", "h"])
+
+
+# -- The graph ---------------------------------------------------------------------------
+
+
+def classes_of(kept: DataFrame) -> DataFrame:
+    """A row for each distinct run: x, m, n, first (doc, h, start), last (the largest doc), its only neighbours or null."""
+    found = kept.groupBy("x").agg(
+        F.min("m").alias("m"), F.min("n").alias("n"), F.min(F.struct("doc", "h", "start")).alias("first"), F.max("doc").alias("last"),
+        F.min("before").alias("b1"), F.max("before").alias("b2"), F.min("after").alias("a1"), F.max("after").alias("a2"),
+    )
+    return found.select("x", "m", "n", "first", "last", F.when(F.col("b1") == F.col("b2"), F.col("b1")).alias("before"), F.when(F.col("a1") == F.col("a2"), F.col("a1")).alias("after"))
+
+
+def paths(classes: DataFrame) -> DataFrame:
+    """x, head, ahead: each repeated class with its nonbranching path's first class and the windows before it."""
+    repeated = classes.where("first.doc < last").select("x", "n", "first", "before", "after")
+    left = repeated.select(F.col("x").alias("p"), F.col("n").alias("pn"), F.col("first").alias("pf"), F.col("after").alias("pa"))
+    side_by_side = (F.col("pf.doc") == F.col("first.doc")) & (F.col("pf.h") == F.col("first.h")) & (F.col("pf.start") + F.col("pn") == F.col("first.start"))
+    step = repeated.join(left, (F.col("before") == F.col("p")) & (F.col("pa") == F.col("x")) & side_by_side, "left")
+    # Starts grow along a path, so there is no way round in it.
+    pointers = materialize(step.select("x", F.coalesce("p", "x").alias("head"), F.coalesce("pn", F.lit(0)).cast("long").alias("ahead"), F.col("p").isNotNull().alias("moved")), "paths")
+    while pointers.where("moved").limit(1).count():
+        up = pointers.where("head <> x").select(F.col("x").alias("head"), F.col("head").alias("up"), F.col("ahead").alias("more"))
+        jumped = pointers.select("x", "head", "ahead").join(up, "head", "left")
+        pointers = materialize(jumped.select("x", F.coalesce("up", "head").alias("head"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead"), F.col("up").isNotNull().alias("moved")), "paths")
+    return pointers.select("x", "head", "ahead")
+
+
+def edges_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """x, i, e: the windows of every class whose minimizer has another class too."""
+    contested = classes.groupBy("m").agg(F.count("*").alias("variants")).where("variants > 1").select("m")
+    wanted = classes.join(contested, "m").select("x", "n", "first.*")
+    wanted = materialize(wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("x", "start", "n")).alias("runs")), "contested")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = B.column(batch, "runs")
+            for lo, hi, buf, off in B.slices(B.column(batch, "text")):
+                starts, ends, bounds = B.words(buf, off)
+                h = B.word_hashes(buf, starts, ends)
+                part = lists.slice(lo, hi - lo)
+                items = part.flatten()
+                x, start, n = (B.longs(items.field(c)) for c in ("x", "start", "n"))
+                base = np.repeat(bounds[:-1], np.diff(part.offsets.to_numpy())) + start
+                i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(base, n) + i
+                e = B.span_hash(h, at, at + WINDOW)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n)), pa.array(i.astype(np.int32)), pa.array(e.view(np.int64))], names=["x", "i", "e"])
+
+    return fetch(texts, wanted).mapInArrow(run, "x long, i int, e long")
+
+
+def spans_of(texts: DataFrame) -> DataFrame:
+    """doc, h, s, e (words), and the source's sdoc, sh, ss: every span that a smaller doc has, by hashes."""
+    every = materialize(texts.mapInArrow(_runs, _RUNS), "runs")
+    shared = every.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("m")
+    kept = materialize(sift(every, ["m"], bloom(shared)), "shared")
+    classes = materialize(classes_of(kept), "classes")
+
+    # Along paths of whole runs.
+    on = paths(classes)
+    heads = classes.select(F.col("x").alias("head"), F.col("first").alias("hf"))
+    placed = on.join(classes.select("x", "first"), "x").join(heads, "head").select("x", "head", "ahead", F.col("first.doc").alias("least"), "hf")
+    met = kept.join(placed, "x").where("doc > least").withColumn("zero", F.col("start") - F.col("ahead"))
+    whole = met.groupBy("doc", "h", "head", "zero").agg(F.min("start").alias("s"), (F.max(F.col("start") + F.col("n")) + (WINDOW - 1)).alias("e"), F.first("hf").alias("hf"))
+    whole = whole.select("doc", "h", "s", "e", F.col("hf.doc").alias("sdoc"), F.col("hf.h").alias("sh"), (F.col("hf.start") + F.col("s") - F.col("zero")).alias("ss"))
+
+    # Along the edges inside runs: only the first text of a class is still open.
+    edges = edges_of(texts, classes).join(classes.select("x", "first"), "x").select("x", "i", "e", F.struct("first.doc", "first.h", (F.col("first.start") + F.col("i")).alias("at")).alias("place"))
+    edges = materialize(edges, "edges")
+    least = edges.groupBy("e").agg(F.min("place").alias("source"), F.max("place.doc").alias("most")).where("source.doc < most").select("e", "source")
+    hits = edges.join(least, "e").where("source.doc < place.doc").select("x", "i", "source", (F.col("source.at") - F.col("i")).alias("lane"))
+    order = Window.partitionBy("x", "source.doc", "source.h", "lane").orderBy("i")
+    hits = hits.withColumn("island", F.col("i") - F.row_number().over(order))
+    pieces = hits.groupBy("x", F.col("source.doc").alias("sdoc"), F.col("source.h").alias("sh"), "lane", "island").agg(F.min("i").alias("i"), F.max("i").alias("j"))
+    firsts = kept.join(classes.select("x", F.col("first.doc").alias("doc")), ["x", "doc"]).select("x", "doc", "h", "start")
+    inside = pieces.join(firsts, "x").select("doc", "h", (F.col("start") + F.col("i")).alias("s"), (F.col("start") + F.col("j") + WINDOW).alias("e"), "sdoc", "sh", (F.col("lane") + F.col("i")).alias("ss"))
+    return whole.select("doc", "h", F.col("s").cast("int"), F.col("e").cast("int"), "sdoc", "sh", F.col("ss").cast("int")).unionByName(inside.select("doc", "h", F.col("s").cast("int"), F.col("e").cast("int"), "sdoc", "sh", F.col("ss").cast("int")))
+
+
+# -- Words -------------------------------------------------------------------------------
+
+
+def _digest(raw: bytes, starts: np.ndarray, ends: np.ndarray, s: int, e: int) -> bytes:
+    """A digest of the words from s to e of a text."""
+    own = b" ".join([raw[a:b] for a, b in zip(starts[s:e].tolist(), ends[s:e].tolist(), strict=True)])
+    return hashlib.blake2b(own, digest_size=16).digest()
+
+
+def digests(texts: DataFrame, sources: DataFrame) -> DataFrame:
+    """``sources`` (sdoc, sh, ss, size) with the digest of the words at these coordinates."""
+    wanted = sources.groupBy(F.col("sdoc").alias("doc"), F.col("sh").alias("h")).agg(F.collect_set(F.struct("ss", "size")).alias("places"))
+    schema = "sdoc long, sh long, ss int, size int, digest binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            docs, hashes, places = (B.column(batch, c) for c in ("doc", "h", "places"))
+            for lo, hi, buf, off in B.slices(B.column(batch, "text")):
+                starts, ends, bounds = B.words(buf, off)
+                raw = buf.tobytes()
+                for i in range(lo, hi):
+                    a, b = bounds[i - lo], bounds[i - lo + 1]
+                    rows += [(docs[i].as_py(), hashes[i].as_py(), p["ss"], p["size"], _digest(raw, starts[a:b], ends[a:b], p["ss"], p["ss"] + p["size"])) for p in places[i].as_py()]
+            yield pa.RecordBatch.from_pylist([dict(zip(("sdoc", "sh", "ss", "size", "digest"), r, strict=True)) for r in rows], schema=pa.schema([("sdoc", pa.int64()), ("sh", pa.int64()), ("ss", pa.int32()), ("size", pa.int32()), ("digest", pa.binary())]))
+
+    return fetch(texts, materialize(wanted, "sources")).mapInArrow(run, schema)
+
+
+def _cut(raw: bytes, spans: list[dict], starts: np.ndarray, ends: np.ndarray) -> tuple[int, bytes]:
+    """Words removed, and the rest joined by single spaces; a span goes if its words have its source's digest."""
     n = len(starts)
     gone = np.zeros(n + 1, np.int64)
-    for s, e in spans:
-        gone[s] += 1
-        gone[min(e, n)] -= 1
+    for x in spans:
+        s, e = x["s"], x["e"]
+        if e <= n and _digest(raw, starts, ends, s, e) == x["digest"]:
+            gone[s] += 1
+            gone[e] -= 1
     keep = np.cumsum(gone[:-1]) == 0
-    kept = [text[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]
+    kept = [raw[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]
     return n - int(keep.sum()), b" ".join(kept)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", digest_only: bool = False) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (or kept_sha256 with ``digest_only``)."""
     added = ["n_words", "n_removed", "kept_sha256" if digest_only else "kept_text"]
-    docs = docs.select(*[c for c in docs.columns if c not in (*added, "_h", "_doc", "_dh", "_runs")])
-    docs = docs.withColumn("_h", F.xxhash64(F.col(text)))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").cast("long"), "_h", F.col(text).alias("text")).mapInArrow(_emit, _PATH)
-    runs = sent.repartition(parts, "m").sortWithinPartitions("m", "doc").mapInArrow(_match, "doc long, h long, s int, e int")
-    # A text's runs number at most one for each of its words.
-    runs = runs.groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_dh")).agg(F.collect_set(F.struct("s", "e")).alias("_runs"))
-    joined = docs.join(runs, (docs["doc_id"] == runs["_doc"]) & (docs["_h"] == runs["_dh"]), "left").drop("_doc", "_dh", "_h")
-    kept_columns = [c for c in joined.columns if c != "_runs" and not (digest_only and c == text)]
-    joined = joined.select(*kept_columns, *([F.col(text)] if digest_only else []), "_runs")
-    schema = T.StructType([*joined.select(*kept_columns).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(added[2], T.StringType())])
+    kept = own(docs, *added, *([text] if digest_only else []))
+    docs = docs.select(*[named(c) for c in own(docs, *added)])
+    id_, hash_, found_ = fresh([*docs.columns, *added], "_doc", "_h", "_spans")
+
+    def key(name: str) -> Column:
+        return named(name).cast("long")
+
+    sound = docs.where(F.col("doc_id").isNotNull() & named(text).isNotNull())
+    texts = sound.select(key("doc_id").alias("doc"), F.xxhash64(named(text)).alias("h"), named(text).alias("text"))
+    spans = materialize(spans_of(texts), "spans").withColumn("size", F.col("e") - F.col("s"))
+    proven = spans.join(digests(texts, spans.select("sdoc", "sh", "ss", "size").distinct()), ["sdoc", "sh", "ss", "size"])
+    # A text's spans number at most a few for each of its words.
+    listed = proven.groupBy(F.col("doc").alias(id_), F.col("h").alias(hash_)).agg(F.collect_set(F.struct("s", "e", "digest")).alias(found_))
+    keyed = docs.withColumns({id_: key("doc_id"), hash_: F.xxhash64(named(text))})
+    # Rows without an id or text have no key to join by.
+    joined = keyed.where(named(id_).isNotNull() & named(text).isNotNull()).join(listed, [id_, hash_], "left")
+    apart = keyed.where(named(id_).isNull() | named(text).isNull()).withColumn(found_, F.lit(None).cast(joined.schema[found_].dataType))
+    columns = [named(c).alias(f"c{i}") for i, c in enumerate(kept)]
+    joined = joined.unionByName(apart).select(*columns, named(text).alias("text"), named(found_).alias("spans"))
+    fields = docs.select(*[named(c) for c in kept]).schema.fields
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(added[2], T.StringType())])
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs_of = B.column(batch, "_runs")
-            own = batch.select(kept_columns)
-            for lo, hi, buf, off in B.slices(B.column(batch, text)):
+            spans_of_text = B.column(batch, "spans")
+            rest = batch.columns[: len(kept)]
+            for lo, hi, buf, off in B.slices(B.column(batch, "text")):
                 starts, ends, bounds = B.words(buf, off)
                 raw = buf.tobytes()
                 removed, out = [], []
-                for i, spans in enumerate(runs_of.slice(lo, hi - lo).to_pylist()):
+                for i, mine in enumerate(spans_of_text.slice(lo, hi - lo).to_pylist()):
                     a, b = bounds[i], bounds[i + 1]
-                    gone, rest = _cut(raw, [(x["s"], x["e"]) for x in spans or ()], starts[a:b], ends[a:b])
+                    gone, left = _cut(raw, mine or (), starts[a:b], ends[a:b])
                     removed.append(gone)
-                    out.append(hashlib.sha256(rest).hexdigest() if digest_only else rest.decode())
-                part = own.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=[*part.schema.names, *added])
+                    out.append(hashlib.sha256(left).hexdigest() if digest_only else left.decode())
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in rest), pa.array(np.diff(bounds).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=names)
 
     return joined.mapInArrow(run, schema)

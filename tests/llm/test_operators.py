@@ -644,17 +644,65 @@ def brute_removal(docs):
     return sorted(out, key=repr)
 
 
-def test_substring_removal_by_brute_force(spark):
+def repeating_documents():
     passage, other = prose(21, 55), prose(22, 120)
-    docs = EDGES[:-4] + [(20 + i, f"{prose(30 + i, 20)} {passage} {prose(60 + i, 20)}") for i in range(6)]
+    docs = [d for d in EDGES if d[0] != 10] + [(20 + i, f"{prose(30 + i, 20)} {passage} {prose(60 + i, 20)}") for i in range(6)]
     docs += [(40, other), (41, other + " tail"), (42, "head " + " ".join(other.split()[10:100])), (43, " ".join(other.split()[:49])), (44, " ".join(other.split()[:50])), (45, "x " * 300), (46, "x " * 120), (12, passage)]
+    # Periodic texts, copies with one word changed, passages that meet in other orders.
+    docs += [(50, "x y " * 200), (51, "a " + "y x " * 60), (52, edited(other, 1, 5)), (53, f"{passage} {other} {passage}"), (54, f"{other} {passage}"), (55, f"{other} {other}"), (3, f"{passage} late")]
+    return docs
+
+
+def test_substring_removal_by_brute_force(spark):
+    docs = repeating_documents()
+    found = substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), digest_only=True)
+    assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_removal(docs)
+
+
+def test_substring_removal_from_long_texts(spark):
+    w = LONG.split()
+    docs = [(10, LONG), (4, " ".join(w[20_000:20_060])), (11, "new " + LONG + " end"), (12, " ".join(w[5_000:6_000] + w[100:400])), (13, "z " * 5_000), (14, "z " * 3_000 + LONG[:3_000])]
     found = substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), digest_only=True)
     assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_removal(docs)
 
 
+def test_full_filters_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BITS", 64)
+    docs = repeating_documents()
+    found = substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), digest_only=True)
+    assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_removal(docs)
+
+
+def test_nonbranching_runs_compact_to_one_path(spark):
+    """A copy is one span, and a text that parts in the middle is a path before and a path after."""
+    whole = prose(5, 1500)
+    w = whole.split()
+    texts = spark.createDataFrame([(1, 11, whole), (2, 22, whole), (3, 33, " ".join(w[:700] + ["other"] + w[701:]))], "doc long, h long, text string")
+    spans = {(r.doc, r.s, r.e, r.sdoc, r.ss) for r in substring.spans_of(texts.where("doc < 3")).collect()}
+    assert spans == {(2, 0, 1500, 1, 0)}
+    spans = substring.spans_of(texts).collect()
+    covered = {d: sorted({j for r in spans if r.doc == d for j in range(r.s, r.e)}) for d in (2, 3)}
+    assert covered[2] == list(range(1500)) and covered[3] == [j for j in range(1500) if j != 700]
+    assert len([r for r in spans if r.doc == 2]) <= 6 and all(r.s == r.ss and r.sdoc == 1 for r in spans)
+
+
+def test_a_span_goes_only_if_its_words_are_its_sources():
+    """Where hashes lie, the words at the source's coordinates decide."""
+    docs = [(1, prose(1, 60)), (2, prose(2, 60)), (3, prose(1, 60))]
+    raw = docs[0][1].encode()
+    starts, ends, _ = byteops.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    digest = substring._digest(raw, starts, ends, 0, 60)
+    for (_, t), gone in zip(docs, (60, 0, 60)):
+        own = t.encode()
+        s, e, _ = byteops.words(np.frombuffer(own, np.uint8), np.array([0, len(own)]))
+        assert substring._cut(own, [{"s": 0, "e": 60, "digest": digest}], s, e)[0] == gone
+
+
 def test_substring_keeps_other_columns(spark, edges):
-    found = substring.remove_repeats(edges.withColumn("n_words", F.lit("clash")))
-    assert found.columns == [*edges.columns, "n_words", "n_removed", "kept_text"] and found.count() == len(EDGES)
+    clashing = edges.withColumns({c: F.lit("mine") for c in ("n_words", "_doc", "_H", "_spans", "_runs", "_dh", "a.b")})
+    found = substring.remove_repeats(clashing)
+    assert found.columns == [*[c for c in clashing.columns if c != "n_words"], "n_words", "n_removed", "kept_text"] and found.count() == len(EDGES)
+    assert {(r["_doc"], r["_H"], r["_spans"], r["_runs"], r["_dh"], r["a.b"], r["h"]) for r in found.collect()} == {("mine",) * 6 + ("clash",)}
 
 
 def test_components(spark):
