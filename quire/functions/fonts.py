@@ -6,8 +6,10 @@ lookups by code over many fonts are joins in ``quire.operators.graph``.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from quire.sources.pdf_syntax import Name, PdfError
@@ -24,6 +26,12 @@ def _u16(value: object) -> int:
     return int(value)
 
 
+def _number(value: object, what: str) -> float:
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        raise FontError("TypeMismatch", what)
+    return float(value)
+
+
 # -- Widths ------------------------------------------------------------------------------
 
 
@@ -33,7 +41,8 @@ def simple_widths(first: object, last: object, widths: object) -> dict[int, floa
         raise FontError("MissingRequiredKey", "FirstChar" if first is None else "LastChar")
     if not isinstance(widths, list):
         raise FontError("TypeMismatch", "Widths")
-    return {code: float(w) for code, w in enumerate(widths, int(first)) if code <= int(last)}
+    start, end = int(_number(first, "FirstChar")), int(_number(last, "LastChar"))
+    return {code: _number(w, "Widths") for code, w in enumerate(widths, start) if code <= end}
 
 
 def cid_widths(entries: list) -> list[tuple[int, int, list[float]]]:
@@ -41,7 +50,8 @@ def cid_widths(entries: list) -> list[tuple[int, int, list[float]]]:
 
     A run of one width for many codes lists it once per code.
     """
-    runs: dict[int, tuple[int, list[float], bool]] = {}
+    runs: dict[int, tuple[int, list[float]]] = {}
+    starts: list[int] = []
     at = 0
     while at < len(entries):
         start = _u16(entries[at])
@@ -55,29 +65,30 @@ def cid_widths(entries: list) -> list[tuple[int, int, list[float]]]:
                 raise FontError("EmptyWidthsArray", str(start))
             if start in runs:
                 raise FontError("DuplicateCIDStart", str(start))
-            widths, end = [float(w) for w in item], start + len(item) - 1
+            widths, end = [_number(w, "W") for w in item], start + len(item) - 1
             if end > 65535:
                 raise FontError("RangeTooLarge", str(start))
         else:
             end = _u16(item)
             if at >= len(entries):
                 raise FontError("MissingWidthForCIDRange", str(start))
-            width = float(entries[at])
+            width = _number(entries[at], "W")
             at += 1
             if end < start:
                 raise FontError("InvalidCIDRange", f"{start} {end}")
             if start in runs:
                 raise FontError("DuplicateCIDStart", str(start))
             widths = [width] * (end - start + 1)
-        if any(s <= end and start <= e for s, (e, _, _) in runs.items()):
+        # Runs so far do not overlap: only the neighbours of the new one can.
+        i = bisect_right(starts, start)
+        if (i and runs[starts[i - 1]][0] >= start) or (i < len(starts) and starts[i] <= end):
             raise FontError("OverlappingRange", str(start))
-        runs[start] = (end, widths, isinstance(item, list))
-    return [(s, e, w) for s, (e, w, _) in sorted(runs.items())]
+        starts.insert(i, start)
+        runs[start] = (end, widths)
+    return [(s, *runs[s]) for s in starts]
 
 
 def width_of(runs: list[tuple[int, int, list[float]]], cid: int) -> float | None:
-    from bisect import bisect_right
-
     i = bisect_right(runs, cid, key=lambda r: r[0]) - 1
     return runs[i][2][cid - runs[i][0]] if i >= 0 and cid <= runs[i][1] else None
 
@@ -130,13 +141,26 @@ def character_map(data: bytes) -> dict[int, str]:
     return out
 
 
-def _standard_encoding() -> dict[int, int]:
-    # String ids follow each other in runs of codes (first code, last code, first id).
-    runs = ((32, 126, 1), (161, 175, 96), (177, 180, 111), (182, 189, 115), (191, 191, 123), (193, 200, 124), (202, 203, 132), (205, 208, 134), (225, 225, 138), (227, 227, 139), (232, 235, 140), (241, 241, 144), (245, 245, 145), (248, 251, 146))
-    return {code: sid + code - first for first, last, sid in runs for code in range(first, last + 1)}
-
-
-STANDARD_ENCODING = _standard_encoding()
+# The string id of each code in the standard encoding, 0 for none.
+_STANDARD = (
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16,
+    17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32,
+    33, 34, 35, 36, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46, 47, 48,
+    49, 50, 51, 52, 53, 54, 55, 56, 57, 58, 59, 60, 61, 62, 63, 64,
+    65, 66, 67, 68, 69, 70, 71, 72, 73, 74, 75, 76, 77, 78, 79, 80,
+    81, 82, 83, 84, 85, 86, 87, 88, 89, 90, 91, 92, 93, 94, 95, 0,
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    0, 96, 97, 98, 99, 100, 101, 102, 103, 104, 105, 106, 107, 108, 109, 110,
+    0, 111, 112, 113, 114, 0, 115, 116, 117, 118, 119, 120, 121, 122, 0, 123,
+    0, 124, 125, 126, 127, 128, 129, 130, 131, 0, 132, 133, 0, 134, 135, 136,
+    137, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+    0, 138, 0, 139, 0, 0, 0, 0, 140, 141, 142, 143, 0, 0, 0, 0,
+    0, 144, 0, 0, 0, 145, 0, 0, 146, 147, 148, 149, 0, 0, 0, 0,
+)
+STANDARD_ENCODING = {code: sid for code, sid in enumerate(_STANDARD) if sid}
 
 
 # -- Compact font programs ---------------------------------------------------------------
@@ -335,19 +359,221 @@ def _step(pen: Outline, op: str, args: list[int]) -> None:
         pen.segments.append(("close", []))
 
 
+#: How deep subroutines may call each other, and numbers on the stack.
+MAX_CALLS, MAX_STACK = 10, 513
+_STEMS = frozenset(("hstem", "vstem", "hstemhm", "vstemhm"))
+_MASKS = frozenset(("hintmask", "cntrmask"))
+
+
+def _bias(count: int) -> int:
+    return 107 if count < 1240 else 1131 if count < 33900 else 32768
+
+
+class Interpreter:
+    """Runs a charstring: hints are counted, subroutines called, arithmetic done, and the path drawn.
+
+    A value that is not there is ``StackUnderflow``, a call that leads nowhere
+    ``InvalidSubroutine``; what was drawn before an error stays.
+    """
+
+    def __init__(self, subroutines: list[bytes] = (), global_subroutines: list[bytes] = ()):
+        self.pen, self.stack, self.store = Outline(), [], {}
+        self.local, self.shared = subroutines, global_subroutines
+        self.hints, self.ended = 0, False
+
+    def pop(self, n: int = 1) -> list[float]:
+        if len(self.stack) < n:
+            raise FontError("StackUnderflow")
+        out = self.stack[len(self.stack) - n :]
+        del self.stack[len(self.stack) - n :]
+        return out
+
+    def push(self, value: float) -> None:
+        if len(self.stack) >= MAX_STACK:
+            raise FontError("StackOverflow")
+        self.stack.append(value)
+
+    def run(self, data: bytes, depth: int = 0) -> None:
+        cursor = _Cursor(data)
+        while cursor.at < len(data) and not self.ended:
+            b = cursor.u8()
+            if b == 28 or 32 <= b <= 254:
+                self.push(encoded_int(b, cursor))
+            elif b == 255:
+                self.push(struct.unpack(">i", cursor.take(4))[0] / 65536)
+            else:
+                code = 1200 + cursor.u8() if b == 12 else b
+                if code not in CHARSTRING:
+                    raise FontError("UnexpectedOperator", str(code))
+                op = CHARSTRING[code]
+                if op == "return":
+                    return
+                if op in ("callsubr", "callgsubr"):
+                    programs = self.local if op == "callsubr" else self.shared
+                    at = int(self.pop()[0]) + _bias(len(programs))
+                    if not 0 <= at < len(programs) or depth >= MAX_CALLS:
+                        raise FontError("InvalidSubroutine", str(at))
+                    self.run(programs[at], depth + 1)
+                elif op in _STEMS or op in _MASKS:
+                    self._width(len(self.stack) % 2 == 1)
+                    self.hints += len(self.stack) // 2
+                    self.stack.clear()
+                    if op in _MASKS:
+                        cursor.take((self.hints + 7) // 8)
+                elif not self._compute(op):
+                    self._draw(op)
+                    self.stack.clear()
+
+    def _width(self, there: bool) -> None:
+        """The first operator that clears the stack may have the glyph's width below its arguments."""
+        if there and not self.pen.width_read and self.stack:
+            del self.stack[0]
+        self.pen.width_read = True
+
+    def _draw(self, op: str) -> None:
+        pen, n = self.pen, len(self.stack)
+        self._width(n > {"rmoveto": 2, "hmoveto": 1, "vmoveto": 1}.get(op, n) or (op == "endchar" and n in (1, 5)))
+        v = list(self.stack)
+        if op == "hhcurveto":
+            first = v.pop(0) if len(v) % 4 == 1 else 0
+            for i in range(0, len(v) - 3, 4):
+                pen.curve(v[i], first, v[i + 1], v[i + 2], v[i + 3], 0)
+                first = 0
+        elif op == "rlinecurve":
+            if len(v) < 6 or len(v) % 2:
+                raise FontError("StackUnderflow", op)
+            for i in range(0, len(v) - 6, 2):
+                pen.line(v[i], v[i + 1])
+            pen.curve(*v[-6:])
+        elif op in _FLEX:
+            if n < _FLEX[op]:
+                raise FontError("StackUnderflow", op)
+            for curve in _flexed(op, v):
+                pen.curve(*curve)
+        elif op == "endchar":
+            self.ended = True
+            _step(pen, op, v)
+        elif op != "dotsection":
+            _step(pen, op, v)
+
+    def _compute(self, op: str) -> bool:
+        """Whether ``op`` works on the stack alone; then it is done."""
+        if op in _ONE:
+            self.push(_ONE[op](*self.pop()))
+        elif op in _TWO:
+            a, b = self.pop(2)
+            if op == "div" and b == 0:
+                raise FontError("DivisionByZero")
+            self.push(_TWO[op](a, b))
+        elif op == "drop":
+            self.pop()
+        elif op == "dup":
+            (a,) = self.pop()
+            self.push(a)
+            self.push(a)
+        elif op == "exch":
+            a, b = self.pop(2)
+            self.stack += [b, a]
+        elif op == "ifelse":
+            a, b, left, right = self.pop(4)
+            self.push(a if left <= right else b)
+        elif op == "put":
+            value, at = self.pop(2)
+            self.store[int(at)] = value
+        elif op == "get":
+            self.push(self.store.get(int(self.pop()[0]), 0))
+        elif op == "index":
+            at = max(0, int(self.pop()[0]))
+            if at >= len(self.stack):
+                raise FontError("StackUnderflow", op)
+            self.push(self.stack[-1 - at])
+        elif op == "roll":
+            n, by = (int(x) for x in self.pop(2))
+            top = self.pop(n) if n > 0 else []
+            by = by % n if n > 0 else 0
+            self.stack += top[len(top) - by :] + top[: len(top) - by]
+        elif op == "random":
+            self.push(0.5)  # in (0, 1], and the same in every run
+        else:
+            return False
+        return True
+
+
+def _root(a: float) -> float:
+    if a < 0:
+        raise FontError("InvalidOperand", "sqrt")
+    return math.sqrt(a)
+
+
+_ONE = {"abs": abs, "neg": lambda a: -a, "not": lambda a: int(a == 0), "sqrt": _root}
+_TWO = {"and": lambda a, b: int(a != 0 and b != 0), "or": lambda a, b: int(a != 0 or b != 0), "eq": lambda a, b: int(a == b), "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b}
+#: Arguments of the flex operators.
+_FLEX = {"hflex": 7, "flex": 13, "hflex1": 9, "flex1": 11}
+
+
+def _flexed(op: str, v: list[float]) -> tuple[list[float], list[float]]:
+    """The two curves of a flex operator, twelve deltas in all."""
+    if op == "flex":
+        return v[:6], v[6:12]
+    if op == "hflex":
+        return [v[0], 0, v[1], v[2], v[3], 0], [v[4], 0, v[5], -v[2], v[6], 0]
+    if op == "hflex1":
+        return [v[0], v[1], v[2], v[3], v[4], 0], [v[5], 0, v[6], v[7], v[8], -(v[1] + v[3] + v[7])]
+    dx, dy = sum(v[0:10:2]), sum(v[1:10:2])
+    return v[:6], [*v[6:10], *((v[10], -dy) if abs(dx) > abs(dy) else (-dx, v[10]))]
+
+
+def glyph_path(data: bytes, subroutines: list[bytes] = (), global_subroutines: list[bytes] = ()) -> tuple[list[tuple[str, list[float]]], FontError | None]:
+    """The outline of a charstring's bytes, and the error at which it stopped."""
+    machine = Interpreter(subroutines, global_subroutines)
+    try:
+        machine.run(data)
+    except FontError as e:
+        return machine.pen.segments, e
+    return machine.pen.segments, None
+
+
+def font_dictionary(data: bytes) -> dict[int, list[float]]:
+    """Operands of each operator (12 n as 1200 + n) of a Top or Private DICT."""
+    cursor, stack, out = _Cursor(data), [], {}
+    while cursor.at < len(data):
+        b = cursor.u8()
+        if b <= 21:
+            out[1200 + cursor.u8() if b == 12 else b], stack = stack, []
+        elif b == 30:
+            digits = ""
+            while "f" not in digits:
+                digits += f"{cursor.u8():02x}"
+            plain = digits[: digits.index("f")].replace("a", ".").replace("b", "E").replace("c", "E-").replace("e", "-")
+            try:
+                stack.append(float(plain or "0"))
+            except ValueError:
+                raise FontError("InvalidRealNumber", plain) from None
+        elif b in (28, 29) or 32 <= b <= 254:
+            stack.append(encoded_int(b, cursor))
+        else:
+            raise FontError("UnexpectedDictByte", str(b))
+    return out
+
+
 @dataclass
 class CompactFont:
-    """Glyph programs and the glyph of each code."""
+    """Glyph programs and the glyph of each code. With ``compat``, programs are read word by word and hints, subroutines and flexes stop a glyph."""
 
-    glyphs: list[list[int | str]]
+    glyphs: list[bytes]
     encoding: dict[int, int]
+    subroutines: list[bytes] = field(default_factory=list)
+    global_subroutines: list[bytes] = field(default_factory=list)
+    compat: bool = False
 
     def outline(self, code: int) -> tuple[list, FontError | None] | None:
         gid = self.encoding.get(code)
-        return draw(self.glyphs[gid]) if gid is not None and gid < len(self.glyphs) else None
+        if gid is None or gid >= len(self.glyphs):
+            return None
+        return draw(char_string(self.glyphs[gid])) if self.compat else glyph_path(self.glyphs[gid], self.subroutines, self.global_subroutines)
 
 
-def compact_font(data: bytes) -> CompactFont:
+def compact_font(data: bytes, compat: bool = False) -> CompactFont:
     cursor = _Cursor(data)
     cursor.take(2)
     cursor.at = cursor.u8()
@@ -355,11 +581,83 @@ def compact_font(data: bytes) -> CompactFont:
     tops = index(cursor)
     if not tops:
         raise FontError("InvalidData", "missing Top DICT")
-    top = top_dictionary(tops[0])
+    return _compact_compat(cursor, tops[0]) if compat else _compact(cursor, tops[0])
+
+
+def _at(cursor: _Cursor, offset: float) -> _Cursor:
+    if not 0 <= offset <= len(cursor.data):
+        raise FontError("InvalidOffsets", str(offset))
+    return _Cursor(cursor.data, int(offset))
+
+
+def _compact(cursor: _Cursor, top: bytes) -> CompactFont:
+    entries = font_dictionary(top)
+    index(cursor)  # strings
+    shared = index(cursor) if cursor.at < len(cursor.data) else []
+
+    def offset(op: int, default: float) -> float:
+        return (entries.get(op) or [default])[-1]
+
+    if 17 not in entries:
+        raise FontError("InvalidData", "missing CharStrings offset")
+    glyphs = index(_at(cursor, offset(17, 0)))
+    local: list[bytes] = []
+    if len(entries.get(18, [])) == 2:
+        size, start = entries[18]
+        private = font_dictionary(_at(cursor, start).take(max(0, int(size))))
+        if private.get(19):
+            local = index(_at(cursor, start + private[19][-1]))
+    gids = _charset(cursor, offset(15, 0), len(glyphs))
+    return CompactFont(glyphs, _codes(cursor, offset(16, 0), gids), local, shared)
+
+
+def _charset(cursor: _Cursor, offset: float, count: int) -> dict[int, int]:
+    """Glyph of each string id; offset 0 is the predefined set, in which both are the same."""
+    if offset == 0:
+        return {g: g for g in range(count)}
+    if offset in (1, 2):
+        raise FontError("UnsupportedCharsetFormat", "expert")
+    cursor = _at(cursor, offset)
+    form, gids, g = cursor.u8(), {0: 0}, 1
+    if form > 2:
+        raise FontError("UnsupportedCharsetFormat", str(form))
+    while g < count:
+        first = cursor.u16()
+        left = 0 if form == 0 else cursor.u8() if form == 1 else cursor.u16()
+        for sid in range(first, first + min(left, count - g - 1) + 1):
+            gids[sid], g = g, g + 1
+    return gids
+
+
+def _codes(cursor: _Cursor, offset: float, gids: dict[int, int]) -> dict[int, int]:
+    """Glyph of each code: the standard encoding, or the font's own."""
+    if offset == 0:
+        return {code: gids.get(STANDARD_ENCODING.get(code, 0), 0) for code in range(256)}
+    if offset == 1:
+        raise FontError("UnsupportedEncodingType", "expert")
+    cursor = _at(cursor, offset)
+    form, out, g = cursor.u8(), dict.fromkeys(range(256), 0), 1
+    if form & 0x7F > 1:
+        raise FontError("UnsupportedEncodingType", str(form))
+    for _ in range(cursor.u8()):
+        first = cursor.u8()
+        for code in range(first, first + (cursor.u8() if form & 0x7F else 0) + 1):
+            out[code & 0xFF], g = g, g + 1
+    if form & 0x80:
+        for _ in range(cursor.u8()):
+            code = cursor.u8()
+            out[code] = gids.get(cursor.u16(), 0)
+    return out
+
+
+def _compact_compat(cursor: _Cursor, data: bytes) -> CompactFont:
+    top = top_dictionary(data)
     if "char_strings" not in top:
         raise FontError("InvalidData", "missing CharStrings offset")
     cursor.at = top["char_strings"]
-    glyphs = [char_string(g) for g in index(cursor)]
+    glyphs = index(cursor)
+    for glyph in glyphs:
+        char_string(glyph)
     if "charset" not in top:
         raise FontError("InvalidData", "missing charset offset")
     cursor.at = top["charset"]
@@ -371,7 +669,7 @@ def compact_font(data: bytes) -> CompactFont:
     gids = {0: 0} | {cursor.u16(): g for g in range(1, len(glyphs))}
     if top.get("encoding", 0) != 0:
         raise FontError("UnsupportedEncodingType", str(top["encoding"]))
-    return CompactFont(glyphs, {code: gids.get(STANDARD_ENCODING.get(code, 0), 0) for code in range(256)})
+    return CompactFont(glyphs, {code: gids.get(STANDARD_ENCODING.get(code, 0), 0) for code in range(256)}, compat=True)
 
 
 def font_file(document, descriptor: dict) -> object | None:
@@ -408,7 +706,7 @@ class Font:
         return self.widths.get(code, 0.0)
 
 
-def read_font(document, value: object) -> Font:
+def read_font(document, value: object, compat: bool = False) -> Font:
     """A font from its dictionary; MMType1 and other subtypes are an error."""
     entries = document.dictionary(value)
     kind = str(entries.get("Subtype", ""))
@@ -426,8 +724,10 @@ def read_font(document, value: object) -> Font:
         child = document.dictionary(below[0])
         if child.get("Subtype") != "CIDFontType2":
             raise FontError("UnsupportedCidFont", str(child.get("Subtype")))
-        font.default_width = float(child.get("DW", 1000))
+        font.default_width = _number(child.get("DW", 1000), "DW")
         widths = document.resolve(child["W"]) if "W" in child else []
+        if not isinstance(widths, list):
+            raise FontError("TypeMismatch", "W")
         font.runs = cid_widths(widths)
         entries = child
     else:
@@ -450,7 +750,7 @@ def read_font(document, value: object) -> Font:
         if found is not None:
             from quire.functions.truetype import true_type
 
-            font.program = compact_font(found.data) if kind == "Type1" else true_type(found.data)
+            font.program = compact_font(found.data, compat) if kind == "Type1" else true_type(found.data)
     elif kind == "Type1":
         raise FontError("MissingRequiredKey", "FontDescriptor")
     return font

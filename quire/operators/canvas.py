@@ -5,10 +5,12 @@ kind, a device-space path and the paint that was in force. An operator that
 the canvas does not implement gives an error row and, unless ``strict``, the
 page goes on.
 
-``compat`` keeps the quirks of the conformance cases: ``n`` resets the clip it
-was meant to leave, text offsets and form matrices apply outside the line
-matrix, glyph runs do not move the text matrix, and one slot holds the pattern
-of fills and strokes.
+``compat`` keeps the quirks of the conformance cases: operators that those
+leave out are ``NotImplemented``, ``n`` resets the clip it was meant to leave,
+text offsets and form matrices apply outside the line matrix, glyph runs do
+not move the text matrix, and one slot holds the pattern of fills and strokes.
+Otherwise every operator does what the format says; unknown ones are error rows
+outside a compatibility section and nothing inside it.
 """
 
 from __future__ import annotations
@@ -78,6 +80,9 @@ class State:
     word_spacing: float = 0.0
     scaling: float = 100.0
     rise: float = 0.0
+    leading: float = 0.0
+    rendering: int = 0
+    stroke_pattern: str | None = None
 
 
 @dataclass
@@ -90,6 +95,7 @@ class Command:
     shader: dict | None = None
     blend: str | None = None
     info: dict | None = None
+    count: int = 1
 
 
 def unimplemented(op: str) -> PdfError:
@@ -97,10 +103,14 @@ def unimplemented(op: str) -> PdfError:
 
 
 class Canvas:
-    """Runs operators over a stack of states; ``commands`` collects the result."""
+    """Runs operators over a stack of states; ``commands`` collects the result.
 
-    def __init__(self, document: D.Document, owner: dict, box: tuple | None, size: tuple[float, float] | None = None, compat: bool = False):
-        self.document, self.compat = document, compat
+    With ``bare``, where nobody looks at more than commands' kinds, the glyphs
+    of a run in a font without outlines are one command that counts them.
+    """
+
+    def __init__(self, document: D.Document, owner: dict, box: tuple | None, size: tuple[float, float] | None = None, compat: bool = False, bare: bool = False):
+        self.document, self.compat, self.bare = document, compat, bare
         self.commands: list[Command] = []
         self.errors: list[tuple[int, PdfError]] = []
         self.owners = [self._resources(owner)]
@@ -113,7 +123,8 @@ class Canvas:
         self.point: tuple[float, float] | None = None
         self.text, self.line = IDENTITY, IDENTITY
         self.forms = 0
-        self._fonts: dict[int, fonts.Font] = {}
+        self.sections = 0  # compatibility sections that are open
+        self._fonts: dict[int, tuple[object, fonts.Font]] = {}
 
     @property
     def state(self) -> State:
@@ -144,18 +155,25 @@ class Canvas:
                 self.errors.append((n, e))
                 if strict:
                     return
-            except (ValueError, TypeError, OverflowError, ZeroDivisionError) as e:
+            except (ValueError, TypeError, OverflowError, ZeroDivisionError, RecursionError) as e:
                 self.errors.append((n, PdfError("InvalidValue", str(e), stage="canvas")))
                 if strict:
                     return
 
     def step(self, op: content.Operator) -> None:
         name, v, s = op.op, op.nums, None
-        if name in NOT_IMPLEMENTED:
+        if name not in content.KNOWN:
+            if self.sections:
+                return
+            raise PdfError("UnknownOperator", name, stage="canvas")
+        if self.compat and name in NOT_IMPLEMENTED:
             if name in ("b", "b*"):
                 self._close()
             raise unimplemented(name) if name not in ("BI", "EI", "d1") or not self.compat else PdfError("Panic", name, stage="canvas")
-        if name in ("BMC", "BDC", "EMC", "ET", "d", "i"):
+        if name in ("BMC", "BDC", "EMC", "MP", "DP", "ET", "d", "i", "ri", "d0", "d1"):
+            return
+        if name in ("BX", "EX"):
+            self.sections = max(0, self.sections + (1 if name == "BX" else -1))
             return
         if name == "Q":
             if self.stack:
@@ -176,19 +194,25 @@ class Canvas:
         elif name in ("g", "rg", "k", "G", "RG", "K"):
             rgb = v * 3 if name in "gG" else cmyk(*v) if name in "kK" else v
             setattr(s, "fill" if name.islower() else "stroke", (*rgb, 1.0))
-            s.pattern = None
+            self._pattern(name.islower(), None)
         elif name in ("cs", "CS"):
-            s.pattern = None
-        elif name in ("scn", "SCN"):
+            self._pattern(name.islower(), None)
+        elif name in ("scn", "SCN", "sc", "SC"):
             self._color(op, s)
         elif name == "gs":
             self._ext_state(self.document.dictionary(self.find("ExtGState", op.name, False)), s)
         elif name in ("m", "l", "c", "v", "y", "h", "re"):
             self._build(name, v)
-        elif name in ("S", "s", "f", "f*"):
-            if name == "s":
+        elif name in ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*"):
+            if name in ("s", "b", "b*"):
                 self._close()
-            self._paint("stroke" if name in "Ss" else "fill", "even_odd" if name == "f*" else "nonzero")
+            kinds = ("stroke",) if name in "Ss" else ("fill",) if name in ("f", "F", "f*") else ("fill", "stroke")
+            self._paint(kinds, "even_odd" if name.endswith("*") else "nonzero")
+        elif name == "sh":
+            shading = self.document.dictionary(self.find("Shading", op.name, True))
+            self.commands.append(Command("shade", shader=shading_of(shading) | {"matrix": list(s.ctm)}, blend=s.blend))
+        elif name == "BI":
+            self._image(inline_image(op.props, op.text))
         elif name == "n":
             self.path, self.point = [], None
             if self.compat and s.clip is not None:
@@ -231,35 +255,45 @@ class Canvas:
         self.point = (v[-2], v[-1])
         return None
 
-    def _paint(self, kind: str, rule: str) -> None:
+    def _paint(self, kinds: tuple[str, ...], rule: str) -> None:
         if not self.path:
-            raise PdfError("NoActivePath", kind, stage="canvas")
+            raise PdfError("NoActivePath", kinds[0], stage="canvas")
         s, path = self.state, self.path
         self.path, self.point = [], None
-        self._draw(kind, rule, move_path(path, s.ctm))
+        for kind in kinds:
+            self._draw(kind, rule, move_path(path, s.ctm))
 
     def _draw(self, kind: str, rule: str | None, path: list) -> None:
         s = self.state
-        shader = self._shader(s) if s.pattern else None
+        pattern = s.stroke_pattern if kind == "stroke" and not self.compat else s.pattern
+        shader = self._shader(pattern) if pattern else None
         self.commands.append(Command(kind, path, rule if kind == "fill" else None, s.fill if kind == "fill" else s.stroke, s.line_width if kind == "stroke" else None, shader, s.blend))
 
+    def _image(self, info: dict) -> None:
+        square = [("move", [0.0, 0.0]), ("line", [1.0, 0.0]), ("line", [1.0, 1.0]), ("line", [0.0, 1.0]), ("close", [])]
+        self.commands.append(Command("draw_image", info=info, path=move_path(square, self.state.ctm)))
+
     # -- colour --------------------------------------------------------------------------
 
+    def _pattern(self, fill: bool, name: str | None) -> None:
+        """Sets the pattern of fills or strokes; with ``compat`` there is one for both."""
+        setattr(self.state, "pattern" if fill or self.compat else "stroke_pattern", name)
+
     def _color(self, op: content.Operator, s: State) -> None:
         if op.name is not None:
             self.find("Pattern", op.name, True)
-            s.pattern = op.name
+            self._pattern(op.op.islower(), op.name)
             return
         if self.compat:
             raise unimplemented(op.op)
         if len(op.nums) not in (1, 3, 4):
             raise PdfError("InvalidOperandCount", op.op, stage="canvas")
         rgb = op.nums * 3 if len(op.nums) == 1 else op.nums if len(op.nums) == 3 else cmyk(*op.nums)
-        setattr(s, "fill" if op.op == "scn" else "stroke", (*rgb, 1.0))
-        s.pattern = None
+        setattr(s, "fill" if op.op.islower() else "stroke", (*rgb, 1.0))
+        self._pattern(op.op.islower(), None)
 
-    def _shader(self, s: State) -> dict:
-        value = self.document.resolve(self.find("Pattern", s.pattern, True))
+    def _shader(self, pattern: str) -> dict:
+        value = self.document.resolve(self.find("Pattern", pattern, True))
         entries = value.dict if isinstance(value, Stream) else value
         if not isinstance(entries, dict):
             raise PdfError("TypeMismatch", "Pattern", stage="canvas")
@@ -291,13 +325,19 @@ class Canvas:
                 modes = value if isinstance(value, list) else [value]
                 if any(str(m) not in BLEND_MODES for m in modes):
                     raise PdfError("InvalidBlendMode", str(value), stage="canvas")
-                if len(modes) > 1:
+                if len(modes) > 1 and self.compat:
                     raise unimplemented("several blend modes")
                 s.blend = str(modes[0])
             elif key == "SMask":
                 self._soft_mask(value)
-            elif key in ("D", "RI", "Font"):
+            elif key in ("D", "RI", "Font") and self.compat:
                 raise unimplemented(key)
+            elif key == "Font":
+                if not isinstance(value, list) or len(value) != 2:
+                    raise PdfError("InvalidValue", key, stage="canvas")
+                s.font, s.size = self._font(value[0]), D.number(value[1])
+            elif key == "D" and not (isinstance(value, list) and len(value) == 2 and isinstance(value[0], list)):
+                raise PdfError("InvalidValue", key, stage="canvas")
 
     def _soft_mask(self, value: object) -> None:
         value = self.document.resolve(value)
@@ -317,7 +357,7 @@ class Canvas:
         stream = self.document.stream(self.find("XObject", name, False))
         kind = str(stream.dict.get("Subtype"))
         if kind == "Image":
-            self.commands.append(Command("draw_image", info=image_of(self.document, stream), path=move_path([("move", [0.0, 0.0]), ("line", [1.0, 0.0]), ("line", [1.0, 1.0]), ("line", [0.0, 1.0]), ("close", [])], self.state.ctm)))
+            self._image(image_of(self.document, stream))
         elif kind == "Form":
             self._form(stream)
         else:
@@ -351,17 +391,25 @@ class Canvas:
         name, v = op.op, op.nums
         if name == "BT":
             self.text = self.line = IDENTITY
-        elif name == "Td":
-            offset = (1.0, 0.0, 0.0, 1.0, v[0], v[1])
-            self.line = multiply(self.line, offset) if self.compat else multiply(offset, self.line)
-            self.text = self.line
+        elif name in ("Td", "TD"):
+            if name == "TD":
+                s.leading = -v[1]
+            self._next_line(v[0], v[1])
+        elif name == "T*":
+            self._next_line(0.0, -s.leading)
+        elif name == "TL":
+            s.leading = v[0]
+        elif name == "Tr":
+            s.rendering = int(v[0])
+        elif name in ("'", '"'):
+            if name == '"':
+                s.word_spacing, s.spacing = v
+            self._next_line(0.0, -s.leading)
+            self._show(op.text, s, self.text)
         elif name == "Tm":
             self.text = self.line = tuple(v)
         elif name == "Tf":
-            value = self.find("Font", op.name, True)
-            if id(value) not in self._fonts:
-                self._fonts[id(value)] = fonts.read_font(self.document, value)
-            s.font, s.size = self._fonts[id(value)], v[0]
+            s.font, s.size = self._font(self.find("Font", op.name, True)), v[0]
         elif name == "Tj":
             self._show(op.text, s, self.text)
         elif name == "TJ":
@@ -377,6 +425,24 @@ class Canvas:
         else:
             raise unimplemented(name)
 
+    def _font(self, value: object) -> fonts.Font:
+        if id(value) not in self._fonts:
+            # The value is kept beside its font, so that its id stays its own.
+            self._fonts[id(value)] = (value, fonts.read_font(self.document, value, self.compat))
+        return self._fonts[id(value)][1]
+
+    def _next_line(self, x: float, y: float) -> None:
+        offset = (1.0, 0.0, 0.0, 1.0, x, y)
+        self.line = multiply(self.line, offset) if self.compat else multiply(offset, self.line)
+        self.text = self.line
+
+    def _glyph(self, s: State, path: list) -> None:
+        """Paints an outline as the rendering mode says: 0 fill, 1 stroke, 2 both, 3 neither; 4 to 7 clip too."""
+        for kind in ((("fill",), ("stroke",), ("fill", "stroke"), ())[s.rendering % 4]):
+            self._draw(kind, "nonzero", path)
+        if s.rendering > 3:
+            self.commands.append(Command("text_clip", path, "nonzero"))
+
     def _show(self, data: bytes, s: State, at: tuple) -> tuple:
         """Glyph rows, and outlines where the font has them; the matrix after the run."""
         if s.font is None:
@@ -385,6 +451,12 @@ class Canvas:
         wide = font.kind in ("Type0", "TrueType") and font.encoding is not None if self.compat else font.kind == "Type0"
         codes = [int.from_bytes(data[i : i + 2], "big") for i in range(0, len(data) - 1, 2)] if wide else list(data)
         horizontal = s.scaling / 100
+        if self.bare and font.program is None and font.kind != "Type3":
+            if codes:
+                self.commands.append(Command("glyph", count=len(codes)))
+            total = (sum(map(font.width, codes)) / 1000 * s.size + s.spacing * len(codes) + s.word_spacing * codes.count(32)) * horizontal
+            at = multiply((1.0, 0.0, 0.0, 1.0, total, 0.0), at)
+            codes = []
         for code in codes:
             w = font.width(code)
             if font.kind == "Type3":
@@ -398,12 +470,12 @@ class Canvas:
                 found = font.program.outline(code)
                 if found and found[0]:
                     m = multiply((0.001, 0.0, 0.0, 0.001, 0.0, 0.0), place)
-                    self._draw("fill", "nonzero", move_path(found[0], m))
+                    self._glyph(s, move_path(found[0], m))
             elif isinstance(font.program, TrueTypeFont):
                 gid = font.program.characters.get(ord(font.cmap[code])) if code in font.cmap else None
                 found = font.program.outline(code if gid is None else gid)
                 if found:
-                    self._draw("fill", "nonzero", move_path(found, multiply((1 / font.program.units, 0.0, 0.0, 1 / font.program.units, 0.0, 0.0), place)))
+                    self._glyph(s, move_path(found, multiply((1 / font.program.units, 0.0, 0.0, 1 / font.program.units, 0.0, 0.0), place)))
             at = multiply((1.0, 0.0, 0.0, 1.0, advance, 0.0), at)
         if not self.compat:
             self.text = at
@@ -421,7 +493,7 @@ class Canvas:
         self.path, self.forms = [], self.forms + 1
         try:
             for op in ops:
-                if op.op == "d1":
+                if op.op in ("d0", "d1"):
                     width = op.nums[0]
                 else:
                     self.step(op)
@@ -465,6 +537,21 @@ def image_of(document: D.Document, stream: Stream) -> dict:
     return out
 
 
+# Short names in inline images.
+_SHORT = {"W": "Width", "H": "Height", "BPC": "BitsPerComponent", "CS": "ColorSpace", "F": "Filter", "D": "Decode", "DP": "DecodeParms", "IM": "ImageMask", "I": "Interpolate"}
+_SHORT_SPACES = {"G": "DeviceGray", "RGB": "DeviceRGB", "CMYK": "DeviceCMYK", "I": "Indexed"}
+
+
+def inline_image(entries: dict | None, data: bytes | None) -> dict:
+    """What ``image_of`` gives, of an inline image; a mask has one bit."""
+    entries = {_SHORT.get(k, k): v for k, v in (entries or {}).items()}
+    if entries.get("ImageMask") is True:
+        entries.setdefault("BitsPerComponent", 1)
+    out = {k: int(D.number(D.need(entries, name), name)) for k, name in (("width", "Width"), ("height", "Height"), ("bits", "BitsPerComponent"))}
+    space, packed = entries.get("ColorSpace"), entries.get("Filter")
+    return out | {"color_space": _SHORT_SPACES.get(str(space), str(space)) if isinstance(space, Name) else None, "bytes": len(data or b""), "filter": str(packed) if isinstance(packed, Name) else None}
+
+
 def expand_image(data: bytes, width: int, height: int, mask: bytes | None = None) -> bytes:
     """Samples as RGBA: 1, 3 or 4 components by length; the soft mask is alpha."""
     import numpy as np
@@ -483,9 +570,9 @@ def expand_image(data: bytes, width: int, height: int, mask: bytes | None = None
     return out.tobytes()
 
 
-def render_page(document: D.Document, page: dict, compat: bool = False, size: tuple[float, float] | None = None, strict: bool = False) -> Canvas:
+def render_page(document: D.Document, page: dict, compat: bool = False, size: tuple[float, float] | None = None, strict: bool = False, bare: bool = False) -> Canvas:
     box = D.media_box(page)
-    canvas = Canvas(document, page, box, size, compat)
+    canvas = Canvas(document, page, box, size, compat, bare)
     ops, error = document.operators(page, compat)
     canvas.run(ops, strict)
     if error:
@@ -496,4 +583,23 @@ def render_page(document: D.Document, page: dict, compat: bool = False, size: tu
 def page_commands(data: bytes, options: dict) -> Iterator[tuple[int, Canvas]]:
     document = D.load(data, options["strict"])
     for i, (_, page) in enumerate(document.pages()):
-        yield i, render_page(document, page, options["compat"])
+        yield i, render_page(document, page, options["compat"], bare=options.get("bare", False))
+
+
+def replay(commands: list[Command], sink: object) -> None:
+    """Plays recorded commands to ``sink`` in order: its method of a command's kind takes the command."""
+    for c in commands:
+        for _ in range(c.count):
+            getattr(sink, c.kind)(c)
+
+
+class Recording:
+    """A sink that records: what is replayed to it can be replayed from it."""
+
+    def __init__(self) -> None:
+        self.commands: list[Command] = []
+
+    def _take(self, c: Command) -> None:
+        self.commands.append(c)
+
+    fill = stroke = glyph = shade = draw_image = set_clip = reset_clip = text_clip = begin_mask = end_mask = _take

@@ -54,30 +54,35 @@ class Document:
     # -- pages ---------------------------------------------------------------------------
 
     def pages(self) -> Iterator[tuple[int, dict]]:
-        """(object number, dictionary) of the pages in order; a cycle is an error."""
+        """(object number, dictionary) of the pages in order; a node that is met again is an error.
+
+        The walk keeps its own stack, so a tree may be as deep as it likes, and
+        as each node is met once, there are at most as many pages as objects.
+        """
         if self.trailer is None:
             raise PdfError("MissingTrailer", stage="pages")
         root = self.dictionary(need(self.trailer.dict, "Root"))
-        yield from self._kids(need(root, "Pages"), ())
-
-    def _kids(self, node: object, above: tuple) -> Iterator[tuple[int, dict]]:
-        num = node.num if isinstance(node, Ref) else -1
-        if num in above:
-            raise PdfError("Cycle", f"page tree node {num}", stage="pages")
-        entries = self.dictionary(node)
-        kind = entries.get("Type")
-        if kind == "Page" and isinstance(kind, Name):
-            yield num, entries
-        elif kind == "Pages" and isinstance(kind, Name):
-            kids = need(entries, "Kids")
-            if not isinstance(kids, list):
-                raise PdfError("TypeMismatch", "Kids", stage="pages")
-            for kid in kids:
-                if not isinstance(kid, Ref):
+        seen: set[int] = set()
+        stack = [need(root, "Pages")]
+        while stack:
+            node = stack.pop()
+            num = node.num if isinstance(node, Ref) else -1
+            if num in seen:
+                raise PdfError("Cycle", f"page tree node {num}", stage="pages")
+            seen.add(num)
+            entries = self.dictionary(node)
+            kind = entries.get("Type")
+            if kind == "Page" and isinstance(kind, Name):
+                yield num, entries
+            elif kind == "Pages" and isinstance(kind, Name):
+                kids = need(entries, "Kids")
+                if not isinstance(kids, list):
+                    raise PdfError("TypeMismatch", "Kids", stage="pages")
+                if not all(isinstance(kid, Ref) for kid in kids):
                     raise PdfError("TypeMismatch", "Kids holds references", stage="pages")
-                yield from self._kids(kid, (*above, num))
-        else:
-            raise PdfError("UnexpectedType", str(kind), stage="pages")
+                stack += reversed(kids)
+            else:
+                raise PdfError("UnexpectedType", str(kind), stage="pages")
 
     def operators(self, page: dict, compat: bool = False) -> tuple[list[content.Operator], PdfError | None]:
         """A page's operators: its streams are parsed one by one and follow each other."""
@@ -158,7 +163,7 @@ def matrix(entries: dict, key: str = "Matrix") -> tuple[float, ...] | None:
 
 
 #: Resource kinds that are read; each must be a direct dictionary.
-RESOURCES = ("Font", "ExtGState", "Pattern", "XObject")
+RESOURCES = ("Font", "ExtGState", "Pattern", "XObject", "Shading")
 
 
 def resources(document: Document, owner: dict) -> dict[str, dict[str, object]]:

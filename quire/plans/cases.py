@@ -6,6 +6,7 @@ its input, and reports one line of text; the SQL says what that line must be.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -152,7 +153,6 @@ case("g15_form", lambda k: _num(_canvas(b"/F Do", _objects(k)).commands[0].path[
 case("g16_ext_gstate", lambda k: _first_error(_canvas(b"/X gs", _objects(k))), "'UnsupportedExtGStateKey'")
 case("g17_blend_mode", lambda k: _canvas(b"/BM gs 0 0 1 1 re f", _objects(k)).commands[0].blend if k % 2 else _first_error(_canvas(b"/BX gs", _objects(k))), "CASE WHEN n_nationkey % 2 = 1 THEN 'Multiply' ELSE 'InvalidBlendMode' END")
 case("g18_soft_mask", lambda k: [c.kind for c in _canvas(b"/SM gs /SN gs", _objects(k)).commands], "'[''begin_mask'', ''fill'', ''end_mask'']'")
-case("g19_dash_and_font", lambda k: _first_error(_canvas(b"/D gs" if k % 2 else b"/Fo gs", _objects(k))), "'NotImplemented'")
 case("g20_tiling_pattern", _shader("T"), f"'tiling 0 0 ' || {K} || ' 4'")
 case("g21_axial_shading", _shader("A"), f"'axial 0 0 ' || {K} || ' 1'")
 case("g21_radial_shading", _shader("R"), f"'radial 0 0 1 0 0 ' || {K}")
@@ -164,7 +164,7 @@ case("g22_color_space", _shader("C"), "'UnsupportedColorSpace'")
 
 case("v02_save_restore", lambda k: [_num(c.line_width) for c in _canvas(b"%d w q 99 w 0 0 m 1 1 l S Q 0 0 m 1 1 l S" % k).commands], f"'[''99'', ''' || {K} || ''']'")
 case("v02_empty_stack", lambda k: _first_error(_canvas(b"Q Q %d w" % k)), "'EmptyGraphicsStateStack'")
-case("v04_fill_and_stroke", lambda k: _first_error(_canvas(b"0 0 %d 1 re B" % k)), "'NotImplemented'")
+case("v04_fill_and_stroke", lambda k: [(c.kind, _num(c.path[1][1][0])) for c in _canvas(b"0 0 %d 1 re B" % k).commands], f"'[(''fill'', ''' || {K} || '''), (''stroke'', ''' || {K} || ''')]'")
 case("v05_clip_path", lambda k: [(c.kind, c.fill_rule) for c in _canvas(b"0 0 %d 9 re W* n" % k).commands], "'[(''set_clip'', ''even_odd'')]'")
 case("v06_shader", _shader("A"), f"'axial 0 0 ' || {K} || ' 1'")
 case("v07_pattern_shader", _shader("T"), f"'tiling 0 0 ' || {K} || ' 4'")
@@ -181,9 +181,13 @@ case("m08_path_build", lambda k: _path(_canvas(b"%d 1 m 2 3 4 5 v 6 7 8 9 y h S"
 # -- Fonts and text ----------------------------------------------------------------------------
 
 
-def _fonted(entries: Callable[[Writer, int], dict], body: bytes = b"BT /F1 10 Tf (A) Tj ET", compat: bool = False):
+def _fonted(entries: Callable[[Writer, int], dict], body: bytes = b"BT /F1 10 Tf (A) Tj ET", compat: bool = False, states: Callable[[Ref], dict] | None = None):
     def run(k: int) -> canvas.Canvas:
-        return _canvas(body, lambda w: {"Font": {"F1": w.add(entries(w, k))}}, compat)
+        def extend(w: Writer) -> dict:
+            font = w.add(entries(w, k))
+            return {"Font": {"F1": font}} | ({"ExtGState": states(font)} if states else {})
+
+        return _canvas(body, extend, compat)
 
     return run
 
@@ -226,9 +230,9 @@ def _int(n: int) -> bytes:
     return b"\x1c" + (n & 0xFFFF).to_bytes(2, "big")
 
 
-def program(*items: int | str) -> bytes:
+def program(*items: int | str | bytes) -> bytes:
     code = {name: bytes([op]) if op < 1200 else bytes([12, op - 1200]) for op, name in fonts.CHARSTRING.items()}
-    return b"".join(code[x] if isinstance(x, str) else _int(x) for x in items)
+    return b"".join(code[x] if isinstance(x, str) else x if isinstance(x, bytes) else _int(x) for x in items)
 
 
 def _type1(w: Writer, k: int) -> dict:
@@ -245,6 +249,7 @@ def _glyphs(c: canvas.Canvas) -> list:
     return [(g.info["code"], _num(round(g.info["advance"], 3))) for g in c.commands if g.kind == "glyph"]
 
 
+case("g19_dash_and_font", lambda k: [_first_error(_canvas(b"/D gs", _objects(k))), _num(_fonted(_simple, b"BT /Fo gs (Z) Tj ET", states=lambda font: {"Fo": {"Font": [font, k]}})(k).commands[0].info["size"])], f"'[''none'', ''' || {K} || ''']'")
 case("t01_font_dispatch", lambda k: _first_error(_fonted(lambda w, k: {"Subtype": Name("MMType1")})(k)), "'UnsupportedFontSubtype'")
 case("t02_encoding", lambda k: [fonts.encoding_kind(x) for x in ("Identity-H", "Identity-V", f"E{k}")], "'[''IdentityHorizontal'', ''IdentityVertical'', ''Other'']'")
 case("t03_font_descriptor", lambda k: fonts.font_file(_graph(k), {"FontFile": Ref(3), "FontFile2": Ref(1)}).dict["Deep"], K)
@@ -291,18 +296,136 @@ _SURVEY_ORDER = (
     "rmoveto", "hmoveto", "rcurveline", "hstem", "vstemhm", "vstem", "vmoveto", "vvcurveto", "rlineto", "hlineto", "vlineto", "vhcurveto", "hvcurveto", "rrcurveto", "callsubr", "return", "endchar", "hstemhm", "hintmask", "cntrmask", "rlinecurve", "hhcurveto", "callgsubr",
     "and", "or", "not", "abs", "add", "sub", "div", "neg", "eq", "drop", "put", "get", "ifelse", "random", "mul", "sqrt", "dup", "exch", "index", "roll", "hflex", "flex", "hflex1", "flex1", "dotsection",
 )
+#: Subroutines: local 0 returns at once, local 1 moves by what is on the stack; global 0 adds one and moves.
+_LOCAL = [program("return", 9, "hmoveto"), program("rmoveto", "return")]
+_GLOBAL = [program(1, "add", "hmoveto")]
+_RUN = {
+    "hstem": (lambda k: (k, 10, "hstem", k, 2, "rmoveto"), "'move ' || k || ' 2'"), "vstem": (lambda k: (5, k, 3, "vstem", k, "hmoveto"), "'move ' || k || ' 0'"),
+    "hstemhm": (lambda k: (k, 1, "hstemhm", 1, k, "rmoveto"), "'move 1 ' || k"), "vstemhm": (lambda k: (k, 1, 2, 3, "vstemhm", k, 4, "rmoveto"), "'move ' || k || ' 4'"),
+    "hintmask": (lambda k: (1, 2, "hstemhm", 3, 4, "hintmask", b"\x15", k, 7, "rmoveto"), "'move ' || k || ' 7'"), "cntrmask": (lambda k: (1, 2, "hstemhm", "cntrmask", b"\x0e", k, 8, "rmoveto"), "'move ' || k || ' 8'"),
+    "rlinecurve": (lambda k: (k, 1, 1, 2, 3, 4, 5, 6, "rlinecurve"), "'line ' || k || ' 1;cubic ' || (k + 1) || ' 3 ' || (k + 4) || ' 7 ' || (k + 9) || ' 13'"),
+    "hhcurveto": (lambda k: (k, 1, 2, 3, "hhcurveto"), "'cubic ' || k || ' 0 ' || (k + 1) || ' 2 ' || (k + 4) || ' 2'"),
+    "callsubr": (lambda k: (k, 2, -106, "callsubr"), "'move ' || k || ' 2'"), "callgsubr": (lambda k: (k, -107, "callgsubr"), "'move ' || (k + 1) || ' 0'"), "return": (lambda k: (-107, "callsubr", k, "vmoveto"), "'move 0 ' || k"),
+    "and": (lambda k: (k, 1, "and", "hmoveto"), "'move ' || CASE WHEN k = 0 THEN 0 ELSE 1 END || ' 0'"), "or": (lambda k: (k, 0, "or", "hmoveto"), "'move ' || CASE WHEN k = 0 THEN 0 ELSE 1 END || ' 0'"), "not": (lambda k: (k, "not", "hmoveto"), "'move ' || CASE WHEN k = 0 THEN 1 ELSE 0 END || ' 0'"),
+    "abs": (lambda k: (-k, "abs", "hmoveto"), "'move ' || k || ' 0'"), "add": (lambda k: (k, 5, "add", "hmoveto"), "'move ' || (k + 5) || ' 0'"), "sub": (lambda k: (5, k, "sub", "hmoveto"), "'move ' || (5 - k) || ' 0'"), "div": (lambda k: (2 * k, 2, "div", "hmoveto"), "'move ' || k || ' 0'"),
+    "neg": (lambda k: (k, "neg", "hmoveto"), "'move ' || (0 - k) || ' 0'"), "eq": (lambda k: (k, 7, "eq", "hmoveto"), "'move ' || CASE WHEN k = 7 THEN 1 ELSE 0 END || ' 0'"), "drop": (lambda k: (k, 9, "drop", "hmoveto"), "'move ' || k || ' 0'"),
+    "put": (lambda k: (k, 3, "put", 3, "get", "hmoveto"), "'move ' || k || ' 0'"), "get": (lambda k: (k, 1, "put", 2, "get", 1, "get", "rmoveto"), "'move 0 ' || k"), "ifelse": (lambda k: (1, 2, k, 10, "ifelse", "hmoveto"), "'move ' || CASE WHEN k <= 10 THEN 1 ELSE 2 END || ' 0'"),
+    "random": (lambda k: ("random", 2, "mul", k, "add", "hmoveto"), "'move ' || (k + 1) || ' 0'"), "mul": (lambda k: (k, 3, "mul", "hmoveto"), "'move ' || (k * 3) || ' 0'"), "sqrt": (lambda k: (k, k, "mul", "sqrt", "hmoveto"), "'move ' || k || ' 0'"),
+    "dup": (lambda k: (k, "dup", "rmoveto"), "'move ' || k || ' ' || k"), "exch": (lambda k: (k, 1, "exch", "rmoveto"), "'move 1 ' || k"), "index": (lambda k: (k, 5, 1, "index", "rmoveto"), "'move 5 ' || k"), "roll": (lambda k: (k, 1, 2, 3, 1, "roll", "rmoveto"), "'move ' || k || ' 1'"),
+    "hflex": (lambda k: (k, 1, 2, 3, 4, 5, 6, "hflex"), "'cubic ' || k || ' 0 ' || (k + 1) || ' 2 ' || (k + 4) || ' 2;cubic ' || (k + 8) || ' 2 ' || (k + 13) || ' 0 ' || (k + 19) || ' 0'"),
+    "flex": (lambda k: (k, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 50, "flex"), "'cubic ' || k || ' 1 ' || (k + 1) || ' 3 ' || (k + 4) || ' 7;cubic ' || (k + 9) || ' 13 ' || (k + 16) || ' 21 ' || (k + 25) || ' 31'"),
+    "hflex1": (lambda k: (k, 1, 2, 3, 4, 5, 6, 7, 8, "hflex1"), "'cubic ' || k || ' 1 ' || (k + 2) || ' 4 ' || (k + 6) || ' 4;cubic ' || (k + 11) || ' 4 ' || (k + 17) || ' 11 ' || (k + 25) || ' 0'"),
+    "flex1": (lambda k: (k, 0, 1, 0, 1, 0, 1, 0, 1, 1, 9, "flex1"), "'cubic ' || k || ' 0 ' || (k + 1) || ' 0 ' || (k + 2) || ' 0;cubic ' || (k + 3) || ' 0 ' || (k + 4) || ' 1 ' || (k + 13) || ' 0'"),
+    "dotsection": (lambda k: ("dotsection", k, "hmoveto"), "'move ' || k || ' 0'"),
+}
+
+
+def _keyed(sql: str) -> str:
+    """``k`` in an SQL text expression, outside its quotes, as the nation's key."""
+    return "'".join(part if i % 2 else re.sub(r"\bk\b", "n_nationkey", part) for i, part in enumerate(sql.split("'")))
+
+
 for _n, _op in enumerate(_SURVEY_ORDER, 1):
     if _op in _DRAWN:
         _args, _sql = _DRAWN[_op]
-        case(f"ch{_n:02d}_{_op}", lambda k, op=_op, args=tuple(_args): _path(fonts.draw(fonts.char_string(program(k, *args, op)))[0]), _sql.replace(" k ", " n_nationkey ").replace("(k ", "(n_nationkey ").replace("|| k", "|| n_nationkey"))
+        _items = lambda k, op=_op, args=tuple(_args): (k, *args, op)
     else:
-        case(f"ch{_n:02d}_{_op}", lambda k, op=_op: fonts.draw(fonts.char_string(program(k, op)))[1].kind, "'Unimplemented'")
+        _items, _sql = _RUN[_op]
+    case(f"ch{_n:02d}_{_op}", lambda k, items=_items: _path(fonts.glyph_path(program(*items(k)), _LOCAL, _GLOBAL)[0]), _keyed(_sql))
+
+# Operators that ``compat`` leaves out.
+
+
+def _painted(c: canvas.Canvas) -> str:
+    return ";".join(f"{x.kind} {x.fill_rule or '-'} {_num(x.path[0][1][0])} {x.path[-1][0]}" for x in c.commands)
+
+
+def _places(c: canvas.Canvas) -> str:
+    return ";".join(f"{_num(round(g.info['x'], 3))} {_num(round(g.info['y'], 3))}" for g in c.commands if g.kind == "glyph")
+
+
+def _text(body: bytes):
+    return lambda k: _places(_fonted(_simple, b"BT /F1 10 Tf " + body.replace(b"K", b"%d" % k) + b" ET")(k))
+
+
+def _inline(body: bytes, k: int, compat: bool = False) -> str:
+    c = _canvas(body.replace(b"K", b"%d" % k), compat=compat)
+    return ";".join(f"{x.info['width']} {x.info['height']} {x.info['color_space']} {x.info['bytes']}" for x in c.commands) or _first_error(c)
 
-# Operators that are read but that the canvas leaves out: read, and an error row.
-for _op in sorted(canvas.NOT_IMPLEMENTED - {"ID", "BI", "EI", "d1"}):
-    from quire.plans.documents import EXAMPLES
 
-    case(f"canvas_{content.OPERATORS[_op][0].lower()}", lambda k, op=_op: _first_error(_canvas(b"%d 0 m 1 1 l " % k + EXAMPLES[op].encode())), "'NotImplemented'")
+def _shaded(k: int) -> str:
+    axial = {"ShadingType": 2, "ColorSpace": Name("DeviceRGB"), "Coords": [0, 0, k, 1], "Function": {"FunctionType": 2, "N": 1}}
+    c = _canvas(b"/S sh", lambda w: {"Shading": {"S": axial}}).commands[0]
+    return " ".join([c.kind, c.shader["type"], *map(_num, c.shader["coords"])])
+
+
+def _skipped(c: canvas.Canvas) -> list:
+    return [*((n, e.kind) for n, e in c.errors), _num(c.commands[0].path[1][1][0])]
+
+
+case("canvas_fillandstrokepathnonzero", lambda k: _painted(_canvas(b"%d 0 9 9 re B" % k)), _keyed("'fill nonzero ' || k || ' close;stroke - ' || k || ' close'"))
+case("canvas_fillandstrokepathevenodd", lambda k: _painted(_canvas(b"%d 0 m 1 1 l B*" % k)), _keyed("'fill even_odd ' || k || ' line;stroke - ' || k || ' line'"))
+case("canvas_closefillandstrokepathnonzero", lambda k: _painted(_canvas(b"%d 0 m 1 1 l b" % k)), _keyed("'fill nonzero ' || k || ' close;stroke - ' || k || ' close'"))
+case("canvas_closefillandstrokepathevenodd", lambda k: _painted(_canvas(b"%d 0 m 1 1 l b*" % k)), _keyed("'fill even_odd ' || k || ' close;stroke - ' || k || ' close'"))
+case("canvas_movetonextline", _text(b"7 TL K 700 Td T* (Z) Tj"), _keyed("k || ' 99'"))
+case("canvas_movetextpositionandsetleading", _text(b"K -5 TD T* (Z) Tj"), _keyed("k || ' 802'"))
+case("canvas_setleading", _text(b"K TL T* T* (Z) Tj"), _keyed("'0 ' || (792 + 2 * k)"))
+case("canvas_movenextlineshowtext", _text(b"5 TL K 0 Td (Z) '"), _keyed("k || ' 797'"))
+case("canvas_setspacingmoveshowtext", _text(b'0 TL 3 K (ZZ Z) "'), _keyed("'0 792;' || k || ' 792;' || (2 * k) || ' 792;' || (3 * k + 3) || ' 792'"))
+case("canvas_setrenderingmode", lambda k: "".join(c.kind[0] for c in _fonted(_outlined, b"BT /F1 100 Tf %d Tr (B) Tj ET" % (k % 8))(k).commands if c.kind != "glyph"), "['f', 's', 'fs', '', 'ft', 'st', 'fst', 't'][1 + n_nationkey % 8]")
+case("canvas_paintshading", _shaded, _keyed("'shade axial 0 0 ' || k || ' 1'"))
+case("canvas_inlineimage", lambda k: _inline(b"BI /W 1K /H 2 /BPC 8 /CS /G ID dataK EI", k), _keyed("'1' || k || ' 2 DeviceGray ' || (4 + length(CAST(k AS VARCHAR)))"))
+case("canvas_glyphwidth", lambda k: f"{_first_error(c := _canvas(b'%d 0 0 0 5 5 d1 %d 0 d0 0 0 %d 1 re f' % (k, k, k)))} {_num(c.commands[0].path[1][1][0])}", _keyed("'none ' || k"))
+case("canvas_plaincolor", lambda k: " ".join(_num(x) for x in _canvas(b"1 0 %d sc 0 0 1 1 re F" % (k % 2)).commands[0].color), _keyed("'1 0 ' || (k % 2) || ' 1'"))
+case("canvas_unknownoperator", lambda k: _skipped(_canvas(b"q %d zz BX 1 yy EX Q xx 0 0 %d 1 re f" % (k, k))), _keyed("'[(1, ''UnknownOperator''), (6, ''UnknownOperator''), ''' || k || ''']'"))
+case("canvas_markedpoints", lambda k: [len(c.errors) + len(c.commands) for c in [_canvas(b"/T MP /T << /K %d >> DP /RelativeColorimetric ri " % k + b"0 0 1 1 re f " * k)]][0], K)
+
+# What ``compat`` keeps, beside what is done otherwise.
+
+
+def _both(run: Callable[[int, bool], object]):
+    return lambda k: f"{run(k, True)} | {run(k, False)}"
+
+
+def _ops(body: bytes):
+    def run(k: int, compat: bool) -> str:
+        found, error = content.parse(body.replace(b"K", b"%d" % k), compat)
+        return " ".join([o.op + "".join(":" + _num(x) for x in o.nums) for o in found] + ([error.kind] if error else []))
+
+    return _both(run)
+
+
+def _in_form(k: int, compat: bool) -> str:
+    """Pages and forms that name the same state differently: whose is taken, and whether a page's is found from a form."""
+
+    def extend(w: Writer) -> dict:
+        form = w.stream({"Subtype": Name("Form"), "BBox": [0, 0, 9, 9], "Resources": {"ExtGState": {"S": {"LW": k + 100}}}}, b"/S gs 0 0 m 1 1 l S /T gs")
+        return {"XObject": {"F": form}, "ExtGState": {"S": {"LW": k}, "T": {"LW": 1}}}
+
+    c = _canvas(b"/F Do", extend, compat)
+    return f"{_num(c.commands[0].line_width)} {_first_error(c)}"
+
+
+def _patterns(k: int, compat: bool) -> str:
+    c = _canvas(b"0 0 1 RG 1 0 0 rg /A scn 0 0 %d 1 re f 0 0 m 1 1 l S" % k, _objects(k), compat)
+    return " ".join(f"pattern {_num(x.shader['coords'][2])}" if x.shader else "plain" for x in c.commands)
+
+
+case("q01_silent_end", _ops(b"K w (a) ' q"), _keyed("'w:' || k || ' | w:' || k || ' '' q'"))
+case("q02_color_operand_lost", _ops(b"0.5 K 1 scn"), _keyed("'scn:' || k || ':1 | scn:0.5:' || k || ':1'"))
+case("q03_literals_as_operators", _ops(b"K w true q"), _keyed("'w:' || k || ' UnknownOperator | w:' || k || ' IncorrectOperandCount'"))
+case("q04_property_name", _ops(b"K w /T /PK BDC q"), _keyed("'w:' || k || ' InvalidOperandType | w:' || k || ' BDC q'"))
+case("q05_inline_image", _both(lambda k, compat: _inline(b"BI /W 1K /H 2 /BPC 8 ID x EI", k, compat)), _keyed("'Panic | 1' || k || ' 2 None 1'"))
+case("q06_image_brackets", _both(lambda k, compat: f"{_first_error(c := _canvas(b'1 0 0 0 5 5 d1 0 0 %d 1 re f' % k, compat=compat))} {_num(c.commands[0].path[1][1][0])}"), _keyed("'Panic ' || k || ' | none ' || k"))
+case("q07_absent_operators", _ops(b"K w F K 0 d0 q"), _keyed("'w:' || k || ' UnknownOperator | w:' || k || ' F d0:' || k || ':0 q'"))
+case("q08_two_percent_signs", _ops(b"K w %%x\nq"), _keyed("'w:' || k || ' InvalidKeyword | w:' || k || ' q'"))
+case("q09_clip_is_reset", _both(lambda k, compat: " ".join(c.kind + (" " + _num(c.path[1][1][0]) if c.path else "") for c in _canvas(b"0 0 %d 1 re W n" % k, compat=compat).commands)), _keyed("'set_clip ' || k || ' reset_clip | set_clip ' || k"))
+case("q10_runs_start_again", _both(lambda k, compat: _places(_fonted(_simple, b"BT /F1 10 Tf %d Tc (Z) Tj (Z) Tj ET" % k, compat)(k))), _keyed("'0 792;0 792 | 0 792;' || k || ' 792'"))
+case("q11_offset_outside", _both(lambda k, compat: _places(_fonted(_simple, b"BT /F1 10 Tf 2 0 0 2 0 0 Tm %d 0 Td (Z) Tj ET" % k, compat)(k))), _keyed("k || ' 792 | ' || (2 * k) || ' 792'"))
+case("q12_one_pattern", _both(_patterns), _keyed("'pattern ' || k || ' pattern ' || k || ' | pattern ' || k || ' plain'"))
+case("q13_whose_resource", _both(_in_form), _keyed("(k + 100) || ' ResourceNotFound | ' || (k + 100) || ' none'"))
+case("q14_empty_stack", _both(lambda k, compat: [n for n, _ in _canvas(b"Q " * (k + 1) + b"1 w", compat=compat).errors]), _keyed("'[' || (k + 1) || '] | [' || (k + 1) || ']'"))
+case("q15_line_style", _both(lambda k, compat: [_num(c.line_width) for c in _canvas(b"2 0 0 2 0 0 cm %d w 1 J 1 j [3 1] 0 d 0 0 m 1 1 l S" % k, compat=compat).commands]), _keyed("'[''' || k || '''] | [''' || k || ''']'"))
 
 case("k03_recording_sink", lambda k: [c.kind for c in _canvas(b"0 0 1 1 re f 0 0 m 1 %d l S" % k).commands], "'[''fill'', ''stroke'']'")
 case("p11_odd_hex", lambda k: bytes(parse_value(b"<%X>" % (k % 16))).hex(), "lower(CASE WHEN n_nationkey % 16 < 10 THEN CAST(n_nationkey % 16 AS VARCHAR) ELSE chr(CAST(87 + n_nationkey % 16 AS INTEGER)) END || '0')")

@@ -4,8 +4,9 @@
 token (a quote, a brace, NUL, anything from 0x80) silently ends the stream,
 ``true``, ``false`` and ``null`` read as operator names, colour operators take
 their first operand for a pattern name, a marked-content property name is an
-error, and inline images fail. Otherwise these are read as the format means
-them, and bytes that begin nothing are an error.
+error, inline images fail, and an unknown operator ends the stream. Otherwise these are read as the format means
+them, bytes that begin nothing are an error, and an unknown operator is kept
+under its own name, without its operands, for the caller to report or skip.
 """
 
 from __future__ import annotations
@@ -83,10 +84,24 @@ BI BeginInlineImage -
 ID InlineImageData -
 EI EndInlineImage -
 """
+#: Operators that ``compat`` does not know: the rest of the format's own.
+_MORE = """
+F FillPathNonZeroOld -
+sc SetNonStrokingColorPlain *
+SC SetStrokingColorPlain *
+ri SetRenderingIntent N
+d0 SetCharWidth nn
+MP MarkPoint N
+DP MarkPointWithProps ND
+BX BeginCompatibility -
+EX EndCompatibility -
+"""
 OPERATORS = {op: (name, "" if kinds == "-" else kinds) for op, name, kinds in (line.split(" ") for line in _TABLE.strip().splitlines())}
+KNOWN = OPERATORS | {op: (name, "" if kinds == "-" else kinds) for op, name, kinds in (line.split(" ") for line in _MORE.strip().splitlines())}
 
 _LIMITS = {"J": 2, "j": 2, "Tr": 7}
-_OPERATOR = re.compile(rb"[A-Za-z*1]+|['\"]")
+_OPERATOR = re.compile(rb"[A-Za-z][A-Za-z*01]*|[*1]+|['\"]")
+_OPERATOR_COMPAT = re.compile(rb"[A-Za-z*1]+|['\"]")
 
 
 @dataclass
@@ -118,7 +133,7 @@ def _string(x: object) -> bytes:
 
 def _bind(op: str, operands: list, at: int, compat: bool) -> Operator:
     out = Operator(op, at)
-    kinds = OPERATORS[op][1]
+    kinds = KNOWN[op][1]
     if kinds == "*":
         values = list(operands)
         if compat:
@@ -192,7 +207,7 @@ def parse(data: bytes, compat: bool = False) -> tuple[list[Operator], PdfError |
                 continue
             if compat and (b in b"\x00\t'\"{}" or b >= 0x80):
                 return out, None
-            m = _OPERATOR.match(data, scanner.at)
+            m = (_OPERATOR_COMPAT if compat else _OPERATOR).match(data, scanner.at)
             if not m:
                 operands.append(scanner.value())
                 continue
@@ -204,8 +219,12 @@ def parse(data: bytes, compat: bool = False) -> tuple[list[Operator], PdfError |
             if not compat and word in ("true", "false", "null"):
                 operands.append({"true": True, "false": False, "null": None}[word])
                 continue
-            if word not in OPERATORS:
-                raise PdfError("UnknownOperator", word, at)
+            if word not in (OPERATORS if compat else KNOWN):
+                if compat:
+                    raise PdfError("UnknownOperator", word, at)
+                out.append(Operator(word, at))
+                operands = []
+                continue
             if word == "BI" and not compat:
                 out.append(_inline_image(scanner, at))
                 continue

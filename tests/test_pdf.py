@@ -53,8 +53,8 @@ def test_content_quirks():
     assert ops(b"(a) ' q") == (["'", "q"], None) and ops(b"(a) ' q", True) == ([], None)
     assert content.parse(b"1 0 0 scn")[0][0].nums == [1, 0, 0] and content.parse(b"1 0 0 scn", True)[0][0].nums == [0, 0]
     assert ops(b"/a /b BDC", True) == ([], "InvalidOperandType") and ops(b"/a /b BDC") == (["BDC"], None)
-    assert ops(b"q 5 zz") == (["q"], "UnknownOperator") and ops(b"1 l") == ([], "IncorrectOperandCount") and ops(b"3 J") == ([], "InvalidOperandValue")
-    assert ops(b"true q", True) == ([], "UnknownOperator") and ops(b"q F") == (["q"], "UnknownOperator")
+    assert ops(b"q 5 zz", True) == (["q"], "UnknownOperator") and ops(b"q 5 zz Q") == (["q", "zz", "Q"], None) and ops(b"1 l") == ([], "IncorrectOperandCount") and ops(b"3 J") == ([], "InvalidOperandValue")
+    assert ops(b"true q", True) == ([], "UnknownOperator") and ops(b"q F", True) == (["q"], "UnknownOperator") and ops(b"q F") == (["q", "F"], None)
 
 
 @pytest.mark.parametrize(
@@ -84,7 +84,11 @@ def test_fonts():
     assert fonts.differences([39, Name("quotesingle"), Name("x"), 96, Name("grave")]) == {39: "quotesingle", 40: "x", 96: "grave"}
     assert fonts.char_string(bytes([139])) == [0] and fonts.char_string(bytes([247, 0])) == [108] and fonts.char_string(bytes([28, 0xFF, 0x9C])) == [-100]
     assert fonts.draw([10, 20, "rmoveto", 5, "hlineto", 1, 2, 3, 4, 5, 6, "rrcurveto", "endchar"])[0] == [("move", [10, 20]), ("line", [15, 20]), ("cubic", [16, 22, 19, 26, 24, 32]), ("close", [])]
-    assert fonts.draw([1, "hstem"])[1].kind == "Unimplemented"
+    for op in set(fonts.CHARSTRING.values()) - fonts.IMPLEMENTED:
+        assert fonts.draw([1, op])[1].kind == "Unimplemented"
+    assert fonts.glyph_path(b"")[1] is None and fonts.glyph_path(bytes([10]))[1].kind == "StackUnderflow" and fonts.glyph_path(bytes([139, 10]))[1].kind == "InvalidSubroutine"
+    assert fonts.glyph_path(bytes([139 - 107, 10]), [bytes([139 - 107, 10])])[1].kind == "InvalidSubroutine"  # a subroutine that calls itself
+    assert fonts.font_dictionary(bytes([30, 0x0A, 0x14, 0x05, 0x41, 0xC3, 0xFF, 140, 17])) == {17: [0.140541e-3, 1]}
     assert len(fonts.CHARSTRING) == 48 and len(fonts.IMPLEMENTED) == 12 and fonts.STANDARD_ENCODING[65] == 34 and fonts.STANDARD_ENCODING[251] == 149
 
 
@@ -95,10 +99,17 @@ def commands(body, compat=False, extend=None):
 
 
 def test_canvas_paths_and_state():
-    c = commands(b"q 2 0 0 2 0 0 cm 1 0 0 RG 10 10 m 20 10 l S Q 0 0 5 5 re f B")
+    c = commands(b"q 2 0 0 2 0 0 cm 1 0 0 RG 10 10 m 20 10 l S Q 0 0 5 5 re f B", compat=True)
     assert [x.kind for x in c.commands] == ["stroke", "fill"]
     assert c.commands[0].path == [("move", [20.0, 772.0]), ("line", [40.0, 772.0])] and c.commands[0].color == (1, 0, 0, 1)
     assert [e.kind for _, e in c.errors] == ["NotImplemented"]
+    c = commands(b"0 0 5 5 re f B 0 0 5 5 re B zz")
+    assert [x.kind for x in c.commands] == ["fill", "fill", "stroke"] and [e.kind for _, e in c.errors] == ["NoActivePath", "UnknownOperator"]
+    for op in sorted(canvas.NOT_IMPLEMENTED - {"ID", "BI", "EI", "d1"}):
+        operands = {"sh": b"/S ", "TD": b"1 2 ", "'": b"(a) ", '"': b"1 2 (a) ", "TL": b"1 ", "Tr": b"1 "}.get(op, b"")
+        found = commands(b"0 0 m 1 1 l " + operands + op.encode(), compat=True)
+        # Quotes end a stream without a word there.
+        assert [e.kind for _, e in found.errors] == ([] if op in "'\"" else ["NotImplemented"]), op
     clip = commands(b"q 0 0 5 5 re W n Q", compat=True)
     assert [x.kind for x in clip.commands] == ["set_clip", "reset_clip"]
 
