@@ -31,11 +31,13 @@ def _levels(first: DataFrame, follow: Callable[[DataFrame], DataFrame], label: s
 
 
 def resolve(starts: DataFrame, objects: DataFrame) -> DataFrame:
-    """Follows references: (doc_id, ref) to (doc_id, ref, obj_num, hops).
+    """Follows references: (doc_id, ref) to (doc_id, ref, obj_num, hops, fault).
 
     ``objects`` has doc_id, obj_num and next_ref: the object's own reference if
     it is nothing but one, else null. The result is the first object that is no
-    reference, or null where an object is missing or ``MAX_HOPS`` are used up.
+    reference. Where an object is missing, it is null and the fault is
+    ``FailedResolveObjectReference``; where ``MAX_HOPS`` are used up, it is null
+    and the fault is ``MaxHops``: the reference stands for itself.
     """
     objects = materialize(objects.select("doc_id", F.col("obj_num").cast("long").alias("at"), F.col("next_ref").cast("long").alias("next")), "objects")
     links = objects.where("next IS NOT NULL")
@@ -46,7 +48,10 @@ def resolve(starts: DataFrame, objects: DataFrame) -> DataFrame:
 
     chased = _levels(starts.select("doc_id", "ref", F.col("ref").cast("long").alias("at"), F.lit(0).alias("hops")), follow, "chase")
     last = chased.join(objects.where("next IS NULL").select("doc_id", "at"), ["doc_id", "at"])
-    return starts.join(last.select("doc_id", "ref", F.col("at").alias("obj_num"), "hops"), ["doc_id", "ref"], "left")
+    ended = chased.groupBy("doc_id", "ref").agg(F.max("hops").alias("_used"))
+    found = ended.join(last.select("doc_id", "ref", F.col("at").alias("obj_num"), "hops"), ["doc_id", "ref"], "left")
+    fault = F.when(F.col("obj_num").isNull(), F.when(F.col("_used") == MAX_HOPS, "MaxHops").otherwise("FailedResolveObjectReference"))
+    return found.select("doc_id", "ref", "obj_num", "hops", fault.alias("fault"))
 
 
 def page_tree(roots: DataFrame, kids: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -99,6 +104,17 @@ def width_at(codes: DataFrame, runs: DataFrame, bucket: int = 256) -> DataFrame:
 
 
 def overlapping(runs: DataFrame) -> DataFrame:
-    """Runs that begin before the one before them ends."""
-    before = F.lag("cid_end").over(Window.partitionBy("font_id").orderBy("cid_start"))
-    return runs.withColumn("_e", before).where(F.col("_e") >= F.col("cid_start")).drop("_e")
+    """Runs that begin before one that starts no later has ended."""
+    before = Window.partitionBy("font_id").orderBy("cid_start", "cid_end").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumn("_e", F.max("cid_end").over(before)).where(F.col("_e") >= F.col("cid_start")).drop("_e")
+
+
+def point_get(wanted: DataFrame, objects: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, obj_num and more) with the object of that number; those that a document lacks are left out."""
+    return wanted.join(objects, ["doc_id", "obj_num"])
+
+
+def origins(glyphs: DataFrame, run: str, order: list[str], width: str, size: float, spacing: float = 0.0) -> DataFrame:
+    """``glyphs`` with x: the advances (width / 1000 * size + spacing) of those before it in its run, added up."""
+    before = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return glyphs.withColumn("x", F.coalesce(F.sum(F.col(width) / 1000 * size + spacing).over(before), F.lit(0.0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 
@@ -25,7 +26,12 @@ def _path(path: list) -> list[dict]:
 
 
 def _commands(data: bytes, options: dict) -> Iterator[dict]:
-    for i, canvas in page_commands(data, options):
+    bare = options["columns"] is not None and set(options["columns"]) <= {"page_index", "kind"}
+    for i, canvas in page_commands(data, options | {"bare": bare}):
+        if bare:
+            for kind, same in groupby(canvas.commands, key=lambda c: c.kind):
+                yield sum(c.count for c in same), {"page_index": i, "kind": kind}
+            canvas.commands = []
         for n, c in enumerate(canvas.commands):
             yield {
                 "page_index": i,
@@ -43,9 +49,12 @@ def _commands(data: bytes, options: dict) -> Iterator[dict]:
             yield {"page_index": i, "cmd_ord": None, "_error": error_struct(e) | {"offset": n}}
 
 
-def draw_commands(files: DataFrame, compat: bool = False) -> DataFrame:
-    """The draw commands of every page in order; an operator that failed is an ``_error`` row with its ordinal as offset."""
-    return per_document(files, COMMANDS, _commands, compat=compat)
+def draw_commands(files: DataFrame, compat: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """The draw commands of every page in order; an operator that failed is an ``_error`` row with its ordinal as offset.
+
+    Where ``columns`` asks for kinds only, paths and texts are not built.
+    """
+    return per_document(files, COMMANDS, _commands, columns, compat=compat)
 
 
 def _each_font(data: bytes, options: dict) -> Iterator[tuple[dict, fonts.Font | None]]:

@@ -6,6 +6,7 @@ fixed cases in ``tests/``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 
 from quire.operators import graph, interpret
 from quire.plans.registry import register, table
+from quire.session import materialize
 from quire.sources.content import OPERATORS
 from quire.sources.pdf import per_document, read_table
 
@@ -56,12 +58,12 @@ _PER_OP = f"""SELECT doc_id, op, CAST(CASE k WHEN 'p' THEN p ELSE n END AS BIGIN
 
 @register("e01_operator_histogram", f"SELECT op, CAST(sum(n) AS BIGINT) AS n FROM ({_PER_OP}) GROUP BY op")
 def operator_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(files(spark, sf_dir), "content_ops").groupBy("op").agg(F.count("*").alias("n"))
+    return read_table(files(spark, sf_dir), "content_ops", columns=["op"]).groupBy("op").agg(F.count("*").alias("n"))
 
 
 @register("c01_content_ops", _PER_OP)
 def content_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(files(spark, sf_dir), "content_ops").groupBy("doc_id", "op").agg(F.count("*").alias("n"))
+    return read_table(files(spark, sf_dir), "content_ops", columns=["op"]).groupBy("doc_id", "op").agg(F.count("*").alias("n"))
 
 
 @register("s03_document_load", f"SELECT doc_id, 'indirect' AS kind, 3 + p AS n FROM ({_SIZES}) UNION ALL SELECT doc_id, 'stream', p FROM ({_SIZES}) UNION ALL SELECT doc_id, 'trailer', 1 FROM documents UNION ALL SELECT doc_id, 'xref', 1 FROM documents")
@@ -115,11 +117,11 @@ def show_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("g07_page_tree", f"SELECT doc_id, CAST(i AS INTEGER) AS page_index, CAST(4 + 2 * i AS BIGINT) AS obj_num FROM (SELECT doc_id, unnest(range(p)) AS i FROM ({_SIZES}))")
 def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages in order by a walk over the node table."""
-    nodes = read_table(files(spark, sf_dir), "nodes")
-    kinds = graph.entries(nodes, "Type").select("doc_id", "obj_num", F.col("s").alias("kind"))
-    roots = graph.entries(nodes, "Pages").select("doc_id", F.col("ref").alias("obj_num"))
-    return graph.page_tree(roots, graph.kids(nodes), kinds)
+    """Pages in order by a walk over the trees' objects, which are read once."""
+    nodes = materialize(read_table(files(spark, sf_dir), "tree"), "tree")
+    roots = nodes.where("kind = 'Catalog'").select("doc_id", F.col("pages").alias("obj_num"))
+    below = nodes.where("kind = 'Pages'").select("doc_id", "obj_num", F.posexplode("kids").alias("idx", "kid"))
+    return graph.page_tree(roots, below, nodes.select("doc_id", "obj_num", "kind"))
 
 
 @register(
@@ -149,13 +151,16 @@ def resolve_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = customer.select(doc, (F.col("c_custkey") + 1000).cast("int").alias("obj_num"), (F.col("c_nationkey") + 100).alias("next_ref"))
     objects = objects.union(nation.select(doc, (F.col("n_nationkey") + 100).alias("obj_num"), (F.col("n_regionkey") + 1).alias("next_ref")))
     objects = objects.union(region.select(doc, (F.col("r_regionkey") + 1).alias("obj_num"), F.lit(None).cast("int").alias("next_ref")))
-    return graph.resolve(customer.select(doc, (F.col("c_custkey") + 1000).cast("int").alias("ref")), objects)
+    return graph.resolve(customer.select(doc, (F.col("c_custkey") + 1000).cast("int").alias("ref")), objects).drop("fault")
 
 
 @register("g02_point_get", "SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("l_orderkey", "l_linenumber", "o_orderdate")
+    """Orders as objects, looked up by the lines that name them."""
+    doc = F.lit(0).cast("long").alias("doc_id")
+    lines = table(spark, sf_dir, "lineitem").select(doc, F.col("l_orderkey").alias("obj_num"), "l_linenumber")
+    orders = table(spark, sf_dir, "orders").select(doc, F.col("o_orderkey").alias("obj_num"), "o_orderdate")
+    return graph.point_get(lines, orders).select(F.col("obj_num").alias("l_orderkey"), "l_linenumber", "o_orderdate")
 
 
 @register("g01_duplicate_objects", "SELECT CAST(0 AS BIGINT) AS doc_id, l_orderkey AS obj_num, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
@@ -171,19 +176,10 @@ def page_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("v15_draw_commands", f"SELECT d.doc_id, n AS strokes, CAST(strlen(translate(text, '()\\' || chr(10), '')) AS BIGINT) AS glyphs, CAST(0 AS BIGINT) AS errors FROM documents d JOIN ({_SIZES}) s USING (doc_id)")
 def draw_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stroked rectangles and glyphs of every file."""
-    drawn = interpret.draw_commands(files(spark, sf_dir))
+    drawn = interpret.draw_commands(files(spark, sf_dir), columns=["kind"])
     return drawn.groupBy("doc_id").agg(F.count_if(F.col("kind") == "stroke").alias("strokes"), F.count_if(F.col("kind") == "glyph").alias("glyphs"), F.count("_error").alias("errors"))
 
 
-@register("v03_paint_path", f"SELECT doc_id, CAST(10.0 AS DOUBLE) AS x, 34.0::DOUBLE AS y FROM ({_SIZES})")
-def paint_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rectangle's corner in device space: y is turned over."""
-    first = interpret.draw_commands(files(spark, sf_dir)).where("kind = 'stroke' AND page_index = 0")
-    first = first.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("cmd_ord"))).where("r = 1")
-    corner = F.get(F.col("path"), 0)["pts"]
-    return first.select("doc_id", F.round(F.get(corner, 0).cast("double"), 3).alias("x"), F.round(F.get(corner, 1).cast("double"), 3).alias("y"))
-
-
 @register(
     "v03_paint_paths",
     f"""SELECT doc_id, CAST(i // {LINES} AS INTEGER) AS page_index, CAST(i % {LINES} AS INTEGER) AS line, CAST(10.0 AS DOUBLE) AS x, CAST(34 + 14 * (i % {LINES}) AS DOUBLE) AS y
@@ -209,13 +205,43 @@ EXAMPLES = {
 }
 
 
+def _with_key(op: str, k: str = "%d") -> str:
+    """The example of an operator with ``k`` in its first operand: the first number, the name, the string."""
+    example, kinds = EXAMPLES[op], OPERATORS[op][1]
+    if kinds[:1] == "n" and op not in ("i",):
+        return " ".join([k, *example.split(" ")[1:]])
+    if op in ("BMC", "BDC", "Do", "gs", "cs", "CS", "scn", "SCN", "sh", "Tf"):
+        first, rest = example.split(" ", 1)
+        return f"{first}{k} {rest}"
+    return example.replace("(", "(" + k, 1)
+
+
+_STRINGS = {"Tj": "a", "'": "b"}
+
+
+def _operands(op: str) -> tuple[str, str, str]:
+    """SQL for an example's numbers, name and text, in the reader's order."""
+    key = "CAST(n_nationkey AS VARCHAR)"
+    kinds, example = OPERATORS[op][1], EXAMPLES[op].split(" ")
+    plain = [w.strip("[]") for w in example if re.fullmatch(r"\[?-?[0-9.]+\]?", w)] if op not in ("TJ", "BI", "BDC") else []
+    numbers = [f"{float(x):g}" for x in plain]
+    keyed = kinds[:1] == "n" and op not in ("i",)
+    nums = " || ',' || ".join([key if keyed and i == 0 else _quoted(x) for i, x in enumerate(numbers)]) or "''"
+    name = _quoted(example[0][1:]) + f" || {key}" if example[0].startswith("/") else "NULL"
+    text = {"Tj": "'a'", "'": "'b'", '"': "'c'"}.get(op)
+    return nums, name, (text if keyed else f"{key} || {text}") if text else "'x'" if op == "BI" else "NULL"
+
+
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quire.sources.pdf_fixture import document
 
         for batch in batches:
-            body = "\n".join(EXAMPLES.values()).encode()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([document([body], extend=_font)] * len(batch.column(0)), pa.binary())], names=["doc_id", "content"])
+            found = []
+            for k in batch.column(0).to_pylist():
+                body = "\n".join(_with_key(op, str(k)) for op in EXAMPLES).encode()
+                found.append(document([body], extend=_font))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "content"])
 
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, content binary")
 
@@ -227,24 +253,42 @@ def _quoted(text: str) -> str:
 for _n, (_op, (_name, _)) in enumerate(OPERATORS.items(), 1):
     if _op not in EXAMPLES:
         continue
+    _nums, _named, _texts = _operands(_op)
 
-    @register(f"o{_n:02d}_{_name.lower()}", f"SELECT CAST(n_nationkey AS BIGINT) AS doc_id, {_quoted(_op)} AS op, {_quoted(_name)} AS op_name, CAST({list(EXAMPLES).index(_op)} AS INTEGER) AS op_ord FROM nation")
+    @register(f"o{_n:02d}_{_name.lower()}", f"SELECT CAST(n_nationkey AS BIGINT) AS doc_id, {_quoted(_op)} AS op, {_quoted(_name)} AS op_name, CAST({list(EXAMPLES).index(_op)} AS INTEGER) AS op_ord, {_nums} AS nums, {_named} AS name, {_texts} AS text FROM nation")
     def _one(spark: SparkSession, sf_dir: str, op: str = _op) -> DataFrame:
-        """The operator's row in a file that has each operator once."""
-        return read_table(_examples(spark, sf_dir), "content_ops").where(F.col("op") == op).select("doc_id", "op", "op_name", "op_ord")
+        """The operator's row and operands in a file that has each operator once."""
+        found = read_table(_examples(spark, sf_dir), "content_ops").where(F.col("op") == op)
+        shown = F.transform("nums", lambda x: F.regexp_replace(F.round(x.cast("double"), 3).cast("string"), r"\.0$", ""))
+        return found.select("doc_id", "op", "op_name", "op_ord", F.array_join(shown, ",").alias("nums"), "name", F.col("text").cast("string").alias("text"))
 
 
-@register("o63_inlineimagedata", "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, 'UnimplementedOperation' AS kind FROM nation")
+@register("o63_inlineimagedata", "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(6 + length(CAST(n_nationkey AS VARCHAR)) AS BIGINT) AS at, 'UnimplementedOperation' AS kind FROM nation")
 def inline_image_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bare ``ID`` operator ends a stream with an error in ``compat``."""
+    """The bare ``ID`` operator ends a stream with an error in ``compat``, where it stands."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.col("n_nationkey").cast("string"), F.lit(" w BI ID x EI")).cast("binary").alias("content"))
 
     def reader(data: bytes, options: dict) -> Iterator[dict]:
         from quire.sources.content import parse
 
-        _, error = parse(b"q BI ID x EI", compat=True)
-        yield {"kind": error.kind}
+        _, error = parse(data, compat=True)
+        yield {"at": error.offset, "kind": error.kind}
+
+    return per_document(rows, "at long, kind string", reader)
+
 
-    return per_document(_examples(spark, sf_dir), "kind string", reader)
+@register("d31_op_trace", f"SELECT doc_id, op_name, depth, CAST(sum(n) AS BIGINT) AS n FROM (SELECT d.doc_id, x.name AS op_name, CAST(x.depth AS INTEGER) AS depth, d.n FROM ({_PER_OP}) d JOIN (VALUES ('q', 'SaveGraphicsState', 0), ('w', 'SetLineWidth', 1), ('Q', 'RestoreGraphicsState', 0), ('re', 'Rectangle', 1), ('S', 'StrokePath', 1), ('BT', 'BeginText', 1), ('Tf', 'SetFont', 1), ('Tm', 'SetTextMatrix', 1), ('Tj', 'ShowText', 1), ('ET', 'EndText', 1)) x(op, name, depth) USING (op)) GROUP BY ALL")
+def op_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace of every file by operator and depth of saved states."""
+    return read_table(files(spark, sf_dir), "op_trace", columns=["depth", "op_name"]).groupBy("doc_id", "op_name", "depth").agg(F.count("*").alias("n"))
+
+
+@register("d31_traced_places", "SELECT doc_id, CAST(i AS INTEGER) AS line, CAST(12 AS DOUBLE) AS x, CAST(760 - 14 * (i % 50) AS DOUBLE) AS y FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)")
+def traced_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each line is shown, from the operands of its text matrix in the trace."""
+    found = read_table(files(spark, sf_dir), "op_trace", columns=["page_index", "op_ord", "op_name", "operands"]).where("op_name = 'SetTextMatrix'")
+    order = Window.partitionBy("doc_id").orderBy("page_index", "op_ord")
+    return found.select("doc_id", (F.row_number().over(order) - 1).alias("line"), F.get("operands", F.lit(4))["number"].alias("x"), F.get("operands", F.lit(5))["number"].alias("y"))
 
 
 # -- Lexing and fonts over the driver's columns ------------------------------------------------
@@ -318,13 +362,15 @@ def cid_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.width_at(codes, spread).select("p_partkey", "width")
 
 
-@register("t07_overlap", "SELECT l_orderkey AS font_id, l_suppkey AS cid_start FROM (SELECT l_orderkey, l_suppkey, lag(l_suppkey + 5) OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_linenumber) AS e FROM lineitem) WHERE e >= l_suppkey")
+@register("t07_overlap", "SELECT l_orderkey AS font_id, l_suppkey AS cid_start FROM (SELECT *, max(l_suppkey + CAST(l_quantity AS INTEGER) // 5 + l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_suppkey + CAST(l_quantity AS INTEGER) // 5 + l_linenumber, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM lineitem) WHERE e >= l_suppkey")
 def width_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("font_id"), F.col("l_suppkey").alias("cid_start"), (F.col("l_suppkey") + 5).alias("cid_end"))
+    """Runs of many lengths: a long one may reach past the one after it."""
+    end = (F.col("l_suppkey") + F.expr("CAST(l_quantity AS INT) div 5") + F.col("l_linenumber")).alias("cid_end")
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("font_id"), F.col("l_suppkey").alias("cid_start"), end)
     return graph.overlapping(runs).select("font_id", "cid_start")
 
 
-@register("t14_character_map", "SELECT p_partkey, chr(CAST(65 + p_partkey % 26 AS INTEGER)) AS ch FROM part WHERE p_partkey < 65536")
+@register("t14_character_map", "SELECT p_partkey, chr(CAST(65 + p_partkey % 26 AS INTEGER)) AS ch FROM part")
 def to_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A character map with a pair per part, read back by code: the key's low two bytes."""
     pair = F.format_string("<%04X> <%04X>", F.col("p_partkey") % 65536, F.lit(65) + F.col("p_partkey") % 26)
@@ -368,9 +414,8 @@ def encoded_int(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("t17_advance", "SELECT l_orderkey, l_linenumber, round(coalesce(sum(l_quantity / 1000 * 12 + 0.5) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS x FROM lineitem")
 def advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyph origins: the running sum of the advances before."""
-    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, -1)
-    width = F.col("l_quantity") / 1000 * 12 + 0.5
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.coalesce(F.sum(width).over(before), F.lit(0.0)), 6).alias("x"))
+    placed = graph.origins(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", 12, 0.5)
+    return placed.select("l_orderkey", "l_linenumber", F.round("x", 6).alias("x"))
 
 
 @register("t01_fonts", f"SELECT doc_id, CAST(i AS INTEGER) AS page_index, 'F1' AS name, 'TrueType' AS subtype, 'Body' AS base_font, false AS has_program FROM (SELECT doc_id, unnest(range(p)) AS i FROM ({_SIZES}))")

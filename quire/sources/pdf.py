@@ -6,6 +6,8 @@ pass over those rows: a document is parsed by the task that has it, nothing is
 shuffled, and memory is one document. One bad document never fails a job: what
 was read before the fault is kept, and the fault is a row whose ``_error`` has
 stage, kind, message and byte offset. ``mode="FAILFAST"`` raises instead.
+A fault of any kind counts, also one that the parser did not foresee (its stage
+is ``internal``), and a value that a column cannot hold.
 
 Null content is a document with an error; repeated documents give repeated rows.
 """
@@ -34,6 +36,8 @@ SCHEMAS = {
     "versions": f"major int, minor int, {ERROR}",
     "pages": f"page_index int, obj_num int, media_box struct<left:long,top:long,right:long,bottom:long>, {ERROR}",
     "content_ops": f"page_index int, op_ord int, op string, op_name string, nums array<float>, name string, text binary, elems array<struct<kind:string,bytes:binary,amount:float>>, props string, {ERROR}",
+    "tree": f"obj_num int, kind string, pages int, kids array<int>, {ERROR}",
+    "op_trace": f"page_index int, op_ord int, depth int, op_name string, operands array<struct<kind:string,number:double,text:string>>, {ERROR}",
     "resources": f"page_index int, kind string, name string, ref int, value string, {ERROR}",
 }
 
@@ -163,11 +167,11 @@ def _pages(data: bytes, options: dict) -> Iterator[dict]:
 
 
 def operator_row(op) -> dict:
-    from quire.sources.content import OPERATORS
+    from quire.sources.content import KNOWN
 
     return {
         "op": op.op,
-        "op_name": OPERATORS[op.op][0],
+        "op_name": KNOWN[op.op][0] if op.op in KNOWN else None,
         "nums": op.nums,
         "name": op.name,
         "text": op.text,
@@ -176,15 +180,56 @@ def operator_row(op) -> dict:
     }
 
 
+def _tree(data: bytes, options: dict) -> Iterator[dict]:
+    """The objects that make up the page tree: catalogs, inner nodes and pages."""
+    for _, value in objects(data, options["strict"]):
+        entries = value.value if isinstance(value, Indirect) else None
+        if isinstance(entries, dict) and isinstance(entries.get("Type"), Name):
+            pages, kids = entries.get("Pages"), entries.get("Kids")
+            kids = [k.num for k in kids if isinstance(k, Ref)] if isinstance(kids, list) else None
+            yield {"obj_num": value.num, "kind": str(entries["Type"]), "pages": pages.num if isinstance(pages, Ref) else None, "kids": kids}
+
+
+def _trace(data: bytes, options: dict) -> Iterator[dict]:
+    """Every operator in order as it would be carried out: how deep in saved states, and its operands by kind."""
+    from quire.sources.content import KNOWN
+
+    document = D.load(data, options["strict"])
+    for i, (_, page) in enumerate(document.pages()):
+        depth = 0
+        ops, error = document.operators(page, options["compat"])
+        for n, op in enumerate(ops):
+            depth = max(0, depth - (op.op == "Q"))
+            operands = [{"kind": "number", "number": x} for x in op.nums]
+            if op.name is not None:
+                operands.append({"kind": "name", "text": op.name})
+            if op.text is not None:
+                operands.append({"kind": "string", "text": op.text.decode("utf-8", "replace")})
+            for kind, raw, amount in op.elems or ():
+                operands.append({"kind": kind, "number": amount, "text": None if raw is None else raw.decode("utf-8", "replace")})
+            if op.props is not None:
+                operands.append({"kind": "properties", "text": _json(op.props)})
+            unknown = {} if op.op in KNOWN else {"_error": error_struct(PdfError("UnknownOperator", op.op, op.offset, stage="content"))}
+            yield {"page_index": i, "op_ord": n, "depth": depth, "op_name": KNOWN[op.op][0] if op.op in KNOWN else None, "operands": operands} | unknown
+            depth += op.op == "q"
+        if error:
+            yield {"page_index": i, "op_ord": len(ops), "depth": depth, "_error": error_struct(error)}
+
+
 def _content(data: bytes, options: dict) -> Iterator[dict]:
+    from quire.sources.content import KNOWN
+
     document = D.load(data, options["strict"])
+    bare = options["columns"] is not None and set(options["columns"]) <= {"page_index", "op_ord", "op"}
     for i, (_, page) in enumerate(document.pages()):
         try:
             ops, error = document.operators(page, options["compat"])
         except PdfError as e:
             ops, error = [], e
         for n, op in enumerate(ops):
-            yield {"page_index": i, "op_ord": n} | operator_row(op)
+            unknown = {} if op.op in KNOWN else {"_error": error_struct(PdfError("UnknownOperator", op.op, op.offset, stage="content"))}
+            row = {"op": op.op} if bare else operator_row(op)
+            yield {"page_index": i, "op_ord": n} | row | unknown
         if error:
             yield {"page_index": i, "op_ord": len(ops), "_error": error_struct(error)}
 
@@ -209,47 +254,87 @@ _READERS: dict[str, Callable[[bytes, dict], Iterator[dict]]] = {
     "pages": _pages,
     "content_ops": _content,
     "resources": _resources,
+    "tree": _tree,
+    "op_trace": _trace,
 }
 
 
-def per_document(files: DataFrame, schema: str, reader: Callable[[bytes, dict], Iterator[dict]], **options) -> DataFrame:
-    """Rows of ``reader`` for every document, with its doc_id first and its fault as an ``_error`` row."""
+def _fault(doc_id: object, e: Exception) -> dict:
+    if not isinstance(e, PdfError):
+        e = PdfError(type(e).__name__, str(e)[:200], stage="internal")
+    return {"doc_id": doc_id, "_error": error_struct(e)}
+
+
+def _table(rows: list[tuple[int, dict]], schema: pa.Schema, fast: bool) -> pa.RecordBatch:
+    """Rows with how often each stands there, as columns. A row that no column can hold is a fault."""
+    try:
+        columns = []
+        for f in schema:
+            values: list = []
+            for n, row in rows:
+                value = row.get(f.name)
+                values += [value] * n if n > 1 else (value,)
+            columns.append(pa.array(values, f.type))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+    except (pa.ArrowException, OverflowError, TypeError, ValueError) as e:
+        if fast:
+            raise
+        if len(rows) == 1:
+            return _table([(1, _fault(rows[0][1]["doc_id"], e))], schema, True)
+        parts = [_table([row], schema, fast) for row in rows]
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def rows_of(doc_id: object, data: bytes | None, reader: Callable[[bytes, dict], Iterator], options: dict, fast: bool) -> Iterator[tuple[int, dict]]:
+    """A document's rows and how often each stands there; a fault of any kind is its last row unless ``fast``."""
+    try:
+        if data is None:
+            raise PdfError("MissingContent", stage="load")
+        for row in reader(data, options):
+            n, row = row if isinstance(row, tuple) else (1, row)
+            yield n, {"doc_id": doc_id} | row
+    except MemoryError:
+        raise
+    except Exception as e:
+        if fast:
+            raise
+        yield 1, _fault(doc_id, e)
+
+
+def per_document(files: DataFrame, schema: str, reader: Callable[[bytes, dict], Iterator], columns: list[str] | None = None, **options) -> DataFrame:
+    """Rows of ``reader`` for every document, with its doc_id first and its fault as an ``_error`` row.
+
+    With ``columns`` only these and ``_error`` are built; a reader may look at them in its options.
+    Instead of a row, a reader may yield (n, row) for n equal rows.
+    """
     fast = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
-    options = {"strict": False, "compat": False} | options
-    out = T.StructType([files.schema["doc_id"], *T._parse_datatype_string(schema).fields])
+    options = {"strict": False, "compat": False, "columns": columns} | options
+    fields = [f for f in T._parse_datatype_string(schema).fields if columns is None or f.name in (*columns, "_error")]
+    out = T.StructType([files.schema["doc_id"], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out)
-        rows: list[dict] = []
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(rows, schema=arrow)
-
+        rows: list[tuple[int, dict]] = []
+        held = 0
         for b in batches:
             for doc_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    if data is None:
-                        raise PdfError("MissingContent", stage="load")
-                    for row in reader(data, options):
-                        rows.append({"doc_id": doc_id} | row)
-                        if len(rows) >= _ROWS:
-                            yield batch()
-                            rows = []
-                except PdfError as e:
-                    if fast:
-                        raise
-                    rows.append({"doc_id": doc_id, "_error": error_struct(e)})
+                for n, row in rows_of(doc_id, data, reader, options, fast):
+                    rows.append((n, row))
+                    held += n
+                    if held >= _ROWS:
+                        yield _table(rows, arrow, fast)
+                        rows, held = [], 0
         if rows:
-            yield batch()
+            yield _table(rows, arrow, fast)
 
     return files.select("doc_id", "content").mapInArrow(run, out)
 
 
-def read_table(files: DataFrame, name: str, strict: bool = False, compat: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
-    """One of the tables in ``SCHEMAS`` of the documents in ``files`` (doc_id, content)."""
-    return per_document(files, SCHEMAS[name], _READERS[name], strict=strict, compat=compat, mode=mode)
+def read_table(files: DataFrame, name: str, strict: bool = False, compat: bool = False, mode: str = "PERMISSIVE", columns: list[str] | None = None) -> DataFrame:
+    """One of the tables in ``SCHEMAS`` of the documents in ``files`` (doc_id, content); of its columns only ``columns``, if given."""
+    return per_document(files, SCHEMAS[name], _READERS[name], columns, strict=strict, compat=compat, mode=mode)
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -261,7 +346,8 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame
 class PdfDataSource(DataSource):
     """``spark.read.format("pdf").option("table", "content_ops").load(folder)``.
 
-    Options: table (a key of ``SCHEMAS``), strict, compat. Files are read by
+    Options: table (a key of ``SCHEMAS``), strict, compat, mode (PERMISSIVE or
+    FAILFAST), bytes (of a partition's files together, 64 MB unless given). Files are read by
     the tasks through ``pyarrow.fs``; for stores that only Spark reads use
     ``read_files`` and ``read_table``.
     """
@@ -277,9 +363,9 @@ class PdfDataSource(DataSource):
         return _PdfReader(dict(self.options), schema)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _PdfReader(DataSourceReader):
@@ -299,24 +385,31 @@ class _PdfReader(DataSourceReader):
         system, base = self._open(self.options["path"])
         info = system.get_file_info(base)
         if info.type == fs.FileType.File:
-            return [_File(base)]
+            return [_Files([base])]
         found = system.get_file_info(fs.FileSelector(base, recursive=True))
-        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and x.path.endswith(".pdf")]
-
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        most, parts, size = int(self.options.get("bytes", 64 << 20)), [], 0
+        for x in sorted(found, key=lambda x: x.path):
+            if x.type == fs.FileType.File and x.path.endswith(".pdf"):
+                if not parts or size + x.size > most:
+                    parts.append(_Files([]))
+                    size = 0
+                parts[-1].paths.append(x.path)
+                size += x.size
+        return parts
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         system, _ = self._open(self.options["path"])
-        with system.open_input_file(partition.path) as f:
-            data = f.read()
-        flags = {k: self.options.get(k, "false").lower() == "true" for k in ("strict", "compat")}
-        rows = []
-        try:
-            for row in _READERS[self.options.get("table", "objects")](data, flags):
-                rows.append({"doc_id": partition.path} | row)
-        except PdfError as e:
-            rows.append({"doc_id": partition.path, "_error": error_struct(e)})
-        yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(self.schema))
+        options = {k: self.options.get(k, "false").lower() == "true" for k in ("strict", "compat")} | {"columns": None}
+        fast = self.options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        arrow = to_arrow_schema(self.schema)
+        for path in partition.paths:
+            with system.open_input_file(path) as f:
+                data = f.read()
+            rows = list(rows_of(path, data, _READERS[self.options.get("table", "objects")], options, fast))
+            if rows:
+                yield _table(rows, arrow, fast)
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
