@@ -28,19 +28,39 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a folder on this machine is chosen and set.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and all tasks run on this machine, as in tests, is a folder on it chosen and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints/quire"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this module has written below the shared folder in this session.
+
+    Nothing deletes a table while a result may still read it; call this when
+    the results have been written.
+    """
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Paths given out, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
