@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quire.llm import byteops as B
+from quire.llm.columns import map_arrow
 from quire.llm.pretokens import pretokens, ragged
 
 #: Pre-tokens that a worker remembers.
@@ -243,7 +244,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids")
                 part = kept.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, arrays], names=[*part.schema.names, ids])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def decode_bytes(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +265,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "text")
             out = [None if x is None else b"".join([tokens[i] for i in x]).decode("utf-8", "replace") for x in B.column(batch, ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.string())], names=[*kept.schema.names, text])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fresh(taken: Sequence[str], *wanted: str) -> list[str]:
@@ -28,3 +30,13 @@ def own(df: DataFrame, *replaced: str) -> list[str]:
     """The names of ``df``'s columns but those (in any case) that an operator replaces."""
     low = {r.lower() for r in replaced}
     return [c for c in df.columns if c.lower() not in low]
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow``, also where names hold points: Spark sees numbered columns, ``run`` the caller's."""
+    names = df.columns
+
+    def under_own_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(under_own_names, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import byteops as B
-from quire.llm.columns import named, own
+from quire.llm.columns import map_arrow, named, own
 
 #: Ranked n-grams of a language profile and of a document.
 PROFILE = 400
@@ -172,9 +172,8 @@ class Ranker:
         return np.where(known, best, -1), np.where(known, 1 - distance[np.arange(n), best], 0.0)
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score; they replace columns of those names."""
-    added = ("lang_pred", "lang_score")
+def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", added: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the language and its score in the columns ``added``; they replace columns of those names."""
     docs = docs.select(*[named(c) for c in own(docs, *added)])
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x PROFILE integers
 
@@ -189,7 +188,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, *added])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def held_out(fold: int, of: int, doc_id: str = "doc_id"):

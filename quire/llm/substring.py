@@ -276,9 +276,9 @@ def _cut(raw: bytes, spans: list[dict], starts: np.ndarray, ends: np.ndarray) ->
     return n - int(keep.sum()), b" ".join(kept)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", digest_only: bool = False) -> DataFrame:
-    """``docs`` with n_words, n_removed and kept_text (or kept_sha256 with ``digest_only``)."""
-    added = ["n_words", "n_removed", "kept_sha256" if digest_only else "kept_text"]
+def remove_repeats(docs: DataFrame, text: str = "text", digest_only: bool = False, added: list[str] | None = None) -> DataFrame:
+    """``docs`` with n_words, n_removed and kept_text (or kept_sha256 with ``digest_only``), or these by the names in ``added``."""
+    added = added or ["n_words", "n_removed", "kept_sha256" if digest_only else "kept_text"]
     kept = own(docs, *added, *([text] if digest_only else []))
     docs = docs.select(*[named(c) for c in own(docs, *added)])
     id_, hash_, found_ = fresh([*docs.columns, *added], "_doc", "_h", "_spans")
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", digest_only: bool = Fals
     columns = [named(c).alias(f"c{i}") for i, c in enumerate(kept)]
     joined = joined.unionByName(apart).select(*columns, named(text).alias("text"), named(found_).alias("spans"))
     fields = docs.select(*[named(c) for c in kept]).schema.fields
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(added[2], T.StringType())])
+    schema = T.StructType([*fields, T.StructField(added[0], T.LongType()), T.StructField(added[1], T.LongType()), T.StructField(added[2], T.StringType())])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

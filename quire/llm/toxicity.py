@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import byteops as B
-from quire.llm.columns import named, own
+from quire.llm.columns import map_arrow, named, own
 from quire.llm.langid import held_out
 from quire.session import materialize
 
@@ -355,9 +355,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
     return {"forms": np.sort(ranked), "weights": logistic(x, posterior[at])}
 
 
-def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """``docs`` with toxic_score and toxic_predicted."""
-    added = ("toxic_score", "toxic_predicted")
+def predict(docs: DataFrame, model: dict | None, text: str = "text", added: tuple[str, str] = ("toxic_score", "toxic_predicted")) -> DataFrame:
+    """``docs`` with the score and the verdict (1 or 0) in the columns ``added``; they replace columns of those names."""
     docs = docs.select(*[named(c) for c in own(docs, *added)])
     if model is None:
         return docs.withColumn(added[0], F.lit(0.0)).withColumn(added[1], F.lit(0))
@@ -376,4 +375,4 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names, *added])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

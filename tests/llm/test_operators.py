@@ -717,3 +717,14 @@ def test_components(spark):
     del up[200]
     found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in found} == up and len(found) == len(up)
+
+
+def test_measured_recall_of_bands(sf_dir):
+    import pyarrow.parquet as pq
+
+    from tests.llm.recall import measure
+
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    for k, percent in ((3, 85), (5, 80)):
+        above, shared = measure(texts, k, percent)
+        assert above > 0 and shared >= 0.9 * above

@@ -48,3 +48,83 @@ def test_label_model_counts_and_abstentions():
     few, same = toxicity.label_model(rows[:, :-1], count, rows[:, -1] > 0)
     assert np.allclose(few[where], whole, atol=1e-4) and np.allclose(rates, same, atol=1e-4)
     assert ((whole > 0.5) == y).mean() > 0.97
+
+
+def naive_posterior(votes, model):
+    """Bayes, vote by vote, from the label model's prior and rates."""
+    out = []
+    for row in votes:
+        p = [1 - model["prior"], model["prior"]]
+        for c in (0, 1):
+            for j, x in enumerate(row):
+                parent = model["parent"][j]
+                rate = model["given"][c, int(row[parent]) if parent >= 0 else 0, j]
+                p[c] *= rate if x else 1 - rate
+        out.append(p[1] / (p[0] + p[1]))
+    return out
+
+
+def test_posterior_by_brute_force_and_correlations():
+    rng = np.random.default_rng(4)
+    y = rng.random(4000) < 0.2
+    free = [np.where(rng.random(4000) < a, y, rng.random(4000) < 0.05) for a in (0.9, 0.85, 0.8)]
+    # A voter that mostly repeats the first one, whatever the class.
+    copy = np.where(rng.random(4000) < 0.95, free[0], rng.random(4000) < 0.5)
+    v = np.stack([*free, copy, y], axis=1).astype(float)
+    model = toxicity.generative(v, rounds=100)
+    assert np.allclose(naive_posterior(v[:300], model), model["posterior"][:300], atol=1e-4)
+    assert {(0, int(model["parent"][3])), (3, int(model["parent"][0]))} & {(0, 0), (3, 3)} and model["parent"][4] == -1
+    # The copy's rate follows its parent in both classes, and without the tree it would not.
+    child = 3 if model["parent"][3] == 0 else 0
+    assert all(model["given"][c, 1, child] > model["given"][c, 0, child] + 0.5 for c in (0, 1))
+    assert ((model["posterior"] > 0.5) == y).mean() > 0.97
+
+
+def naive_forms(text):
+    """Words of letters in lower case and their beginnings, as bytes with the length of a beginning."""
+    import re
+
+    out = []
+    for w in re.findall(r"[a-z]+", text.lower()):
+        out.append((w.encode(), 0))
+        out += [(w.encode()[:k], k) for k in toxicity.STEMS if len(w) > k]
+    return out
+
+
+def test_lexicon_and_scores_by_brute_force(spark):
+    rows = []
+    for i in range(300):
+        own, toxic = prose(7000 + i, 30 + i % 40).split(), i % 4 == 0
+        if toxic:
+            own[3:3] = ["GRUMBLE!!", "snarling", "grumbled"][: 1 + i % 3]
+        rows.append((i, " ".join(own), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+
+    def hashed(f):
+        word, k = f
+        return int(form(word.decode()) ^ np.uint64(0)) if k == 0 else int(B.span_hash(B._BYTE_CODE[np.frombuffer(word, np.uint8)], np.array([0]), np.array([k]))[0] ^ np.uint64(k))
+
+    from zlib import crc32
+
+    counts = {}
+    train = [(t, y) for i, t, y in rows if crc32(str(i).encode()) % 3 != 1]
+    for t, y in train:
+        for f in set(naive_forms(t)):
+            counts.setdefault(f, [0, 0])[y] += 1
+    pos, neg = sum(y for _, y in train), sum(1 - y for _, y in train)
+    rate = {f: np.log((p + 0.5) / (pos + 1)) - np.log((n + 0.5) / (neg + 1)) for f, (n, p) in counts.items()}
+    want = {hashed(f) for f, (n, p) in counts.items() if p >= max(3, pos // 400) and rate[f] > 2.5}
+    assert {int(x) for x in model["forms"]} == want and len(want) < toxicity.LEXICON
+    place = {int(h): k for k, h in enumerate(model["forms"])}
+    for r in toxicity.predict(docs, model).collect():
+        words = [w for w in "".join(c if c.isalpha() else " " for c in r.text).split()]
+        letters, capitals, marks = sum(c.isalpha() for c in r.text), sum(c.isupper() for c in r.text), r.text.count("!")
+        found = [place[h] for h in map(hashed, naive_forms(r.text)) if h in place]
+        hits = sum(any(hashed(f) in place for f in naive_forms(w)) for w in words)
+        x = np.zeros(len(place) + len(toxicity.PATTERNS))
+        for k in set(found):
+            x[k] = min(1.0, 100.0 * found.count(k) / len(words))
+        x[len(place) :] = [100 * capitals > 30 * letters, marks * 50 > letters, *(1000 * hits > s * len(words) for s in toxicity.SHARES)]
+        score = 1 / (1 + np.exp(-(x @ model["weights"][:-1] + model["weights"][-1])))
+        assert abs(r.toxic_score - score) < 1e-9 and r.toxic_predicted == int(r.toxic_score >= toxicity.THRESHOLD)
