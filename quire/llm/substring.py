@@ -182,14 +182,14 @@ def paths(classes: DataFrame) -> DataFrame:
 
 
 def edges_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """x, i, e: the windows of every class whose minimizer has another class too."""
+    """x, i, e, doc: the windows of every class whose minimizer has another class too, and the class's first document."""
     contested = classes.groupBy("m").agg(F.count("*").alias("variants")).where("variants > 1").select("m")
     wanted = classes.join(contested, "m").select("x", "n", "first.*")
     wanted = materialize(wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("x", "start", "n")).alias("runs")), "contested")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = B.column(batch, "runs")
+            lists, docs = B.column(batch, "runs"), B.longs(B.column(batch, "doc"))
             for lo, hi, buf, off in B.slices(B.column(batch, "text")):
                 starts, ends, bounds = B.words(buf, off)
                 h = B.word_hashes(buf, starts, ends)
@@ -200,9 +200,10 @@ def edges_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
                 i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(base, n) + i
                 e = B.span_hash(h, at, at + WINDOW)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n)), pa.array(i.astype(np.int32)), pa.array(e.view(np.int64))], names=["x", "i", "e"])
+                doc = np.repeat(np.repeat(docs[lo:hi], np.diff(part.offsets.to_numpy())), n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n)), pa.array(i.astype(np.int32)), pa.array(e.view(np.int64)), pa.array(doc)], names=["x", "i", "e", "doc"])
 
-    return fetch(texts, wanted).mapInArrow(run, "x long, i int, e long")
+    return fetch(texts, wanted).mapInArrow(run, "x long, i int, e long, doc long")
 
 
 def spans_of(texts: DataFrame) -> DataFrame:
@@ -221,15 +222,15 @@ def spans_of(texts: DataFrame) -> DataFrame:
     whole = whole.select("doc", "h", "s", "e", F.col("hf.doc").alias("sdoc"), F.col("hf.h").alias("sh"), (F.col("hf.start") + F.col("s") - F.col("zero")).alias("ss"))
 
     # Along the edges inside runs: only the first text of a class is still open.
-    edges = edges_of(texts, classes).join(classes.select("x", "first"), "x").select("x", "i", "e", F.struct("first.doc", "first.h", (F.col("first.start") + F.col("i")).alias("at")).alias("place"))
-    edges = materialize(edges, "edges")
-    least = edges.groupBy("e").agg(F.min("place").alias("source"), F.max("place.doc").alias("most")).where("source.doc < most").select("e", "source")
-    hits = edges.join(least, "e").where("source.doc < place.doc").select("x", "i", "source", (F.col("source.at") - F.col("i")).alias("lane"))
-    order = Window.partitionBy("x", "source.doc", "source.h", "lane").orderBy("i")
+    edges = materialize(edges_of(texts, classes), "edges")
+    least = edges.groupBy("e").agg(F.min(F.struct("doc", "x", "i")).alias("source"), F.max("doc").alias("most")).where("source.doc < most").select("e", "source")
+    hits = edges.join(least, "e").where("source.doc < doc").select("x", "i", F.col("source.x").alias("sx"), (F.col("source.i") - F.col("i")).alias("lane"))
+    order = Window.partitionBy("x", "sx", "lane").orderBy("i")
     hits = hits.withColumn("island", F.col("i") - F.row_number().over(order))
-    pieces = hits.groupBy("x", F.col("source.doc").alias("sdoc"), F.col("source.h").alias("sh"), "lane", "island").agg(F.min("i").alias("i"), F.max("i").alias("j"))
+    pieces = hits.groupBy("x", "sx", "lane", "island").agg(F.min("i").alias("i"), F.max("i").alias("j"))
     firsts = kept.join(classes.select("x", F.col("first.doc").alias("doc")), ["x", "doc"]).select("x", "doc", "h", "start")
-    inside = pieces.join(firsts, "x").select("doc", "h", (F.col("start") + F.col("i")).alias("s"), (F.col("start") + F.col("j") + WINDOW).alias("e"), "sdoc", "sh", (F.col("lane") + F.col("i")).alias("ss"))
+    sources = classes.select(F.col("x").alias("sx"), F.col("first.doc").alias("sdoc"), F.col("first.h").alias("sh"), F.col("first.start").alias("at"))
+    inside = pieces.join(firsts, "x").join(sources, "sx").select("doc", "h", (F.col("start") + F.col("i")).alias("s"), (F.col("start") + F.col("j") + WINDOW).alias("e"), "sdoc", "sh", (F.col("at") + F.col("lane") + F.col("i")).alias("ss"))
     return whole.select("doc", "h", F.col("s").cast("int"), F.col("e").cast("int"), "sdoc", "sh", F.col("ss").cast("int")).unionByName(inside.select("doc", "h", F.col("s").cast("int"), F.col("e").cast("int"), "sdoc", "sh", F.col("ss").cast("int")))
 
 
