@@ -19,7 +19,12 @@
   the label model's posteriors, by Newton steps with an L2 penalty.
 
 Forms are counted over all labelled training texts and votes over all training
-texts. The logistic regression alone is bounded: it sees at most ``FIT_ROWS``
+texts. Only toxic texts and one in ``PART`` of the others are shuffled to their
+labels. The forms that pass there are broadcast: a form passes only with ``pos // 400`` toxic
+texts, so that they do not grow with the input. Other texts cannot raise a
+form's rate; they are not shuffled, but send the forms of that list that they have,
+and these are counted whole before the lexicon is chosen.
+The logistic regression alone is bounded: it sees at most ``FIT_ROWS``
 labelled training texts, chosen by a hash of doc_id. Scoring is one pass over all texts without a shuffle, with the lexicon
 and weights broadcast (bounded by LEXICON).
 
@@ -43,10 +48,13 @@ from pyspark.sql import types as T
 from quire.llm import byteops as B
 from quire.llm.columns import map_arrow, named, own
 from quire.llm.langid import held_out
+from quire.llm.substring import bloom, sift
 from quire.session import materialize
 
 #: Labelled texts that the logistic regression sees at most.
 FIT_ROWS = 12_000
+#: One in so many labelled texts that are not toxic is counted beside the toxic ones, before the rest.
+PART = 16
 #: Forms in the lexicon at most.
 LEXICON = 512
 GROUPS = 16
@@ -103,19 +111,26 @@ class Lexicon:
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes.astype(np.uint64))
-        self.maybe = np.zeros(1 << 16, dtype=bool)
-        self.maybe[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+        size = 1 << max(16, (8 * len(hashes)).bit_length())
+        self.low = np.uint64(size - 1)
+        self.maybe = np.zeros(size, dtype=bool)
+        self.maybe[(self.hashes & self.low).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``h`` forms of the lexicon are, and which."""
+        near = np.flatnonzero(self.maybe[(h & self.low).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
+        hit = self.hashes[at] == h[near]
+        return near[hit], at[hit]
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, form, count) of the lexicon forms found, and the plain counts: surface, then words that have a form."""
         found, hit_words, hit_texts = [], [], []
         for owner, spot, h in forms(buf, off):
-            near = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
-            hit = self.hashes[at] == h[near]
-            found.append(owner[near[hit]] * len(self.hashes) + at[hit])
-            hit_words.append(spot[near[hit]])
-            hit_texts.append(owner[near[hit]])
+            where, at = self.find(h)
+            found.append(owner[where] * len(self.hashes) + at)
+            hit_words.append(spot[where])
+            hit_texts.append(owner[where])
         key, count = np.unique(np.concatenate(found), return_counts=True)
         _, first = np.unique(np.concatenate(hit_words), return_index=True)
         hits = np.bincount(np.concatenate(hit_texts)[first], minlength=len(off) - 1)
@@ -294,6 +309,46 @@ def _form_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _ranked(texts: DataFrame, known: DataFrame, pos: int, neg: int) -> np.ndarray:
+    """The lexicon's forms (long ids and texts, labels): counted over all ``pos`` toxic and ``neg`` other labelled texts."""
+    least = max(3, pos // 400)
+    rate = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
+    early = (F.col("toxic") != 0) | (F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == 0)
+
+    def sifted(chosen: DataFrame) -> DataFrame:
+        return sift(texts, ["doc_id"], bloom(chosen.select(F.col("doc_id").cast("long"))))
+
+    first, rest = known.where(early), known.where(~early)
+    some = sifted(first).join(first, "doc_id").select("text", "toxic").mapInArrow(_form_counts, "form long, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # What falls short already does so whatever the rest of the texts has: they only add to neg.
+    likely = materialize(some.where((F.col("pos") >= least) & (rate > 2.5)), "forms")
+    candidates = likely.select("form").toArrow().column("form").to_numpy().view(np.uint64)
+    if not len(candidates):
+        return candidates
+    shared = texts.sparkSession.sparkContext.broadcast(candidates)
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(shared.value)
+        size = len(lexicon.hashes)
+        for batch in batches:
+            ids = B.longs(B.column(batch, "doc_id"))
+            for lo, hi, buf, off in B.slices(B.column(batch, "text")):
+                found = []
+                for owner, _, h in forms(buf, off):
+                    where, at = lexicon.find(h)
+                    found.append(owner[where] * size + at)
+                key = np.unique(np.concatenate(found))
+                owner, start = np.unique(key // size, return_index=True)
+                if len(key):
+                    off = pa.array(np.append(start, len(key)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][owner]), pa.ListArray.from_arrays(off, pa.array(lexicon.hashes[key % size].view(np.int64)))], names=["doc_id", "forms"])
+
+    more = sifted(rest).mapInArrow(having, "doc_id long, forms array<long>").join(rest.select("doc_id"), "doc_id").select(F.explode("forms").alias("form")).groupBy("form").agg(F.count("*").alias("more"))
+    counts = likely.join(more, "form", "left").select("form", "pos", (F.col("neg") + F.coalesce("more", F.lit(0))).alias("neg"))
+    best = counts.withColumn("rate", rate).where("rate > 2.5").orderBy(F.desc(F.col("rate") * F.sqrt(F.col("pos"))), "form").limit(LEXICON)
+    return np.array([r["form"] for r in best.select("form").collect()], np.int64).view(np.uint64)
+
+
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None:
     """The model: sorted lexicon hashes and classifier weights, or None without both classes."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(1, 3)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -305,12 +360,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return None
-    counts = texts.join(known, "doc_id").select("text", "toxic").mapInArrow(_form_counts, "form long, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    least = max(3, pos // 400)
-    rate = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    best = counts.where(F.col("pos") >= least).withColumn("rate", rate).where("rate > 2.5").orderBy(F.desc(F.col("rate") * F.sqrt(F.col("pos"))), "form").limit(LEXICON)
-    rows = best.select("form").collect()
-    ranked = np.array([r["form"] for r in rows], np.int64).view(np.uint64)
+    travelling = texts.withColumn("doc_id", F.col("doc_id").cast("long"))
+    ranked = _ranked(travelling, known, pos, neg)
     if not len(ranked):
         return None
     shared = docs.sparkSession.sparkContext.broadcast(ranked)
@@ -335,7 +386,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
                 bits = _bits(votes(design(*lexicon(buf, off), size), size, np.zeros(hi - lo)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(bits)], names=["doc_id", "bits"])
 
-    cast = texts.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(vote, "doc_id long, bits long")
+    cast = travelling.mapInArrow(vote, "doc_id long, bits long")
     # At most a row per pattern reaches the driver.
     patterns = cast.join(known, "doc_id", "left").groupBy("bits", F.coalesce("toxic", F.lit(-1)).alias("label")).agg(F.count("*").alias("n")).orderBy("bits", "label").toArrow()
     bits, label, n = (patterns.column(c).to_numpy() for c in ("bits", "label", "n"))

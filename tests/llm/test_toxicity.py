@@ -128,3 +128,47 @@ def test_lexicon_and_scores_by_brute_force(spark):
         x[len(place) :] = [100 * capitals > 30 * letters, marks * 50 > letters, *(1000 * hits > s * len(words) for s in toxicity.SHARES)]
         score = 1 / (1 + np.exp(-(x @ model["weights"][:-1] + model["weights"][-1])))
         assert abs(r.toxic_score - score) < 1e-9 and r.toxic_predicted == int(r.toxic_score >= toxicity.THRESHOLD)
+
+
+def shuffled(spark):
+    """Bytes that tasks have shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_stay_where_they_are_also_without_broadcast_joins(spark, monkeypatch):
+    rows = []
+    for i in range(900):
+        own, toxic = prose(20_000 + i, 400), i % 15 == 0
+        # Of the other texts, more than the sampled ones have "murky": only the whole count tells that it is no toxic form.
+        word = "grumble" if toxic else "murky" if i % 3 else ""
+        rows.append((i, f"{own} {word}" + (" murky" if toxic and i % 2 else ""), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    kept = docs.drop("toxic").repartition(4).localCheckpoint()
+    labels = docs.where("doc_id % 2 = 1 or toxic = 1").select("doc_id", "toxic")
+    models = []
+    for threshold, part in (("10m", 1), ("-1", 16), ("-1", 1 << 30)):
+        monkeypatch.setattr(toxicity, "PART", part)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            before = shuffled(spark)
+            models.append(toxicity.learn(kept, labels))
+            moved = shuffled(spark) - before
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        if part == 16:
+            assert moved < sum(len(t) for _, t, _ in rows) / 4
+    assert form("grumble") in models[0]["forms"] and form("murky") not in models[0]["forms"]
+    assert all(np.array_equal(m["forms"], models[0]["forms"]) and np.array_equal(m["weights"], models[0]["weights"]) for m in models)
+
+
+def test_lexicon_counts_the_rest_whole(spark, monkeypatch):
+    # No text that is not toxic is counted early: forms of toxic texts pass then, and the rest decides.
+    monkeypatch.setattr(toxicity, "PART", 1 << 30)
+    rows = [(i, prose(30_000 + i, 20) + (" murky grumble" if i % 4 == 0 else " murky" if i % 2 else ""), int(i % 4 == 0)) for i in range(400)]
+    rows += [(i, rows[i][1], rows[i][2]) for i in (0, 3, 4)] + [(8, None, 1), (5, None, 0), (None, "grumble", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.where("doc_id is not null").groupBy("doc_id").max("toxic").toDF("doc_id", "toxic")
+    model = toxicity.learn(docs.drop("toxic"), labels)
+    assert form("grumble") in model["forms"] and form("murky") not in model["forms"]
