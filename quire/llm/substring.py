@@ -134,15 +134,20 @@ def _key(batch: pa.RecordBatch) -> np.ndarray:
     return first if batch.num_columns == 1 else (B.mix(first.view(np.uint64)) ^ B.longs(batch.column(1)).view(np.uint64)).view(np.int64)
 
 
+def held(keys: pa.RecordBatch, table: np.ndarray) -> np.ndarray:
+    """Which rows' keys may be in the filter."""
+    spots = _spots(_key(keys), 64 * len(table))
+    hit = (table[spots >> 6] >> (spots & 63).astype(np.uint64)) & np.uint64(1)
+    return (hit[: keys.num_rows] & hit[keys.num_rows :]).astype(bool)
+
+
 def sift(df: DataFrame, columns: list[str], sieve) -> DataFrame:
     """Rows of ``df`` whose key of these columns may be in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sieve.value
         for batch in batches:
-            spots = _spots(_key(batch.select(columns)), 64 * len(table))
-            hit = (table[spots >> 6] >> (spots & 63).astype(np.uint64)) & np.uint64(1)
-            both = (hit[: batch.num_rows] & hit[batch.num_rows :]).astype(bool)
+            both = held(batch.select(columns), table)
             if both.any():
                 yield batch.filter(pa.array(both))
 

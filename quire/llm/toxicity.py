@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from quire.llm import byteops as B
 from quire.llm.columns import map_arrow, named, own
 from quire.llm.langid import held_out
-from quire.llm.substring import bloom, sift
+from quire.llm.substring import bloom, held, sift
 from quire.session import materialize
 
 #: Labelled texts that the logistic regression sees at most.
@@ -315,22 +315,24 @@ def _ranked(texts: DataFrame, known: DataFrame, pos: int, neg: int) -> np.ndarra
     rate = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     early = (F.col("toxic") != 0) | (F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == 0)
 
-    def sifted(chosen: DataFrame) -> DataFrame:
-        return sift(texts, ["doc_id"], bloom(chosen.select(F.col("doc_id").cast("long"))))
+    def sieve(chosen: DataFrame):
+        return bloom(chosen.select(F.col("doc_id").cast("long")))
 
     first, rest = known.where(early), known.where(~early)
-    some = sifted(first).join(first, "doc_id").select("text", "toxic").mapInArrow(_form_counts, "form long, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    some = sift(texts, ["doc_id"], sieve(first)).join(first, "doc_id").select("text", "toxic").mapInArrow(_form_counts, "form long, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # What falls short already does so whatever the rest of the texts has: they only add to neg.
     likely = materialize(some.where((F.col("pos") >= least) & (rate > 2.5)), "forms")
     candidates = likely.select("form").toArrow().column("form").to_numpy().view(np.uint64)
     if not len(candidates):
         return candidates
-    shared = texts.sparkSession.sparkContext.broadcast(candidates)
+    shared, wanted = texts.sparkSession.sparkContext.broadcast(candidates), sieve(rest)
 
+    # Sifts and looks in one: a Python worker more for each task would take memory.
     def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value)
         size = len(lexicon.hashes)
         for batch in batches:
+            batch = batch.filter(pa.array(held(batch.select(["doc_id"]), wanted.value)))
             ids = B.longs(B.column(batch, "doc_id"))
             for lo, hi, buf, off in B.slices(B.column(batch, "text")):
                 found = []
@@ -343,7 +345,7 @@ def _ranked(texts: DataFrame, known: DataFrame, pos: int, neg: int) -> np.ndarra
                     off = pa.array(np.append(start, len(key)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][owner]), pa.ListArray.from_arrays(off, pa.array(lexicon.hashes[key % size].view(np.int64)))], names=["doc_id", "forms"])
 
-    more = sifted(rest).mapInArrow(having, "doc_id long, forms array<long>").join(rest.select("doc_id"), "doc_id").select(F.explode("forms").alias("form")).groupBy("form").agg(F.count("*").alias("more"))
+    more = texts.mapInArrow(having, "doc_id long, forms array<long>").join(rest.select("doc_id"), "doc_id").select(F.explode("forms").alias("form")).groupBy("form").agg(F.count("*").alias("more"))
     counts = likely.join(more, "form", "left").select("form", "pos", (F.col("neg") + F.coalesce("more", F.lit(0))).alias("neg"))
     best = counts.withColumn("rate", rate).where("rate > 2.5").orderBy(F.desc(F.col("rate") * F.sqrt(F.col("pos"))), "form").limit(LEXICON)
     return np.array([r["form"] for r in best.select("form").collect()], np.int64).view(np.uint64)
