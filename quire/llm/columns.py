@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.memory import returning
+
 
 def fresh(taken: Sequence[str], *wanted: str) -> list[str]:
     """``wanted`` names, with underscores added until none is among ``taken`` (in any case)."""
@@ -39,4 +41,4 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     def under_own_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
 
-    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(under_own_names, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(returning(under_own_names), schema)

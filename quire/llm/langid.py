@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from quire.llm import byteops as B
 from quire.llm.columns import map_arrow, named, own
+from quire.llm.memory import returning
 
 #: Ranked n-grams of a language profile and of a document.
 PROFILE = 400
@@ -123,7 +124,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             yield pa.RecordBatch.from_arrays([pa.array([known[i] for i in (key >> 24).tolist()], pa.string()), pa.array((key & 0xFFFFFF).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     taught = docs.where(named(text).isNotNull() & named(lang).isNotNull()).select(named(text), named(lang))
-    counts = taught.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = taught.mapInArrow(returning(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # The gap alone says nothing about a language.
     counts = counts.where(~F.col("gram").isin(_GAP, _GAP << 8 | _GAP, _GAP << 16 | _GAP << 8 | _GAP))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from quire.llm import byteops as B
 from quire.llm.columns import fresh, named
 from quire.llm.components import components
+from quire.llm.memory import returning
 from quire.llm.pretokens import ragged
 from quire.session import materialize
 
@@ -135,7 +136,7 @@ def sketch(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
                     names=["doc_id", "h", "n", "d1", "d2", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(named(text)).alias("h"), named(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(named(text)).alias("h"), named(text).alias("text")).mapInArrow(returning(run), schema)
 
 
 def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import byteops as B
 from quire.llm.bpe import Memo
+from quire.llm.memory import returning
 from quire.session import materialize
 
 WINDOW = 2048
@@ -218,7 +219,7 @@ def pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         if packer.rows:
             yield packer.batch()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(returning(run), _PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:

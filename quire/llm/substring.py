@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 
 from quire.llm import byteops as B
 from quire.llm.columns import fresh, named, own
+from quire.llm.memory import returning
 from quire.session import materialize
 
 WINDOW = 50
@@ -123,7 +124,7 @@ def bloom(keys: DataFrame):
             ones = np.left_shift(np.uint64(1), (bits & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(word[edge]), pa.array((np.bitwise_or.reduceat(ones, edge) if len(edge) else ones).view(np.int64))], names=["word", "bits"])
 
-    found = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = keys.mapInArrow(returning(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(size // 64, np.uint64)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(table)
@@ -151,7 +152,7 @@ def sift(df: DataFrame, columns: list[str], sieve) -> DataFrame:
             if both.any():
                 yield batch.filter(pa.array(both))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(returning(run), df.schema)
 
 
 def fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -208,12 +209,12 @@ def edges_of(texts: DataFrame, classes: DataFrame) -> DataFrame:
                 doc = np.repeat(np.repeat(docs[lo:hi], np.diff(part.offsets.to_numpy())), n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, n)), pa.array(i.astype(np.int32)), pa.array(e.view(np.int64)), pa.array(doc)], names=["x", "i", "e", "doc"])
 
-    return fetch(texts, wanted).mapInArrow(run, "x long, i int, e long, doc long")
+    return fetch(texts, wanted).mapInArrow(returning(run), "x long, i int, e long, doc long")
 
 
 def spans_of(texts: DataFrame) -> DataFrame:
     """doc, h, s, e (words), and the source's sdoc, sh, ss: every span that a smaller doc has, by hashes."""
-    every = materialize(texts.mapInArrow(_runs, _RUNS), "runs")
+    every = materialize(texts.mapInArrow(returning(_runs), _RUNS), "runs")
     shared = every.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("m")
     kept = materialize(sift(every, ["m"], bloom(shared)), "shared")
     classes = materialize(classes_of(kept), "classes")
@@ -265,7 +266,7 @@ def digests(texts: DataFrame, sources: DataFrame) -> DataFrame:
                     rows += [(docs[i].as_py(), hashes[i].as_py(), p["ss"], p["size"], _digest(raw, starts[a:b], ends[a:b], p["ss"], p["ss"] + p["size"])) for p in places[i].as_py()]
             yield pa.RecordBatch.from_pylist([dict(zip(("sdoc", "sh", "ss", "size", "digest"), r, strict=True)) for r in rows], schema=pa.schema([("sdoc", pa.int64()), ("sh", pa.int64()), ("ss", pa.int32()), ("size", pa.int32()), ("digest", pa.binary())]))
 
-    return fetch(texts, materialize(wanted, "sources")).mapInArrow(run, schema)
+    return fetch(texts, materialize(wanted, "sources")).mapInArrow(returning(run), schema)
 
 
 def _cut(raw: bytes, spans: list[dict], starts: np.ndarray, ends: np.ndarray) -> tuple[int, bytes]:
@@ -323,4 +324,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", digest_only: bool = Fals
                     out.append(hashlib.sha256(left).hexdigest() if digest_only else left.decode())
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in rest), pa.array(np.diff(bounds).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(returning(run), schema)

@@ -48,6 +48,7 @@ from pyspark.sql import types as T
 from quire.llm import byteops as B
 from quire.llm.columns import map_arrow, named, own
 from quire.llm.langid import held_out
+from quire.llm.memory import returning
 from quire.llm.substring import bloom, held, sift
 from quire.session import materialize
 
@@ -319,7 +320,7 @@ def _ranked(texts: DataFrame, known: DataFrame, pos: int, neg: int) -> np.ndarra
         return bloom(chosen.select(F.col("doc_id").cast("long")))
 
     first, rest = known.where(early), known.where(~early)
-    some = sift(texts, ["doc_id"], sieve(first)).join(first, "doc_id").select("text", "toxic").mapInArrow(_form_counts, "form long, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    some = sift(texts, ["doc_id"], sieve(first)).join(first, "doc_id").select("text", "toxic").mapInArrow(returning(_form_counts), "form long, pos long, neg long").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # What falls short already does so whatever the rest of the texts has: they only add to neg.
     likely = materialize(some.where((F.col("pos") >= least) & (rate > 2.5)), "forms")
     candidates = likely.select("form").toArrow().column("form").to_numpy().view(np.uint64)
@@ -345,7 +346,7 @@ def _ranked(texts: DataFrame, known: DataFrame, pos: int, neg: int) -> np.ndarra
                     off = pa.array(np.append(start, len(key)).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][owner]), pa.ListArray.from_arrays(off, pa.array(lexicon.hashes[key % size].view(np.int64)))], names=["doc_id", "forms"])
 
-    more = texts.mapInArrow(having, "doc_id long, forms array<long>").join(rest.select("doc_id"), "doc_id").select(F.explode("forms").alias("form")).groupBy("form").agg(F.count("*").alias("more"))
+    more = texts.mapInArrow(returning(having), "doc_id long, forms array<long>").join(rest.select("doc_id"), "doc_id").select(F.explode("forms").alias("form")).groupBy("form").agg(F.count("*").alias("more"))
     counts = likely.join(more, "form", "left").select("form", "pos", (F.col("neg") + F.coalesce("more", F.lit(0))).alias("neg"))
     best = counts.withColumn("rate", rate).where("rate > 2.5").orderBy(F.desc(F.col("rate") * F.sqrt(F.col("pos"))), "form").limit(LEXICON)
     return np.array([r["form"] for r in best.select("form").collect()], np.int64).view(np.uint64)
@@ -388,7 +389,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
                 bits = _bits(votes(design(*lexicon(buf, off), size), size, np.zeros(hi - lo)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(bits)], names=["doc_id", "bits"])
 
-    cast = travelling.mapInArrow(vote, "doc_id long, bits long")
+    cast = travelling.mapInArrow(returning(vote), "doc_id long, bits long")
     # At most a row per pattern reaches the driver.
     patterns = cast.join(known, "doc_id", "left").groupBy("bits", F.coalesce("toxic", F.lit(-1)).alias("label")).agg(F.count("*").alias("n")).orderBy("bits", "label").toArrow()
     bits, label, n = (patterns.column(c).to_numpy() for c in ("bits", "label", "n"))
@@ -397,7 +398,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None
     picked = labelled.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     sample = materialize(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), "labelled")
     # A bounded number of rows; put in one order here, so that sums come out alike whatever order tasks end in.
-    seen = sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(look, "doc_id long, toxic long, form array<long>, n array<long>, " + ", ".join(f"{c} long" for c in PLAIN)).toArrow()
+    seen = sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(returning(look), "doc_id long, toxic long, form array<long>, n array<long>, " + ", ".join(f"{c} long" for c in PLAIN)).toArrow()
     seen = seen.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), *((c, "ascending") for c in PLAIN)])
     form = seen.column("form").combine_chunks()
     owner = np.repeat(np.arange(len(seen)), np.diff(form.offsets.to_numpy()))
