@@ -17,7 +17,7 @@ follows a block goes into it until ``if`` or ``ifelse`` takes the block.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -225,7 +225,8 @@ class _Compiler:
 
         def push(column: Column, check: bool = False) -> None:
             if check:
-                fail((F.abs(column) == float("inf")) | F.isnan(column), "ArithmeticOverflow")
+                # NaN is above infinity here, so this finds both and names the column once.
+                fail(~(F.abs(column) < float("inf")), "ArithmeticOverflow")
             stack.append(_Slot(column))
 
         for item in program:
@@ -299,15 +300,33 @@ def _flag(condition: Column) -> Column:
 RESULT = T.StructType([T.StructField("stack", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
 
-def compiled(text: str, inputs: Sequence[Column | str]) -> tuple[list[Column], Column]:
-    """The final stack's columns (bottom first) and the error column; raises NotCompilable."""
+def compiled(text: str, inputs: Sequence[Column | str]) -> tuple[list[Column], list[tuple[Column, str]]]:
+    """The final stack's columns (bottom first) and (condition, kind) of the errors, first ones first; raises NotCompilable."""
     slots = [_Slot((F.col(c) if isinstance(c, str) else c).cast("double")) for c in inputs]
     compiler = _Compiler()
     stack = compiler.compile(parse(text), slots, None)
-    error = F.lit(None).cast("string")
-    for condition, kind in reversed(compiler.errors):
-        error = F.when(condition, F.lit(kind)).otherwise(error)
-    return [s.column for s in stack], error
+    errors: list[tuple[Column, str]] = []
+    for condition, kind in compiler.errors:
+        if errors and errors[-1][1] == kind:
+            errors[-1] = (errors[-1][0] | condition, kind)
+        else:
+            errors.append((condition, kind))
+    return [s.column for s in stack], errors
+
+
+def outcome(errors: Sequence[tuple[Column, str]], failed: Callable[[str], Column], good: Column) -> Column:
+    """``failed`` of the first error whose condition holds, else ``good``.
+
+    One CASE in which each condition stands once: an error column that is looked at for every field
+    multiplies the generated code, and methods of over 8,000 bytes are never compiled to machine code.
+    """
+    if not errors:
+        return good
+    (condition, kind), *others = errors
+    found = F.when(condition, failed(kind))
+    for condition, kind in others:
+        found = found.when(condition, failed(kind))
+    return found.otherwise(good)
 
 
 def evaluate(text: str, inputs: Sequence[Column | str]) -> Column:
@@ -318,7 +337,7 @@ def evaluate(text: str, inputs: Sequence[Column | str]) -> Column:
     """
     columns = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in inputs]
     try:
-        stack, error = compiled(text, inputs)
+        stack, errors = compiled(text, inputs)
         body = F.array(*stack) if stack else F.array().cast("array<double>")
     except CalculatorError as e:
         return F.struct(F.lit(None).cast("array<double>").alias("stack"), F.lit(e.kind).alias("error"))
@@ -327,7 +346,11 @@ def evaluate(text: str, inputs: Sequence[Column | str]) -> Column:
     known = F.lit(True)
     for c in columns:
         known = known & c.isNotNull()
-    return F.struct(F.when(known & error.isNull(), body).alias("stack"), F.when(known, error).alias("error"))
+    return F.when(~known, _result(None, None)).otherwise(outcome(errors, lambda kind: _result(None, kind), _result(body, None)))
+
+
+def _result(stack: Column | None, error: str | None) -> Column:
+    return F.struct((F.lit(None).cast("array<double>") if stack is None else stack).alias("stack"), F.lit(error).cast("string").alias("error"))
 
 
 def interpreted(text: str):

@@ -117,11 +117,22 @@ def _stitching(f: Stitching, x: Column) -> Column:
 def _calculator(f: Calculator, x: Column) -> Column:
     inputs = [_clip(x, f.domain[0], f.domain[1]).cast("double")]
     inputs += [F.lit(float(min(f.domain[i], f.domain[i + 1]))) for i in range(2, len(f.domain) - 1, 2)]
-    result = calculator.evaluate(f.program, inputs)
     outputs = len(f.range) // 2
-    values = [F.least(F.greatest(F.get(result["stack"], i).cast("float"), _f(f.range[2 * i])), _f(f.range[2 * i + 1])) for i in range(outputs)]
+
+    def clipped(slots: Sequence[Column]) -> Column:
+        values = [_clip(slot.cast("float"), f.range[2 * i], f.range[2 * i + 1]) for i, slot in enumerate(slots)]
+        return F.array(*values) if values else F.array().cast("array<float>")
+
+    try:
+        stack, errors = calculator.compiled(f.program, inputs)
+        good = F.struct(clipped(stack[:outputs]).alias("values"), F.lit(None).cast("string").alias("error"))
+        return calculator.outcome(errors, _failed, good if len(stack) >= outputs else _failed("InsufficientResultStack"))
+    except calculator.CalculatorError as e:
+        return _failed(e.kind)
+    except calculator.NotCompilable:
+        result = calculator.evaluate(f.program, inputs)
     error = F.when(result["error"].isNotNull(), result["error"]).when(F.size(result["stack"]) < outputs, F.lit("InsufficientResultStack"))
-    array = F.array(*values) if values else F.array().cast("array<float>")
+    array = clipped([F.get(result["stack"], i) for i in range(outputs)])
     return F.struct(F.when(error.isNull(), array).alias("values"), error.alias("error"))
 
 
