@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 
-@pytest.mark.parametrize("name", ["f04_calculator"])
+@pytest.mark.parametrize("name", ["f04_calculator", "f01_dispatch"])
 def test_methods_are_small_enough_to_be_compiled(spark, sf_dir, name):
     plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan()
     code = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(plan)
