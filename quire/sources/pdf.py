@@ -15,6 +15,7 @@ Null content is a document with an error; repeated documents give repeated rows.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,13 +36,16 @@ SCHEMAS = {
     "trailers": f"ord int, value string, startxref long, {ERROR}",
     "versions": f"major int, minor int, {ERROR}",
     "pages": f"page_index int, obj_num int, media_box struct<left:long,top:long,right:long,bottom:long>, {ERROR}",
-    "content_ops": f"page_index int, op_ord int, op string, op_name string, nums array<float>, name string, text binary, elems array<struct<kind:string,bytes:binary,amount:float>>, props string, {ERROR}",
+    "content_ops": f"page_index int, op_ord int, op string, op_name string, nums array<float>, name string, text binary, elems array<struct<kind:string,bytes:binary,amount:float>>, props string, nth int, {ERROR}",
+    "op_counts": f"op string, n long, {ERROR}",
     "tree": f"obj_num int, kind string, pages int, kids array<int>, {ERROR}",
-    "op_trace": f"page_index int, op_ord int, depth int, op_name string, operands array<struct<kind:string,number:double,text:string>>, {ERROR}",
+    "op_trace": f"page_index int, op_ord int, depth int, op_name string, operands array<struct<kind:string,number:double,text:string>>, nth int, {ERROR}",
+    "trace_counts": f"op_name string, depth int, n long, {ERROR}",
     "resources": f"page_index int, kind string, name string, ref int, value string, {ERROR}",
 }
 
-_ROWS = 2000
+# Rows, and bytes of documents, that are built together.
+_ROWS, _BYTES = 2000, 4 << 20
 
 
 def tagged(value: object) -> object:
@@ -78,18 +82,16 @@ def _kind(value: object) -> str:
 
 
 def _objects(data: bytes, options: dict) -> Iterator[dict]:
+    columns = options["columns"]
+    valued = columns is None or "value" in columns
     for n, (_, value) in enumerate(objects(data, options["strict"])):
         row = {"ord": n, "kind": _kind(value)}
         if isinstance(value, (Indirect, Stream, Ref)):
             row |= {"obj_num": value.num, "gen_num": getattr(value, "gen", None)}
         if isinstance(value, Stream):
-            row |= {"value": _json(value.dict), "stream_data": value.data}
-        elif isinstance(value, Indirect):
-            row["value"] = _json(value.value)
-        elif isinstance(value, Trailer):
-            row["value"] = _json(value.dict)
-        elif not isinstance(value, Xref):
-            row["value"] = _json(value)
+            row["stream_data"] = value.data
+        if valued and not isinstance(value, Xref):
+            row["value"] = _json(value.value if isinstance(value, Indirect) else value.dict if isinstance(value, (Stream, Trailer)) else value)
         yield row
 
 
@@ -194,12 +196,23 @@ def _trace(data: bytes, options: dict) -> Iterator[dict]:
     """Every operator in order as it would be carried out: how deep in saved states, and its operands by kind."""
     from quire.sources.content import KNOWN
 
-    document = D.load(data, options["strict"])
+    document, wanted, nth = D.load(data, options["strict"]), _wanted(options), Counter()
+    shown = options["columns"] is None or "operands" in options["columns"]
     for i, (_, page) in enumerate(document.pages()):
         depth = 0
         ops, error = document.operators(page, options["compat"])
         for n, op in enumerate(ops):
             depth = max(0, depth - (op.op == "Q"))
+            at = nth[op.op]
+            nth[op.op] += 1
+            if not wanted(op.op):
+                depth += op.op == "q"
+                continue
+            if not shown:
+                row = {"page_index": i, "op_ord": n, "depth": depth, "op_name": KNOWN[op.op][0] if op.op in KNOWN else None, "nth": at}
+                yield row if op.op in KNOWN else row | {"_error": error_struct(PdfError("UnknownOperator", op.op, op.offset, stage="content"))}
+                depth += op.op == "q"
+                continue
             operands = [{"kind": "number", "number": x} for x in op.nums]
             if op.name is not None:
                 operands.append({"kind": "name", "text": op.name})
@@ -210,16 +223,68 @@ def _trace(data: bytes, options: dict) -> Iterator[dict]:
             if op.props is not None:
                 operands.append({"kind": "properties", "text": _json(op.props)})
             unknown = {} if op.op in KNOWN else {"_error": error_struct(PdfError("UnknownOperator", op.op, op.offset, stage="content"))}
-            yield {"page_index": i, "op_ord": n, "depth": depth, "op_name": KNOWN[op.op][0] if op.op in KNOWN else None, "operands": operands} | unknown
+            yield {"page_index": i, "op_ord": n, "depth": depth, "op_name": KNOWN[op.op][0] if op.op in KNOWN else None, "operands": operands, "nth": at} | unknown
             depth += op.op == "q"
         if error:
             yield {"page_index": i, "op_ord": len(ops), "depth": depth, "_error": error_struct(error)}
 
 
-def _content(data: bytes, options: dict) -> Iterator[dict]:
+def _wanted(options: dict) -> Callable[[str], bool]:
+    """Whether an operator's row is asked for; those of unknown ones are faults and always are."""
+    from quire.sources.content import KNOWN
+
+    ops = options.get("ops")
+    return (lambda op: True) if ops is None else (lambda op: op in ops or op not in KNOWN)
+
+
+def _trace_counts(data: bytes, options: dict) -> Iterator[dict]:
+    """How often each operator stands at each depth of saved states; faults follow, each a row."""
+    counts, faults, end = Counter(), [], None
+    try:
+        for row in _trace(data, options | {"columns": ["op_name", "depth"]}):
+            if "_error" in row:
+                faults.append(row | {"n": 1})
+            else:
+                counts[row["op_name"], row["depth"]] += 1
+    except Exception as e:
+        end = e
+    for (name, depth), n in counts.items():
+        yield {"op_name": name, "depth": depth, "n": n}
+    yield from faults
+    if end is not None:
+        raise end
+
+
+def _op_counts(data: bytes, options: dict) -> Iterator[dict]:
+    """How often each operator stands in the document; faults follow, each a row."""
     from quire.sources.content import KNOWN
 
+    counts, faults, end = Counter(), [], None
     document = D.load(data, options["strict"])
+    try:
+        for _, page in document.pages():
+            try:
+                ops, error = document.operators(page, options["compat"])
+            except PdfError as e:
+                ops, error = [], e
+            counts.update([op.op for op in ops])
+            faults += [{"op": op.op, "n": 1, "_error": error_struct(PdfError("UnknownOperator", op.op, op.offset, stage="content"))} for op in ops if op.op not in KNOWN]
+            if error:
+                faults.append({"n": 1, "_error": error_struct(error)})
+    except Exception as e:
+        end = e
+    for op, n in counts.items():
+        if op in KNOWN:
+            yield {"op": op, "n": n}
+    yield from faults
+    if end is not None:
+        raise end
+
+
+def _content(data: bytes, options: dict) -> Iterator[dict]:
+    from quire.sources.content import KNOWN
+
+    document, wanted, nth = D.load(data, options["strict"]), _wanted(options), Counter()
     bare = options["columns"] is not None and set(options["columns"]) <= {"page_index", "op_ord", "op"}
     for i, (_, page) in enumerate(document.pages()):
         try:
@@ -227,20 +292,30 @@ def _content(data: bytes, options: dict) -> Iterator[dict]:
         except PdfError as e:
             ops, error = [], e
         for n, op in enumerate(ops):
+            if bare and op.op in KNOWN and "ops" not in options:
+                yield {"page_index": i, "op_ord": n, "op": op.op}
+                continue
+            at = nth[op.op]
+            nth[op.op] += 1
+            if not wanted(op.op):
+                continue
             unknown = {} if op.op in KNOWN else {"_error": error_struct(PdfError("UnknownOperator", op.op, op.offset, stage="content"))}
             row = {"op": op.op} if bare else operator_row(op)
-            yield {"page_index": i, "op_ord": n} | row | unknown
+            yield {"page_index": i, "op_ord": n, "nth": at} | row | unknown
         if error:
             yield {"page_index": i, "op_ord": len(ops), "_error": error_struct(error)}
 
 
 def _resources(data: bytes, options: dict) -> Iterator[dict]:
     document = D.load(data, options["strict"])
+    valued = options["columns"] is None or "value" in options["columns"]
     for i, (_, page) in enumerate(document.pages()):
         try:
             for kind, entries in D.resources(document, page).items():
                 for name, value in entries.items():
-                    yield {"page_index": i, "kind": kind, "name": name, "ref": value.num if isinstance(value, Ref) else None, "value": _json(document.resolve(value) if not isinstance(document.resolve(value), Stream) else document.resolve(value).dict)}
+                    found = document.resolve(value)
+                    row = {"page_index": i, "kind": kind, "name": name, "ref": value.num if isinstance(value, Ref) else None}
+                    yield row | {"value": _json(found.dict if isinstance(found, Stream) else found)} if valued else row
         except PdfError as e:
             yield {"page_index": i, "_error": error_struct(e)}
 
@@ -256,6 +331,8 @@ _READERS: dict[str, Callable[[bytes, dict], Iterator[dict]]] = {
     "resources": _resources,
     "tree": _tree,
     "op_trace": _trace,
+    "op_counts": _op_counts,
+    "trace_counts": _trace_counts,
 }
 
 
@@ -292,7 +369,8 @@ def rows_of(doc_id: object, data: bytes | None, reader: Callable[[bytes, dict],
             raise PdfError("MissingContent", stage="load")
         for row in reader(data, options):
             n, row = row if isinstance(row, tuple) else (1, row)
-            yield n, {"doc_id": doc_id} | row
+            row["doc_id"] = doc_id
+            yield n, row
     except MemoryError:
         raise
     except Exception as e:
@@ -317,24 +395,35 @@ def per_document(files: DataFrame, schema: str, reader: Callable[[bytes, dict],
 
         arrow = to_arrow_schema(out)
         rows: list[tuple[int, dict]] = []
-        held = 0
+        held = size = 0
         for b in batches:
-            for doc_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, contents = b.column(0), b.column(1)
+            for k in range(b.num_rows):
+                doc_id, data = ids[k].as_py(), contents[k].as_py()
                 for n, row in rows_of(doc_id, data, reader, options, fast):
                     rows.append((n, row))
                     held += n
                     if held >= _ROWS:
                         yield _table(rows, arrow, fast)
-                        rows, held = [], 0
+                        rows, held, size = [], 0, 0
+                size += len(data or b"")
+                if rows and size >= _BYTES:
+                    yield _table(rows, arrow, fast)
+                    rows, held, size = [], 0, 0
         if rows:
             yield _table(rows, arrow, fast)
 
     return files.select("doc_id", "content").mapInArrow(run, out)
 
 
-def read_table(files: DataFrame, name: str, strict: bool = False, compat: bool = False, mode: str = "PERMISSIVE", columns: list[str] | None = None) -> DataFrame:
-    """One of the tables in ``SCHEMAS`` of the documents in ``files`` (doc_id, content); of its columns only ``columns``, if given."""
-    return per_document(files, SCHEMAS[name], _READERS[name], columns, strict=strict, compat=compat, mode=mode)
+def read_table(files: DataFrame, name: str, strict: bool = False, compat: bool = False, mode: str = "PERMISSIVE", columns: list[str] | None = None, ops: tuple[str, ...] | None = None) -> DataFrame:
+    """One of the tables in ``SCHEMAS`` of the documents in ``files`` (doc_id, content); of its columns only ``columns``, if given.
+
+    With ``ops`` tables of operators have rows of these and of faults alone. ``nth`` of an operator
+    counts those of its name that stand before it in the document.
+    """
+    only = {} if ops is None else {"ops": ops}
+    return per_document(files, SCHEMAS[name], _READERS[name], columns, strict=strict, compat=compat, mode=mode, **only)
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
