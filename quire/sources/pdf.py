@@ -504,8 +504,8 @@ class _PdfReader(DataSourceReader):
 def write_files(files: DataFrame, folder: str) -> DataFrame:
     """Writes each document (doc_id, content) to ``folder``; returns (doc_id, path, bytes).
 
-    Names carry the task's attempt, so only files in the returned table count;
-    it is written before it is returned, and lost tasks leave nothing in it.
+    Each task's attempt has a folder of its own, and only files in the returned table
+    count; it is written before it is returned, and lost tasks leave nothing in it.
     """
     from quire.session import materialize
 
@@ -514,12 +514,12 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
         from pyspark import TaskContext
 
         system, base = fs.FileSystem.from_uri(folder if ":" in folder.split("/", 1)[0] else f"file://{folder}")
-        system.create_dir(base, recursive=True)
         attempt, n = TaskContext.get().taskAttemptId(), 0
+        system.create_dir(f"{base}/{attempt:08d}", recursive=True)
         for batch in batches:
             paths, sizes = [], []
-            for data in batch.column(1).to_pylist():
-                name = f"{attempt:08d}-{n:08d}.pdf"
+            for value in batch.column(1):
+                data, name = value.as_py(), f"{attempt:08d}/{n:08d}.pdf"
                 with system.open_output_stream(f"{base}/{name}") as out:
                     out.write(data or b"")
                 paths.append(f"{folder}/{name}")
@@ -529,3 +529,31 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
 
     out = T.StructType([files.schema["doc_id"], T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType())])
     return materialize(files.select("doc_id", "content").mapInArrow(run, out), "pdf-manifest")
+
+
+def read_written(manifest: DataFrame) -> DataFrame:
+    """(doc_id, content) of the files in a table of ``write_files``; doc_id has that of the document and the path.
+
+    Each task opens the files that its rows name, so nobody lists the folder: the
+    driver's memory and the number of tasks do not grow with the number of files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            ids, paths = batch.column(0), batch.column(1)
+            found, size, first = [], 0, 0
+            for k in range(batch.num_rows):
+                path = paths[k].as_py()
+                system, at = fs.FileSystem.from_uri(path if ":" in path.split("/", 1)[0] else f"file://{path}")
+                with system.open_input_file(at) as f:
+                    found.append(f.read())
+                size += len(found[-1])
+                if size >= _BYTES or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(found)), pa.array(found, pa.binary())], names=["doc_id", "content"])
+                    found, size, first = [], 0, k + 1
+
+    named = manifest.select(F.struct("doc_id", "path").alias("doc_id"), "path")
+    dealt = named.repartition(max(named.rdd.getNumPartitions(), 4 * named.sparkSession.sparkContext.defaultParallelism))
+    return dealt.mapInArrow(run, T.StructType([named.schema["doc_id"], T.StructField("content", T.BinaryType())]))
